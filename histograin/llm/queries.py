@@ -7,7 +7,14 @@ import importlib
 #: query, module, name of its SQL
 _ALL = (
     ("op1_decontamination", "decontaminate", "ORACLE"),
+    ("op3_language_id", "language_id", None),
+    ("op4_sharding", "sharding", None),
+    ("op5_token_counts", "token_counts", None),
+    ("op6_quality_rules", "quality", None),
     ("op7_jaccard_join", "jaccard_join", "ORACLE"),
+    ("op8_mixing", "mixing", "ORACLE"),
+    ("op9_warc", "warc", "ORACLE"),
+    ("op10_token_ids", "token_ids", None),
 )
 
 
