@@ -197,9 +197,11 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Block]:
     return [Block([(r.item, words_of(bytes(r.text))) for r in own.where(part == k).toLocalIterator()], window) for k in range(n)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged word ranges).
 
+    With ``clean``, the rows of ``docs`` that aren't contaminated, with all their columns, instead.
+
     Null and empty texts have no words and are clean. A null item_id marks words but is no listed item; a null or
     wordless item has no windows. Repeated rows are judged one by one. Other columns are ignored.
     """
@@ -227,6 +229,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                     b.__dict__.pop("_value", None)  # one block in memory at a time
             hit = (np.cumsum(marks[:-1]) > 0).astype(np.int64)
             n_hit = sums_by_row(hit, bounds)
+            if clean:
+                yield batch.filter(pa.array(n_hit == 0))
+                continue
             spans = []
             for d, n in enumerate(n_hit.tolist()):
                 own = hit[bounds[d] : bounds[d + 1]] if n else hit[:0]
@@ -246,6 +251,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
             )
 
+    if clean:
+        return docs.mapInArrow(run, docs.schema)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<struct<begin: bigint, end: bigint>>")
 
 

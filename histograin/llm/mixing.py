@@ -57,9 +57,11 @@ def _order() -> Column:
     return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
 
 
-def interleave(docs: DataFrame, tickets: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def interleave(docs: DataFrame, tickets: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS, parts: int | None = None) -> DataFrame:
     """The rows of ``docs`` with slot, place (in the block), block and epoch; sorted by slot and place they are the mixture.
 
+    With ``parts``, in this order: so many partitions of equal ranges of slots, each sorted.
+
     ``tickets``: target weights by source (a null source is ``NULL_SOURCE``); a source without one has one ticket.
     Null and repeated doc_ids are ordered like any other; an empty table gives none. Columns of the names that are
     added are replaced; all others pass through, so a null or long text makes no difference.
@@ -95,7 +97,10 @@ def interleave(docs: DataFrame, tickets: dict[str, int] | None = None, block_row
     placed = placed.withColumn("_k", F.explode(F.sequence(F.col("block"), F.col("_j") - 1, n)))
     slot = F.expr("_k div _a") * w + F.element_at("_at", (F.pmod(F.col("_k"), a) + 1).cast("int"))
     placed = placed.withColumn("slot", slot.cast("bigint")).withColumn("epoch", F.expr("_k div _n").cast("bigint"))
-    return placed.select(*docs.columns, "slot", "place", "block", "epoch")
+    placed = placed.select(*docs.columns, "slot", "place", "block", "epoch")
+    if parts:
+        placed = placed.repartitionById(parts, F.expr(f"cast(slot * {parts} div {max(1, end)} as int)")).sortWithinPartitions("slot", "place")
+    return placed
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import importlib
 #: query, module, name of its SQL
 _ALL = (
     ("op1_decontamination", "decontaminate", "ORACLE"),
+    ("op2_lm_scoring", "lm_score", "ORACLE"),
     ("op3_language_id", "language_id", None),
     ("op4_sharding", "sharding", None),
     ("op5_token_counts", "token_counts", None),

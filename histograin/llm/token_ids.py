@@ -192,17 +192,20 @@ def _write_index(files: fs.FileSystem, path: str, keys: list[int], lengths: list
             f.write(a.tobytes())
 
 
-def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END, shard_bytes: int = SHARD_BYTES) -> list[dict]:
+def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END, shard_bytes: int = SHARD_BYTES, order: list[str] | None = None) -> list[dict]:
     """Write shards of the rows' ids below ``path``, in ascending doc_id order; return a row for each shard: its name, and how many ids stand before it.
 
+    ``order`` names columns that give another order; the index then leads to a shard's first record of a key.
+
     doc_id is an integer key; a null one comes first. A null text is empty; each record ends with ``end``. Rows that
     share a doc_id follow one another in the order of their texts' hashes; the index leads to the first. Other
-    columns are ignored. Files of failed task attempts stay under other names and are in no list.
+    columns are ignored, an empty table gives no shard. Files of failed task attempts stay under other names and are in no list.
     """
     total = docs.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     n = max(1, -(-total // shard_bytes))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_KEY)).alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(int(n), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_KEY)).alias("doc_id"), "text", *(order or [])).withColumn("tie", F.xxhash64("text"))
+    by = order or ["doc_id", "tie"]
+    rows = rows.repartitionByRange(int(n), *by).sortWithinPartitions(*by).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, files_path = encoder(tokenizer), fs.FileSystem.from_uri(path)
@@ -236,7 +239,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END, shard_
 
 
 def read_ids(spark: SparkSession, path: str, shards: list[dict]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, ids of every record, each found through its shard's index."""
+    """doc_id, start, n_tokens, ids_crc32, ids of every record; each key is looked up in its shard's index."""
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>"
     if not shards:
         return spark.createDataFrame([], schema)
@@ -250,15 +253,15 @@ def read_ids(spark: SparkSession, path: str, shards: list[dict]) -> DataFrame:
                 while at < n:
                     to = max(at + 1, int(np.searchsorted(shard.starts, shard.starts[at] + (1 << 20), side="right")) - 1)
                     to = min(to, n)
-                    found = _records(shard, at, to)
-                    ids = shard.read(at, to)
-                    cut = (shard.starts[found] - shard.starts[at]).tolist() + [int(shard.starts[to] - shard.starts[at])]
                     key = shard.keys[at:to]
+                    _check(shard, key)
+                    ids = shard.read(at, to)
+                    cut = (shard.starts[at : to + 1] - shard.starts[at]).tolist()
                     own = [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(key, pa.int64(), mask=key == NULL_KEY),
-                            pa.array(shard.starts[found] + before, pa.int64()),
+                            pa.array(shard.starts[at:to] + before, pa.int64()),
                             pa.array([len(i) for i in own], pa.int64()),
                             pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in own], pa.int64()),
                             pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids.astype(np.int32))),
@@ -270,14 +273,11 @@ def read_ids(spark: SparkSession, path: str, shards: list[dict]) -> DataFrame:
     return todo.mapInArrow(run, schema)
 
 
-def _records(shard: Shard, at: int, to: int) -> np.ndarray:
-    """Records of the keys at..to as the index finds them; rows that share a key follow its first record."""
-    keys = shard.keys[at:to]
+def _check(shard: Shard, keys: np.ndarray) -> None:
+    """Every key's slot has its fingerprint and leads to a record of that key."""
     slot = shard.hash.slot(keys)
-    if (shard.fingerprints[slot] != fingerprint(keys)).any():
+    if (shard.fingerprints[slot] != fingerprint(keys)).any() or (shard.keys[shard.first[slot]] != keys).any():
         raise ValueError("the index doesn't lead to its own keys")
-    first = shard.first[slot]
-    return first + (np.arange(at, to) - np.searchsorted(shard.keys, keys))
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
