@@ -67,7 +67,7 @@ def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
     record = F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), block)
-    resolved.select(record.alias("value")).hint("rebalance").write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+    resolved.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
