@@ -18,18 +18,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, chunks, fresh_path, starts_of, table
+from .common import CHUNK_BYTES, chunks, fresh_path, starts_of, sums_by_row, table
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 64 << 20
-#: Pieces of text whose ids a worker keeps.
-CACHE_PIECES = 250_000
+#: Pre-tokens after which a worker's cache turns over.
+CACHE_PRE_TOKENS = 300_000
 #: Keys in a bucket of the minimal perfect hash, on average.
 BUCKET_KEYS = 4
 #: Key of rows without doc_id; an id can't be it.
@@ -42,38 +43,100 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder(dict):
-    """Piece of text (UTF-8 bytes without ASCII white space) to its ids as little-endian 32-bit bytes.
+#: The vocabulary's pre-tokens of lower-case text.
+PRE_TOKENS = r"('s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+)"
+#: Text that only the library reads: an added token's opening, characters whose kind, lower case or composed form isn't plain, white space other than ASCII's.
+UNSETTLED = r"<\||[^\x{00}-\x{52F}]|[\x{1C}-\x{1F}\x{85}\x{A0}\x{130}\x{300}-\x{37F}\x{387}]"
 
-    The tokenizer's pre-tokens never cross white space, so a text's ids are its pieces' ids one after the other; each
-    distinct piece is encoded by the library, once while it is kept.
+
+def placed(sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of ``sizes`` items that lie one after the other: the items of rows ``code``, one row after the other, and the size of each."""
+    n = sizes[code]
+    ends = np.cumsum(n)
+    at = np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - n), n)
+    at += np.arange(len(at))
+    return at, n
+
+
+class Encoder:
+    """Ids of texts.
+
+    The tokenizer's pre-tokens never cross white space, so a text's ids are its pieces' ids one after the other, and a
+    piece's those of its pre-tokens. A run of texts is cut into pieces, its distinct pieces into pre-tokens, and the
+    library encodes the distinct pre-tokens, many in one call: each ends with the only one of its tokens that ends a
+    word. Pieces that match ``UNSETTLED`` go to the library whole. Pre-tokens used last are kept, within
+    ``CACHE_PRE_TOKENS``.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        ids = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
-        out = self[piece] = np.array(ids, dtype="<u4").tobytes()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encode(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
+        for at in range(0, len(parts), 2_000):
+            some = parts[at : at + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(some):
+                raise ValueError("pre-tokens and their ids don't match")
+            raw, begin = ids.tobytes(), 0
+            for p, end in zip(some, ends, strict=True):
+                out[p] = raw[begin:end]
+                begin = end
         return out
 
-    def prepare(self, pieces: set[bytes]) -> None:
-        """Encode the pieces that aren't kept yet in one call."""
-        todo = [p for p in pieces if p not in self]
-        if len(self) + len(todo) > CACHE_PIECES:
-            self.clear()
-            todo = list(pieces)
-        for at in range(0, len(todo), 20_000):
-            part = todo[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                self[p] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+    def _ids_of(self, parts: list[bytes]) -> list[bytes]:
+        own = list(map(self.young.get, parts))
+        if None in own:
+            missing = [p for p, x in zip(parts, own, strict=True) if x is None]
+            found = {p: x for p in missing if (x := self.old.get(p)) is not None}
+            found |= self._encode([p for p in missing if p not in found])
+            own = [found[p] if x is None else x for p, x in zip(parts, own, strict=True)]
+            self.young |= found
+            if len(self.young) > CACHE_PRE_TOKENS:
+                self.young, self.old = {}, self.young
+        return own
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        words = lists.flatten().dictionary_encode()
+        pieces = words.dictionary
+        whole = pc.match_substring_regex(pieces, UNSETTLED).to_numpy(zero_copy_only=False).astype(bool) if len(pieces) else np.zeros(0, dtype=bool)
+        plain = pc.utf8_lower(pieces.filter(pa.array(~whole)))
+        parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.replace_substring_regex(plain, PRE_TOKENS, r"\1 ")))
+        part = parts.flatten().dictionary_encode()
+        distinct = part.dictionary.cast(pa.large_binary()).to_pylist()
+        found = dict.fromkeys([b""], b"") | dict(zip(own := [p for p in distinct if p], self._ids_of(own), strict=True))
+        ids = [found[p] for p in distinct]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        at, n = placed(sizes, _codes(part))
+        tokens = np.frombuffer(b"".join(ids), dtype="<u4")[at]
+        of_plain = sums_by_row(n, _bounds(parts))
+        # pieces in their own order: the plain ones, then those that the library reads whole
+        special = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in pieces.filter(pa.array(whole)).to_pylist()]
+        rank = np.empty(len(pieces), dtype=np.int64)
+        rank[~whole], rank[whole] = np.arange(len(of_plain)), len(of_plain) + np.arange(len(special))
+        tokens = np.concatenate([tokens, np.array([t for x in special for t in x], dtype="<u4")])
+        sizes = np.concatenate([of_plain, np.array([len(x) for x in special], dtype=np.int64)])
+        at, n = placed(sizes, rank[_codes(words)])
+        return tokens[at], sums_by_row(n, _bounds(lists))
+
+
+def _codes(coded: pa.DictionaryArray) -> np.ndarray:
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _bounds(lists: pa.ListArray) -> np.ndarray:
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return offsets - offsets[0]
 
 
 @lru_cache(maxsize=1)
@@ -90,6 +153,13 @@ def _hash(keys: np.ndarray, salt: int) -> np.ndarray:
     return mix(keys.astype(np.int64).view(np.uint64) ^ mix(np.array([salt], dtype=np.uint64)))
 
 
+def _displaced(hashes: np.ndarray, d: np.ndarray, slots: int) -> np.ndarray:
+    """Slots of hashes under displacements: another hash for each."""
+    from .common import mix
+
+    return (mix(hashes + d * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(slots)).astype(np.int64)
+
+
 class PerfectHash:
     """Minimal perfect hash of distinct 64-bit keys by hash and displace: as many slots as keys."""
 
@@ -107,7 +177,7 @@ class PerfectHash:
         order = np.argsort(bucket, kind="stable")
         bounds = starts_of(np.bincount(bucket, minlength=buckets))
         sizes = np.diff(bounds)
-        one, two = _hash(keys, 1), _hash(keys, 2)
+        one = _hash(keys, 1)
         todo = np.argsort(-sizes, kind="stable")
         free: list[int] | None = None
         for b in todo.tolist():
@@ -119,11 +189,10 @@ class PerfectHash:
                     free = np.flatnonzero(~used).tolist()
                 displacement[b] = -free.pop() - 1
                 continue
-            a, c = one[own], two[own] | np.uint64(1)
-            d = 0
+            a, d = one[own], 0
             while True:
-                tries = (a[None, :] + np.arange(d, d + 64, dtype=np.uint64)[:, None] * c[None, :]) % np.uint64(n)
-                slots = np.sort(tries.astype(np.int64), axis=1)
+                tries = _displaced(a[None, :], np.arange(d, d + 64, dtype=np.uint64)[:, None], n)
+                slots = np.sort(tries, axis=1)
                 good = ~used[slots].any(axis=1) & (slots[:, 1:] != slots[:, :-1]).all(axis=1)
                 if good.any():
                     k = int(good.argmax())
@@ -137,8 +206,7 @@ class PerfectHash:
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         d = self.displacement[(_hash(keys, 0) % np.uint64(len(self.displacement))).astype(np.int64)]
-        spread = (_hash(keys, 1) + np.maximum(d, 0).astype(np.uint64) * (_hash(keys, 2) | np.uint64(1))) % np.uint64(max(1, self.slots))
-        return np.where(d < 0, -d - 1, spread.astype(np.int64))
+        return np.where(d < 0, -d - 1, _displaced(_hash(keys, 1), np.maximum(d, 0).astype(np.uint64), max(1, self.slots)))
 
 
 def fingerprint(keys: np.ndarray) -> np.ndarray:
@@ -213,24 +281,21 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END, shard_
         name = f"shard-{uuid.uuid4().hex}"
         files, root = files_path
         files.create_dir(root, recursive=True)
-        keys, lengths, last = [], [], np.array([end], dtype="<u4").tobytes()
+        keys, lengths = [], []
         with files.open_output_stream(posixpath.join(root, f"{name}.ids")) as f:
-            for batch in chunks(batches):
-                texts = [t or b"" for t in bytes_of(batch.column("text"))]
-                split = [t.split() for t in texts]
-                own.prepare(set().union(*split))
-                records = [b"".join(map(own.__getitem__, s)) + last for s in split]
+            for batch in chunks(batches, limit=2 * CHUNK_BYTES):
+                ids, n = own.encode(batch.column("text"))
+                f.write(np.insert(ids, np.cumsum(n), end).astype(f"<u{width}").tobytes())
                 keys += batch.column("doc_id").to_pylist()
-                lengths += [len(r) // 4 for r in records]
-                ids = np.frombuffer(b"".join(records), dtype="<u4")
-                f.write(ids.astype(f"<u{width}").tobytes())
+                lengths += (n + 1).tolist()
         if not keys:
             files.delete_file(posixpath.join(root, f"{name}.ids"))
             return
         _write_index(files, posixpath.join(root, name), keys, lengths, width)
         yield pa.RecordBatch.from_pydict({"name": [name], "records": [len(keys)], "ids": [sum(lengths)], "low": [keys[0]], "high": [keys[-1]]}, schema=pa.schema([("name", pa.string()), ("records", pa.int64()), ("ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
 
-    shards = [r.asDict() for r in rows.mapInArrow(run, "name string, records bigint, ids bigint, low bigint, high bigint").withColumn("part", F.spark_partition_id()).orderBy("part").collect()]  # a row for each shard
+    shards = [r.asDict() for r in rows.mapInArrow(run, "name string, records bigint, ids bigint, low bigint, high bigint").withColumn("part", F.spark_partition_id()).collect()]  # a row for each shard
+    shards.sort(key=lambda s: s["part"])
     before = 0
     for s in shards:
         s["before"] = before
