@@ -66,37 +66,37 @@ def interleave(docs: DataFrame, tickets: dict[str, int] | None = None, block_row
     Null and repeated doc_ids are ordered like any other; an empty table gives none. Columns of the names that are
     added are replaced; all others pass through, so a null or long text makes no difference.
     """
-    docs = docs.drop("slot", "place", "block", "epoch", "_s", "_o", "_b")
-    own = docs.withColumn("_s", F.coalesce(F.col("source").cast("string"), F.lit(NULL_SOURCE))).withColumn("_o", _order())
-    rows = {r["_s"]: r.n for r in own.groupBy("_s").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
+    docs = docs.drop("slot", "place", "block", "epoch")
+    own = docs.withColumn("mix__s", F.coalesce(F.col("source").cast("string"), F.lit(NULL_SOURCE))).withColumn("mix__o", _order())
+    rows = {r["mix__s"]: r.n for r in own.groupBy("mix__s").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     tickets = tickets_of(rows) if tickets is None else {s: tickets.get(s, 1) for s in rows}
     slots, w = round_order(tickets), sum(tickets.values())
     blocks = {s: -(-n // block_rows) for s, n in rows.items()}
     end = 1 + max(((b - 1) // tickets[s] * w + slots[s][(b - 1) % tickets[s]] for s, b in blocks.items()), default=-1)
-    plan = [{"_s": s, "_n": blocks[s], "_a": a, "_j": end // w * a + sum(x < end % w for x in slots[s]), "_at": slots[s]} for s, a in tickets.items()] if rows else []
-    schedule = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), "array<struct<_s: string, _n: bigint, _a: bigint, _j: bigint, _at: array<bigint>>>")))
+    plan = [{"mix__s": s, "mix__n": blocks[s], "mix__a": a, "mix__j": end // w * a + sum(x < end % w for x in slots[s]), "mix__at": slots[s]} for s, a in tickets.items()] if rows else []
+    schedule = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), "array<struct<mix__s: string, mix__n: bigint, mix__a: bigint, mix__j: bigint, mix__at: array<bigint>>>")))
 
     # rank of each row in its source: rows before its range of hashes, and its number there
     digits = 1
     while max(rows.values(), default=0) / 16**digits > RANK_ROWS:
         digits += 1
-    own = own.withColumn("_b", F.substring("_o", 1, digits))
-    crowded = own.groupBy("_s", "_b").agg(F.count("*").alias("n")).where(F.col("n") > 8 * RANK_ROWS).collect()  # by repeated doc_ids
+    own = own.withColumn("mix__b", F.substring("mix__o", 1, digits))
+    crowded = own.groupBy("mix__s", "mix__b").agg(F.count("*").alias("n")).where(F.col("n") > 8 * RANK_ROWS).collect()  # by repeated doc_ids
     if crowded:
         for r in crowded:
-            here = (F.col("_s") == r["_s"]) & (F.col("_b") == r["_b"])
-            own = own.withColumn("_b", F.when(here, F.concat("_b", F.lpad(F.pmod(F.monotonically_increasing_id(), F.lit(-(-r.n // RANK_ROWS))).cast("string"), 9, "0"))).otherwise(F.col("_b")))
-    sizes = own.groupBy("_s", "_b").agg(F.count("*").alias("_c"))
-    before = sizes.withColumn("_before", F.sum("_c").over(Window.partitionBy("_s").orderBy("_b")) - F.col("_c")).drop("_c")
-    ranked = own.join(before, ["_s", "_b"]).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_o", "doc_id")) - 1)
-    placed = ranked.join(F.broadcast(schedule), "_s")  # at most MAX_SOURCES rows
-    block, a, n = F.floor(F.col("_r") / block_rows), F.col("_a"), F.col("_n")
-    placed = placed.withColumn("block", block.cast("bigint")).withColumn("place", F.pmod(F.col("_r"), F.lit(block_rows)).cast("int"))
-    placed = placed.withColumn("_k", F.explode(F.sequence(F.col("block"), F.col("_j") - 1, n)))
-    slot = F.expr("_k div _a") * w + F.element_at("_at", (F.pmod(F.col("_k"), a) + 1).cast("int"))
-    placed = placed.withColumn("slot", slot.cast("bigint")).withColumn("epoch", F.expr("_k div _n").cast("bigint"))
+            here = (F.col("mix__s") == r["mix__s"]) & (F.col("mix__b") == r["mix__b"])
+            own = own.withColumn("mix__b", F.when(here, F.concat("mix__b", F.lpad(F.pmod(F.monotonically_increasing_id(), F.lit(-(-r.n // RANK_ROWS))).cast("string"), 9, "0"))).otherwise(F.col("mix__b")))
+    sizes = own.groupBy("mix__s", "mix__b").agg(F.count("*").alias("mix__c"))
+    before = sizes.withColumn("mix__before", F.sum("mix__c").over(Window.partitionBy("mix__s").orderBy("mix__b")) - F.col("mix__c")).drop("mix__c")
+    ranked = own.join(before, ["mix__s", "mix__b"]).withColumn("mix__r", F.col("mix__before") + F.row_number().over(Window.partitionBy("mix__s", "mix__b").orderBy("mix__o", "doc_id")) - 1)
+    placed = ranked.join(F.broadcast(schedule), "mix__s")  # at most MAX_SOURCES rows
+    block, a, n = F.floor(F.col("mix__r") / block_rows), F.col("mix__a"), F.col("mix__n")
+    placed = placed.withColumn("block", block.cast("bigint")).withColumn("place", F.pmod(F.col("mix__r"), F.lit(block_rows)).cast("int"))
+    placed = placed.withColumn("mix__k", F.explode(F.sequence(F.col("block"), F.col("mix__j") - 1, n)))
+    slot = F.expr("mix__k div mix__a") * w + F.element_at("mix__at", (F.pmod(F.col("mix__k"), a) + 1).cast("int"))
+    placed = placed.withColumn("slot", slot.cast("bigint")).withColumn("epoch", F.expr("mix__k div mix__n").cast("bigint"))
     placed = placed.select(*docs.columns, "slot", "place", "block", "epoch")
     if parts:
         placed = placed.repartitionById(parts, F.expr(f"cast(slot * {parts} div {max(1, end)} as int)")).sortWithinPartitions("slot", "place")
