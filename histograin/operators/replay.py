@@ -88,7 +88,7 @@ def replay(indexed: DataFrame, index: int | None = None) -> DataFrame:
     connects need no replay.
     """
     own = indexed if index is None else indexed.where(F.col("index") <= index)
-    edges = own.where("change_type = 'R' AND old_path IS NOT NULL").select(F.col("old_path").alias("u"), F.col("path").alias("v")).where("u <> v").distinct()
+    edges = own.where("change_type = 'R' AND old_path IS NOT NULL").select(F.col("old_path").alias("u"), F.col("path").alias("v")).distinct()
     groups = connected(edges)
     joined = own.join(groups, "path", "left")
     plain = joined.where("root IS NULL").drop("root")

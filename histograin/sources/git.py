@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..model import HISTORY, SourceError
 
@@ -111,21 +111,25 @@ class GitReader(DataSourceReader):
         return commits(self.repo, partition.shas, partition.first)
 
 
-class GitStream(SimpleDataSourceStreamReader):
-    """Offsets are heads; a batch is what came since the last one."""
+class GitStream(DataSourceStreamReader):
+    """Offsets are heads; a batch is what came since the last one, in stretches like a batch read's."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.repo, self.start = options.get("path", "."), options.get("hidden") or ""
+        self.stretch = int(options.get("partition_commits", STRETCH))
 
     def initialOffset(self) -> dict:
         return {"head": self.start}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now = head(self.repo) or ""
-        return self.readBetweenOffsets(start, {"head": now}), {"head": now}
+    def latestOffset(self) -> dict:
+        return {"head": head(self.repo) or ""}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        shas = walk(self.repo, end["head"], start["head"] or None) if end["head"] else []
+        return [Stretch(at, shas[at : at + self.stretch]) for at in range(0, len(shas), self.stretch)] or [Stretch(0, [])]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return commits(self.repo, walk(self.repo, end["head"], start["head"] or None) if end["head"] else [], 0)
+    def read(self, partition: Stretch) -> Iterator[tuple]:
+        return commits(self.repo, partition.shas, partition.first)
 
 
 class GitHistory(DataSource):
@@ -139,7 +143,7 @@ class GitHistory(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return GitReader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return GitStream(self.options)
 
 
