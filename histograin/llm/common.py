@@ -50,17 +50,48 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+#: Rows that the JVM and a Python worker pass each other at once; ``chunks`` gathers them by bytes.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches be small where the session has Spark's default of 10,000 rows, which long texts fill with hundreds of MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``limit`` bytes of ``column`` each, or one row."""
+    """The batches' rows in runs with at most ``limit`` bytes of ``column`` each, or one row."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def run() -> pa.RecordBatch:
+        out = held[0] if len(held) == 1 else pa.concat_batches(held)
+        held.clear()
+        return out
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends, begin, held = np.cumsum(sizes), 0, 0
+        ends, begin, before = np.cumsum(sizes), 0, 0
         while begin < batch.num_rows:
-            end = max(begin + 1, int(np.searchsorted(ends, held + limit, side="right")))
-            yield batch.slice(begin, end - begin)
-            begin, held = end, int(ends[end - 1])
+            end = int(np.searchsorted(ends, before + limit - size, side="right"))
+            if end <= begin:
+                if held:
+                    yield run()
+                    size = 0
+                    continue
+                end = begin + 1
+            held.append(batch.slice(begin, end - begin))
+            size += int(ends[end - 1]) - before
+            begin, before = end, int(ends[end - 1])
+            if begin < batch.num_rows:
+                yield run()
+                size = 0
+                pa.default_memory_pool().release_unused()
+    if held:
+        yield run()
+    pa.default_memory_pool().release_unused()
 
 
 class WordHashes(dict):

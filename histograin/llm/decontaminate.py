@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bytes_of, chunks, starts_of, sums_by_row, table
+from .common import LOWER, bytes_of, chunks, small_batches, starts_of, sums_by_row, table
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast block; a larger benchmark is searched block by block.
@@ -206,6 +206,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     wordless item has no windows. Repeated rows are judged one by one. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, window, block_bytes)]
     key = docs.schema["doc_id"].dataType.simpleString()
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, bytes_of, chunks, components, fresh_path, mix, starts_of, table, written
+from .common import LOWER, WordHashes, bytes_of, chunks, components, mix, small_batches, starts_of, table, written
 
 SHINGLE, NUM, DEN = 4, 85, 100
 #: Rows in a row block; a task multiplies two of them.
@@ -164,6 +164,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     returned as often as they stand in ``docs``. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, starts_of, table
+from .common import chunks, small_batches, starts_of, table
 
 #: Expected number of training rows of each language: the documented bound of the fitted sample.
 SAMPLE_ROWS = 1500
+#: Bytes of text that a worker labels at once.
+CHUNK = 4 << 20
 #: Buckets of trigram hashes.
 BUCKETS = 1 << 16
 #: Log-likelihood that a span of another language must win to be switched to and back from.
@@ -74,22 +76,24 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 def _letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the joined texts: trigram buckets at letters, letters' scripts, words' first letters, words' starts as code points, words of each text."""
     kind, lower = _tables()
-    joined = "\n".join(t or "" for t in texts) + "\n"
+    joined = "\n" + "\n".join(t or "" for t in texts) + "\n"
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     k = kind[cp]
     inside = k > 0
-    low = np.where(inside, lower[cp], 32).astype(np.uint64)
-    at = np.flatnonzero(inside)
-    before, after = low[at - 1] if len(at) else low[:0], low[np.minimum(at + 1, len(low) - 1)]
-    if len(at) and at[0] == 0:
-        before = before.copy()
-        before[0] = 32
-    h = before * np.uint64(0x9E3779B97F4A7C15) + low[at] * np.uint64(0xC2B2AE3D27D4EB4F) + after * np.uint64(0x165667B19E3779F9)
-    bucket = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64)
+    low = np.where(inside, lower[cp], np.uint32(32))
+    at = np.flatnonzero(inside).astype(np.int32)
+    h = low[at] * np.uint32(0xC2B2AE3D)
+    h += low[at - 1] * np.uint32(0x9E3779B1)
+    h += low[at + 1] * np.uint32(0x165667B1)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA77)
+    bucket = (h >> np.uint32(16)).astype(np.uint16)
+    k = k[at]
+    at -= 1  # the line end before the first text
     first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
     lengths = np.array([len(t or "") + 1 for t in texts], dtype=np.int64)
     bounds = np.searchsorted(at[first], starts_of(lengths))
-    return bucket, k[at], first, at, bounds
+    return bucket, k, first, at, bounds
 
 
 class Model:
@@ -98,7 +102,7 @@ class Model:
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray) -> None:
         smooth = counts + 0.05
         self.langs = langs
-        self.log = np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32))
+        self.log = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         self.uses = share.T >= SCRIPT_SHARE  # script, language
 
@@ -111,7 +115,7 @@ class Model:
         ends = np.append(first[1:], len(at))
         scores = np.empty((len(first), len(self.langs)), dtype=np.float32)
         for k in range(len(self.langs)):
-            scores[:, k] = np.add.reduceat(self.log[bucket, k], first)
+            scores[:, k] = np.add.reduceat(self.log[k][bucket], first)
         able = self.uses[np.minimum(script[first], self.uses.shape[0] - 1)]
         able[~able.any(axis=1)] = True
         scores[~able] -= 1e4
@@ -156,6 +160,7 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     Of each language every row whose hash falls below sample_rows / rows is taken, so the number taken doesn't grow
     with the table and no row's place matters.
     """
+    small_batches(rows.sparkSession)
     rows = rows.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -168,7 +173,7 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, scripts = np.zeros((len(langs), BUCKETS), dtype=np.int64), np.zeros((len(langs), 256), dtype=np.int64)
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK):
             lang = np.array([number[x] for x in batch.column("lang").to_pylist()])
             bucket, script, first, at, bounds = _letters(batch.column("text").to_pylist())
             words = np.repeat(lang, np.diff(bounds))
@@ -191,6 +196,7 @@ def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataF
     ``und`` and 0 for null texts, texts without a letter, and where nothing was learnt. score: the share of letters
     in words of lang_pred. Columns of these names in ``docs`` are replaced; all others pass through.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "lang_spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
@@ -198,7 +204,7 @@ def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK):
             texts = batch.column("text").to_pylist()
             langs, shares, marked = [], [], []
             if own is None:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, bytes_of, chunks, mix, starts_of, table, written
+from .common import LOWER, WordHashes, bytes_of, chunks, mix, small_batches, starts_of, table, written
 
 ORDER, MIN_COUNT, BACKOFF = 2, 2, 0.4
 #: Bytes of text in a run, and for each partition of the count tables.
@@ -81,6 +81,7 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
     Null, empty and blank texts have no words, 0 and a null mean. Repeated rows are counted and scored each; other
     columns are ignored.
     """
+    small_batches(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(1, -(-total // partition_bytes))

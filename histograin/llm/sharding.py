@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of, fresh_path, table
+from .common import crc32_of, fresh_path, small_batches, table
 
 SHARDS = 24
 SEED = 20240229
@@ -47,6 +47,7 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
     slot, bucket or place are replaced. Nothing is written for an empty table but an empty file.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("shard", "slot", "bucket", "place")
     path = path or fresh_path(spark, "shards")
     key = [F.lit(seed), "doc_id", "text"]

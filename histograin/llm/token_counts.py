@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bytes_of, chunks, table
+from .common import bytes_of, chunks, small_batches, table
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Marks the beginning of a pre-token.
@@ -105,6 +105,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
             own = kept.__getitem__
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array([len(s) for s in split], dtype=np.int64)), pa.array([sum(map(own, s)) for s in split], pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_pretokens bigint, n_tokens bigint")
 
 

@@ -23,14 +23,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, fresh_path, starts_of, sums_by_row, table
+from .common import chunks, fresh_path, small_batches, starts_of, sums_by_row, table
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 64 << 20
+#: Bytes of text that are encoded at once.
+CHUNK = 8 << 20
 #: Pre-tokens after which a worker's cache turns over.
-CACHE_PRE_TOKENS = 300_000
+CACHE_PRE_TOKENS = 200_000
 #: Keys in a bucket of the minimal perfect hash, on average.
 BUCKET_KEYS = 4
 #: Key of rows without doc_id; an id can't be it.
@@ -52,9 +54,8 @@ UNSETTLED = r"<\||[^\x{00}-\x{52F}]|[\x{1C}-\x{1F}\x{85}\x{A0}\x{130}\x{300}-\x{
 def placed(sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of rows of ``sizes`` items that lie one after the other: the items of rows ``code``, one row after the other, and the size of each."""
     n = sizes[code]
-    ends = np.cumsum(n)
-    at = np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - n), n)
-    at += np.arange(len(at))
+    at = np.repeat(((np.cumsum(sizes) - sizes)[code] - (np.cumsum(n) - n)).astype(np.int32), n)
+    at += np.arange(len(at), dtype=np.int32)
     return at, n
 
 
@@ -131,7 +132,7 @@ class Encoder:
 
 
 def _codes(coded: pa.DictionaryArray) -> np.ndarray:
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return coded.indices.to_numpy(zero_copy_only=False)
 
 
 def _bounds(lists: pa.ListArray) -> np.ndarray:
@@ -269,6 +270,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END, shard_
     share a doc_id follow one another in the order of their texts' hashes; the index leads to the first. Other
     columns are ignored, an empty table gives no shard. Files of failed task attempts stay under other names and are in no list.
     """
+    small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     n = max(1, -(-total // shard_bytes))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_KEY)).alias("doc_id"), "text", *(order or [])).withColumn("tie", F.xxhash64("text"))
@@ -283,7 +285,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END, shard_
         files.create_dir(root, recursive=True)
         keys, lengths = [], []
         with files.open_output_stream(posixpath.join(root, f"{name}.ids")) as f:
-            for batch in chunks(batches, limit=2 * CHUNK_BYTES):
+            for batch in chunks(batches, limit=CHUNK):
                 ids, n = own.encode(batch.column("text"))
                 f.write(np.insert(ids, np.cumsum(n), end).astype(f"<u{width}").tobytes())
                 keys += batch.column("doc_id").to_pylist()
