@@ -50,6 +50,15 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``written`` wrote for ``df``; nothing that is still to be computed may read it."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows that the JVM and a Python worker pass each other at once; ``chunks`` gathers them by bytes.
 BATCH_ROWS = 1000
 
@@ -160,6 +169,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         sign = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if sign == seen:
             break
-        seen, edges = sign, written(stars(edges), f"{name}-stars")
+        before, seen, edges = edges, sign, written(stars(edges), f"{name}-stars")
+        discard(before)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, bytes_of, chunks, components, mix, small_batches, starts_of, table, written
+from .common import LOWER, WordHashes, bytes_of, chunks, components, discard, mix, small_batches, starts_of, table, written
 
 SHINGLE, NUM, DEN = 4, 85, 100
 #: Rows in a row block; a task multiplies two of them.
@@ -191,6 +191,9 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     met = live.select("d1", F.explode("keys").alias("key")).withColumn("hub", F.min("d1").over(Window.partitionBy("key")))
     stars = met.where("d1 > hub").select(F.col("d1").alias("u"), F.col("hub").alias("v")).distinct()
     clusters = written(components(stars, "jaccard-clusters").select(F.col("node").alias("d1"), F.col("root").alias("cluster")), "jaccard-clusters")
+    keyed, incidence = incidence, written(incidence.drop("keys"), "jaccard-sizes")
+    discard(keyed)
+    live = incidence.where("n_shingles > 0 and doc_id is not null")
     classes = written(live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "jaccard-classes")
     held = written(classes.join(clusters, "d1"), "jaccard-held")
 
@@ -229,6 +232,8 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
         return pd.DataFrame({"u": [rep[i] for i, _ in links], "v": [rep[j] for _, j in links]}, dtype="int64")
 
     links = written(pairs.groupBy("cluster", "a", "b").applyInPandas(multiply, "u bigint, v bigint"), "jaccard-links")
+    for done in (matrix, held, clusters):
+        discard(done)
 
     # rows that share a doc_id are one document: its texts' classes hang together
     same = live.select("doc_id", "d1", "d2").distinct().join(classes, ["d1", "d2"]).where("doc_id <> rep").join(live.groupBy("doc_id").agg(F.countDistinct("d1", "d2").alias("k")).where("k > 1"), "doc_id")

@@ -30,9 +30,9 @@ END = 1
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 64 << 20
 #: Bytes of text that are encoded at once.
-CHUNK = 8 << 20
+CHUNK = 12 << 20
 #: Pre-tokens after which a worker's cache turns over.
-CACHE_PRE_TOKENS = 200_000
+CACHE_PRE_TOKENS = 300_000
 #: Keys in a bucket of the minimal perfect hash, on average.
 BUCKET_KEYS = 4
 #: Key of rows without doc_id; an id can't be it.
@@ -112,7 +112,9 @@ class Encoder:
         pieces = words.dictionary
         whole = pc.match_substring_regex(pieces, UNSETTLED).to_numpy(zero_copy_only=False).astype(bool) if len(pieces) else np.zeros(0, dtype=bool)
         plain = pc.utf8_lower(pieces.filter(pa.array(~whole)))
-        parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.replace_substring_regex(plain, PRE_TOKENS, r"\1 ")))
+        several = pc.invert(pc.utf8_is_alpha(plain))  # letters alone are one pre-token
+        spaced = pc.replace_substring_regex(plain.filter(several), PRE_TOKENS, r"\1 ")
+        parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.replace_with_mask(plain, several, spaced)))
         part = parts.flatten().dictionary_encode()
         distinct = part.dictionary.cast(pa.large_binary()).to_pylist()
         found = dict.fromkeys([b""], b"") | dict(zip(own := [p for p in distinct if p], self._ids_of(own), strict=True))
