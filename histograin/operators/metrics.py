@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import DAY, age_bucket, age_days, col, language, min_max, per_loc, seconds
+from ..session import cut
 from .history import anchor, history
 from .ranking import global_rank
 
@@ -66,10 +67,11 @@ def complexity(living: DataFrame, values: DataFrame) -> DataFrame:
 
 def rank_percentile(df: DataFrame, value: str, name: str, tie: str = "path") -> DataFrame:
     """0 for the smallest to 1 for the largest value; equal values follow in the order of ``tie``; 1 for a single row."""
+    df = cut(df)
     n = df.count()
     if n <= 1:
         return df.withColumn(name, F.lit(1.0))
-    return global_rank(df, [F.col(value), F.col(tie)], f"{name}__rank").withColumn(name, (F.col(f"{name}__rank") - 1) / F.lit(float(n - 1))).drop(f"{name}__rank")
+    return global_rank(df, [F.col(value), F.col(tie)], f"{name}__rank", stored=True).withColumn(name, (F.col(f"{name}__rank") - 1) / F.lit(float(n - 1))).drop(f"{name}__rank")
 
 
 def hotspots(file_churn: DataFrame, file_complexity: DataFrame, window: str = "total") -> DataFrame:
@@ -145,8 +147,9 @@ def age_histogram(ages: DataFrame, inclusive: bool = False) -> DataFrame:
 
 def median_of_medians(ages: DataFrame) -> DataFrame:
     """One row: the upper median of the files' median ages; no row without files."""
-    n = ages.count()
-    ranked = global_rank(ages.select("median_age_days", "path"), [F.col("median_age_days"), F.col("path")], "rn")
+    own = cut(ages.select("median_age_days", "path"))
+    n = own.count()
+    ranked = global_rank(own, [F.col("median_age_days"), F.col("path")], "rn", stored=True)
     return ranked.where(F.col("rn") == n // 2 + 1).select(F.col("median_age_days").alias("median_of_medians"))
 
 

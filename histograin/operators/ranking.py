@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Ranges that are ranked apart, and rows sampled for each bound.
 RANGES, ROWS_OF_BOUND = 64, 20
 
 
-def global_rank(df: DataFrame, keys: list[Column], name: str = "rank", ranges: int = RANGES) -> DataFrame:
+def global_rank(df: DataFrame, keys: list[Column], name: str = "rank", ranges: int = RANGES, stored: bool = False) -> DataFrame:
     """``df`` with the 1-based number of each row in the order of ``keys`` (ascending, best without ties).
 
     Bounds from a bounded sample split the order into ranges; a row's number is that in its range after the rows of
-    the ranges before. Poor bounds only make ranges uneven.
+    the ranges before. Poor bounds only make ranges uneven. ``df`` is read several times and so cut first, unless it is
+    ``stored`` already.
     """
+    df = df if stored else cut(df)
     n = df.count()
     own = df.withColumn("rank__key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
     wanted = ranges * ROWS_OF_BOUND

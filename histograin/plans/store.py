@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
 from ..functions.columns import from_seconds, normalized_email
 from ..model import Config, StoreError
 from ..operators.history import excluded, with_mechanical
+from ..operators.ranking import global_rank
 
 ENGINE_VERSION = "0.1.0"
 CACHES = {"complexity_cache": "blob_sha string, lang string, value double, per_loc double, loc int, method string, backend string", "blame_cache": "path string, last_sha string, revisions bigint, failed boolean, commit_sha string, lines int"}
@@ -113,7 +114,8 @@ def author_ids(commits: DataFrame, known: DataFrame) -> DataFrame:
     firsts = own.groupBy("canonical_email").agg(F.min("walk_index").alias("first"), F.min_by("name", "walk_index").alias("canonical_name"))
     new = firsts.join(known.select("canonical_email"), "canonical_email", "left_anti")
     top = known.agg(F.coalesce(F.max("author_id"), F.lit(0))).first()[0]
-    return new.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first", "canonical_email")) + top).cast("int").alias("author_id"), "canonical_name", "canonical_email")
+    numbered = global_rank(new, [F.col("first"), F.col("canonical_email")], "n")
+    return numbered.select((F.col("n") + top).cast("int").alias("author_id"), "canonical_name", "canonical_email")
 
 
 def ingest(store: Store, history: DataFrame, config: Config, head_sha: str | None = None) -> int:
