@@ -27,7 +27,7 @@ from .common import LOWER, WordHashes, bytes_of, chunks, mix, small_batches, sta
 
 ORDER, MIN_COUNT, BACKOFF = 2, 2, 0.4
 #: Bytes of text in a run, and for each partition of the count tables.
-RUN_BYTES, PARTITION_BYTES = 16 << 20, 32 << 20
+RUN_BYTES, PARTITION_BYTES = 12 << 20, 16 << 20
 
 
 def pack(x: np.ndarray) -> bytes:
