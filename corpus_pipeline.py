@@ -17,6 +17,8 @@ from histograin.llm.common import fresh_path, table
 
 #: Bytes of text in a file of the mixture, about.
 PART_BYTES = 32 << 20
+#: Near copies: words of a shingle and the least Jaccard (op7's query has its own).
+SHINGLE, NUM, DEN = 5, 80, 100
 
 
 def apart(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -35,8 +37,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id; of its repeated rows, one for each text. Rows without doc_id stay."""
-    classes = jaccard_join.jaccard_classes(docs)
+    """Of each group of near copies (Jaccard of 5-word shingles at least 0.8), the document with the smallest doc_id; of its repeated rows, one for each text. Rows without doc_id stay."""
+    classes = jaccard_join.jaccard_classes(docs, shingle=SHINGLE, num=NUM, den=DEN)
     own, back = apart(docs, ("row_of_text__",))
     first = classes.where("doc_id = component_id").select("doc_id").distinct()
     kept = own.join(first, "doc_id", "left_semi")

@@ -5,8 +5,9 @@ differ in at most (a + b)(1 - t)/(1 + t) columns and have sizes within a factor
 
 1. the column blocks: rows of a size band share one partition of the columns into more blocks than linked rows can
    differ in, so linked rows agree completely in some block (each row also joins the next band, so that a pair in
-   neighbouring bands meets). Blocks in which a row has at most one column are too weak to tell rows apart; a band has
-   blocks to spare for them, and a row with more weak blocks than those lists its weak ones too, so no pair is lost;
+   neighbouring bands meets). Blocks in which a row has few columns are too weak to tell rows apart; a row leaves out
+   all blocks of up to so many columns as it has blocks to spare for (by its own size). Of two linked rows the one that
+   leaves out more agrees with the other in a block that both list, so no pair is lost;
 2. the row blocks: rows that agree in a column block are joined to the smallest of them, a star and never all pairs;
    the connected rows form a cluster, and a cluster above ``ROWS`` rows is dealt into hashed row blocks, of which
    every two are multiplied by one task: no row is dropped, and a task never holds more than two row blocks;
@@ -53,9 +54,10 @@ class Bands:
             self.blocks.append(1 + differ + 1 + differ * 3 // 20)
         return int(np.searchsorted(self.tops, n))
 
-    def spare(self, band: int) -> int:
-        """Weak blocks that linked rows can agree in while a stronger one must agree as well."""
-        return self.blocks[band] - 1 - 2 * self.tops[band] * (self.den - self.num) // (self.den + self.num)
+    def spare(self, band: int, n: int) -> int:
+        """Blocks of a row of n columns that it need not list: it agrees with any row linked with it in more blocks than these."""
+        partner = min(self.tops[band], n * self.den // self.num)
+        return self.blocks[band] - 1 - (n + partner) * (self.den - self.num) // (self.den + self.num)
 
 
 class Shingles:
@@ -108,8 +110,9 @@ def block_keys(rows: np.ndarray, bands: Bands) -> np.ndarray:
         total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(spread[order], dtype=np.uint64)])
         ends = np.cumsum(size)
         block = mix((total[ends] - total[ends - size]) ^ mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32)))
-        weak = size <= 1
-        keys.append(block if weak.sum() > bands.spare(band) else block[~weak])
+        upto = np.cumsum(np.bincount(size))  # blocks of at most so many columns
+        least = int(np.searchsorted(upto, bands.spare(band, n), side="right"))
+        keys.append(block[size >= least])
     return np.concatenate(keys)
 
 

@@ -83,6 +83,18 @@ def test_column_blocks_always_share_a_key():
                 assert set(jj.block_keys(a, bands).tolist()) & set(jj.block_keys(b, bands).tolist())
 
 
+def test_column_blocks_tell_unrelated_rows_apart():
+    rng = np.random.default_rng(2)
+    bands = jj.Bands(80, 100)
+    rows = [np.unique(rng.integers(0, 2**63, int(n), dtype=np.uint64)) for n in rng.integers(60, 75, 150)]
+    keys = Counter(k for r in rows for k in set(jj.block_keys(r, bands).tolist()))
+    assert max(keys.values()) == 1
+    for a in rows:
+        b = np.sort(np.concatenate([a[: len(a) - len(a) // 10], rng.integers(0, 2**63, len(a) // 10, dtype=np.uint64)]))
+        o = len(np.intersect1d(a, b))
+        assert 100 * o < 80 * (len(a) + len(b) - o) or set(jj.block_keys(a, bands).tolist()) & set(jj.block_keys(b, bands).tolist())
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1100)]

@@ -59,3 +59,12 @@ def test_stages_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "a b")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_of_the_dedup_stage(spark):
+    rng = random.Random(4)
+    words = lambda k: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(k)]
+    a, b, c = words(200), words(200), words(200)
+    rows = [(1, a), (2, a[:164]), (3, b), (4, [*b[:80], *words(17), *b[97:]]), (5, c), (6, c[:150])]  # 18 % cut off, 8.5 % replaced, 25 % cut off
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in cp.dedup_stage(spark, docs, "").collect()) == [1, 3, 5, 6]
