@@ -1,184 +1,269 @@
 """LM scoring (op 2): stupid-backoff scores from n-gram count tables.
 
-The tables are partitioned by n-gram hash and joined to the documents' n-grams in packed form, so that a common
-n-gram costs one entry for each run of documents and not one for each document:
+The count tables are partitioned by n-gram hash and joined to the documents' n-grams. A row of either side stands for
+many n-grams, as one row for each would be ten times the text: hashes lie in it sorted, as packed differences.
 
-1. a run of documents becomes one row: its vocabulary (sorted word hashes) and its words as numbers into it;
-2. the n-grams of a run, distinct and counted, go to the partitions of their hashes, in one packed row a partition;
-3. a partition adds the runs' counts to its part of the count table and answers every run with the totals of the
-   n-grams it sent, in the order they were sent;
-4. runs and answers meet by run, every word takes the longest n-gram that the table keeps, and documents are summed.
+1. a run of documents becomes a row: its vocabulary (sorted word hashes) and its words as numbers into it;
+2. for one order after the other, a run's distinct n-grams, counted, go to the partitions of their hashes;
+3. a partition adds the runs' counts to its part of the count table and joins the totals to what each run has sent;
+4. runs meet their totals, every word takes the longest n-gram that the table keeps, and documents are summed.
 
-Counts are over all documents. n-grams of two and more words that the corpus has fewer than ``MIN_COUNT`` times are
-not in the table and back off, as is usual for this model; words always are.
+A row goes to at most ``FAN`` places at once. Corpora that need more partitions than that pass what they send through
+two exchanges each way, in which rows of many runs are bundled anew: rows grow with the text, not with its square.
+
+Counts are over all documents, the scored one included. ``min_count`` above 1 leaves rarer n-grams of two and more
+words out of the table, so that they back off.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, bytes_of, chunks, mix, small_batches, starts_of, table, written
+from .common import LOWER, WordHashes, chunks, discard, mix, small_batches, starts_of, sums_by_row, table, written
 
-ORDER, MIN_COUNT, BACKOFF = 2, 2, 0.4
+ORDER, MIN_COUNT, BACKOFF = 3, 1, 0.4
 #: Bytes of text in a run, and for each partition of the count tables.
-RUN_BYTES, PARTITION_BYTES = 12 << 20, 16 << 20
-
+RUN_BYTES, PARTITION_BYTES = 8 << 20, 16 << 20
+#: Most partitions that one row of a run, or of a bundle, is dealt to.
+FAN = 1024
+#: Bytes of packed rows that a bundle is made of.
+BUNDLE_BYTES = 8 << 20
 
-def pack(x: np.ndarray) -> bytes:
-    """Sorted integers as differences, byte by byte of all of them, which compresses well."""
-    return np.ascontiguousarray(np.diff(x, prepend=np.zeros(1, dtype=x.dtype)).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+#: A run's rows are large: the writer shall look at its size after each.
+_WRITER = {"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.block.row.count.limit": "2", "parquet.enable.dictionary": "false"}
 
 
-def unpack(b: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(b, dtype=np.uint8).reshape(size, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
+def pack(x: np.ndarray) -> bytes:
+    """64-bit integers byte by byte of all of them, without the upper bytes that none has; this compresses well."""
+    x = np.ascontiguousarray(x).view(np.uint64)
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8).T[:width]).tobytes()
 
 
-def pack_counts(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(len(x), 4).T).tobytes()
+def unpack(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(b, dtype=np.uint8, offset=1).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    out[:, : b[0]] = planes.T
+    return out.view(np.uint64).ravel()
 
 
-def unpack_counts(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=np.zeros(1, dtype=np.uint64)))
 
 
-class Run:
-    """A run's words as numbers, and its distinct n-grams of each order with the place of every word's n-gram."""
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b), dtype=np.uint64)
 
-    def __init__(self, vocabulary: np.ndarray, words: np.ndarray, lengths: np.ndarray, order: int) -> None:
-        self.lengths, self.bounds = lengths, starts_of(lengths.astype(np.int64))
-        place = np.arange(len(words)) - np.repeat(self.bounds[:-1], lengths)
-        h, key = vocabulary[words], np.zeros(len(words), dtype=np.uint64)
-        self.grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # ends of n-grams, their numbers, hashes by number
-        for n in range(1, order + 1):
-            key = mix(np.roll(key, 1) + h * np.uint64(2 * n + 1)) if n > 1 else h
-            ends = np.flatnonzero(place >= n - 1)
-            hashes, number = np.unique(key[ends], return_inverse=True)
-            self.grams.append((ends, number, hashes))
 
-    def counts(self, n: int) -> np.ndarray:
-        _, number, hashes = self.grams[n - 1]
-        return np.bincount(number, minlength=len(hashes))
+def grams(vocabulary: np.ndarray, words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a run's documents: the last word's place and the hash of every n-gram."""
+    h, lengths = vocabulary[words], np.diff(bounds)
+    if n == 1:
+        return np.arange(len(h), dtype=np.int32), h
+    key = h
+    for k in range(2, n + 1):
+        key = mix(np.roll(key, 1) + h * np.uint64(2 * k + 1))
+    place = np.arange(len(h), dtype=np.int32) - np.repeat(bounds[:-1], lengths).astype(np.int32)
+    ends = np.flatnonzero(place >= n - 1).astype(np.int32)
+    return ends, key[ends]
 
 
 def partition_of(hashes: np.ndarray, partitions: int) -> np.ndarray:
-    """Partitions are ranges of hashes: those of a run's sorted hashes follow one another."""
+    """Partitions are ranges of hashes: those of sorted hashes follow one another."""
     return ((hashes >> np.uint64(32)).astype(np.int64) * partitions) >> 32
 
 
-def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, run_bytes: int = RUN_BYTES, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+def bundles(to: np.ndarray, of: np.ndarray, lengths: np.ndarray, items: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Sections of ``items`` (their owners ``of``, their ``lengths``) dealt by ``to`` of each item: (place, owners, lengths, items) of each place."""
+    if not len(to):
+        return
+    section = np.repeat(np.arange(len(of), dtype=np.int32), lengths)
+    if (np.diff(to) < 0).any():
+        order = np.argsort(to, kind="stable")
+        to, section, items = to[order], section[order], [x[order] for x in items]
+    turn = np.diff(to) != 0
+    cuts = np.concatenate([[0], np.flatnonzero(turn | (np.diff(section) != 0)) + 1])
+    sizes = np.diff(np.append(cuts, len(to)))
+    rows = np.concatenate([[0], np.searchsorted(cuts, np.flatnonzero(turn) + 1), [len(cuts)]])
+    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+        begin, end = cuts[a], cuts[b] if b < len(cuts) else len(to)
+        yield int(to[begin]), of[section[cuts[a:b]]], sizes[a:b], [x[begin:end] for x in items]
+
+
+def _rows(found: Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]], names: list[str], packers: list) -> Iterator[pa.RecordBatch]:
+    """Arrow rows of ``bundles``: place, owners, lengths, then packed items."""
+    held: list[list] = []
+    for place, of, lengths, items in found:
+        held.append([place, of.astype(np.int64).tobytes(), lengths.astype(np.int32).tobytes(), *(p(x) for p, x in zip(packers, items, strict=True))])
+        if len(held) == 64:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held, strict=True)], names=names)
+            held.clear()
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held, strict=True)], names=names)
+
+
+def _sections(batch: pa.RecordBatch | pa.Table, names: list[str], unpackers: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """What ``_rows`` packed, of all rows: owners, lengths, items."""
+    raw = lambda c, kind: np.concatenate([np.zeros(0, dtype=kind), *(np.frombuffer(b, dtype=kind) for b in batch.column(c).to_pylist())])
+    items = [np.concatenate([np.zeros(0, dtype=np.uint64), *(u(b) for b in batch.column(c).to_pylist())]) for c, u in zip(names[2:], unpackers, strict=True)]
+    return raw(names[0], np.int64), raw(names[1], np.int32), items
+
+
+def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, run_bytes: int = RUN_BYTES, partition_bytes: int = PARTITION_BYTES, fan: int = FAN) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, log_score (natural logarithm, summed over the words), mean_log_score.
 
     Words: A-Z lower-cased, split at space and \\t-\\r. A word w after the words c has count(c w) / count(c) if the table
     has c w, else ``backoff`` times the value for the shorter context; without context count(w) / words of the corpus.
-    Null, empty and blank texts have no words, 0 and a null mean. Repeated rows are counted and scored each; other
-    columns are ignored.
+    Null, empty and blank texts have no words, 0 and a null mean; a text above ``run_bytes`` is a run of its own. An
+    empty table gives no row. Repeated rows are counted and scored each, rows that share a doc_id too; a null doc_id
+    stays null. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     key = docs.schema["doc_id"].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(1, -(-total // partition_bytes))
+    coarse = min(partitions, fan)
 
     def localize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, part, k = WordHashes(), TaskContext.get().partitionId(), 0
         for batch in chunks(batches, limit=run_bytes):
-            lengths, flat = [], []
-            for t in bytes_of(batch.column("text")):
-                words = t.translate(LOWER).split() if t else []
-                lengths.append(len(words))
-                flat.append(np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)))
-            vocabulary, words = np.unique(np.concatenate(flat), return_inverse=True)
+            lists = pc.ascii_split_whitespace(batch.column("text").cast(pa.large_string()).fill_null(""))
+            offsets = lists.offsets.to_numpy()
+            coded = lists.flatten().dictionary_encode()
+            del lists
+            code, distinct = coded.indices.to_numpy(zero_copy_only=False), [w.translate(LOWER) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+            of = np.fromiter(map(hashes.__getitem__, distinct), dtype=np.uint64, count=len(distinct))
+            real = np.fromiter(map(bool, distinct), dtype=bool, count=len(distinct))[code]  # white space at an end leaves an empty word
+            lengths = sums_by_row(real, offsets - offsets[0])
+            vocabulary, place = np.unique(of, return_inverse=True)
+            words = place[code[real]]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part << 32 | k]),
                     pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id")),
-                    pa.array([np.array(lengths, dtype=np.int32).tobytes()], pa.binary()),
-                    pa.array([pack(vocabulary)], pa.binary()),
-                    pa.array([pack_counts(words)], pa.binary()),
+                    pa.array([pack(lengths)], pa.binary()),
+                    pa.array([pack_sorted(vocabulary)], pa.binary()),
+                    pa.array([pack(words)], pa.binary()),
                     pa.array([len(words)]),
                 ],
                 names=["run", "doc_ids", "lengths", "vocabulary", "words", "n"],
             )
             k += 1
 
-    runs = written(docs.select("doc_id", "text").mapInArrow(localize, f"run bigint, doc_ids array<{key}>, lengths binary, vocabulary binary, words binary, n bigint"), "lm-runs", compression="zstd")
+    runs = written(docs.select("doc_id", "text").mapInArrow(localize, f"run bigint, doc_ids array<{key}>, lengths binary, vocabulary binary, words binary, n bigint"), "lm-runs", **_WRITER)
     corpus = runs.agg(F.sum("n")).first()[0] or 0
 
-    def unfold(lengths: bytes, vocabulary: bytes, words: bytes) -> Run:
-        return Run(unpack(vocabulary, np.uint64), unpack_counts(words), np.frombuffer(lengths, dtype=np.int32), order)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                run = unfold(*(batch.column(c)[i].as_py() for c in ("lengths", "vocabulary", "words")))
-                for n in range(1, order + 1):
-                    hashes, counts = run.grams[n - 1][2], run.counts(n)
-                    cuts = np.searchsorted(partition_of(hashes, partitions), np.arange(partitions + 1))
-                    some = np.flatnonzero(np.diff(cuts))
-                    for at in range(0, len(some), 64):
-                        own = some[at : at + 64].tolist()
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(own, pa.int64()),
-                                pa.array([n] * len(own), pa.int32()),
-                                pa.array([batch.column("run")[i].as_py()] * len(own), pa.int64()),
-                                pa.array([pack(hashes[cuts[p] : cuts[p + 1]]) for p in own], pa.binary()),
-                                pa.array([pack_counts(counts[cuts[p] : cuts[p + 1]]) for p in own], pa.binary()),
-                            ],
-                            names=["part", "n", "run", "hashes", "counts"],
-                        )
-
-    grams = runs.select("run", "lengths", "vocabulary", "words").mapInArrow(explode, "part bigint, n int, run bigint, hashes binary, counts binary")
-
-    def add_up(group: pa.Table) -> pa.Table:
-        sent = [unpack(b.as_py(), np.uint64) for b in group.column("hashes")]
-        counts = [unpack_counts(b.as_py()) for b in group.column("counts")]
-        _, number = np.unique(np.concatenate(sent), return_inverse=True)
-        totals = np.bincount(number, weights=np.concatenate(counts))[number].astype(np.int64)
-        bounds = starts_of(np.array([len(s) for s in sent], dtype=np.int64))
-        return pa.table({"part": group.column("part"), "n": group.column("n"), "run": group.column("run"), "totals": pa.array([pack_counts(totals[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
-
-    answers = grams.groupBy("part", "n").applyInArrow(add_up, "part bigint, n int, run bigint, totals binary")
+    def unfold(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return unpack_sorted(row["vocabulary"]), unpack(row["words"]).astype(np.int32), starts_of(unpack(row["lengths"]).astype(np.int64))
+
+    sent = ["part", "runs", "lengths", "hashes", "counts"]
+    answered = ["run", "parts", "lengths", "totals"]
+    sent_schema, answered_schema = "part bigint, runs binary, lengths binary, hashes binary, counts binary", "run bigint, parts binary, lengths binary, totals binary"
+
+    def totals_of(n: int) -> DataFrame:
+        """The table of order n, joined to the runs' n-grams: for each run, the totals of its distinct n-grams by partition."""
+
+        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    hashes, counts = np.unique(grams(*unfold(row), n)[1], return_counts=True)
+                    own = bundles(partition_of(hashes, partitions) * coarse // partitions, np.array([row["run"]]), np.array([len(hashes)]), [hashes, counts])
+                    yield from _rows(own, sent, [pack_sorted, pack])
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in chunks(batches, "hashes", BUNDLE_BYTES):
+                of, lengths, items = _sections(batch, sent[1:], [unpack_sorted, unpack])
+                yield from _rows(bundles(partition_of(items[0], partitions), of, lengths, items), sent, [pack_sorted, pack])
+
+        def add_up(group: pa.Table) -> pa.Table:
+            part = group.column("part")[0].as_py()
+            of, lengths, (hashes, counts) = _sections(group, sent[1:], [unpack_sorted, unpack])
+            _, number = np.unique(hashes, return_inverse=True)
+            sums = np.zeros(len(hashes), dtype=np.int64)
+            np.add.at(sums, number, counts.view(np.int64))
+            to = np.repeat(of if partitions <= fan else _hashed(of, fan), lengths)
+            owners = np.full(len(of), part) if partitions <= fan else of
+            names = answered if partitions <= fan else bundled
+            rows = []
+            for batch in _rows(bundles(to, owners, lengths, [sums[number]]), names, [pack]):
+                rows.append(batch if partitions <= fan else batch.append_column("part", pa.array([part] * batch.num_rows, pa.int64())))
+            return pa.Table.from_batches(rows)
+
+        bundled = ["group", "runs", "lengths", "totals"]
+
+        def return_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in chunks(batches, "totals", BUNDLE_BYTES):
+                of, lengths, (totals,) = _sections(batch, bundled[1:], [unpack])
+                parts = np.repeat(batch.column("part").to_numpy(), [len(b) // 8 for b in batch.column("runs").to_pylist()])
+                yield from _rows(bundles(np.repeat(of, lengths), parts, lengths, [totals]), answered, [pack])
+
+        out = runs.select("run", "lengths", "vocabulary", "words").mapInArrow(explode, sent_schema)
+        if partitions > fan:
+            out = out.repartition("part").mapInArrow(deal, sent_schema)
+            out = out.groupBy("part").applyInArrow(add_up, "group bigint, runs binary, lengths binary, totals binary, part bigint")
+            return out.repartition("group").mapInArrow(return_to, answered_schema)
+        return out.groupBy("part").applyInArrow(add_up, answered_schema)
+
+    totals = []
+    for n in range(1, order + 1):
+        totals.append(written(totals_of(n).withColumn("n", F.lit(n)), f"lm-totals-{n}", compression="zstd"))
+        gc.collect()  # the order's shuffle files go with the frames that they belong to
+        spark.sparkContext._jvm.System.gc()
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[pa.Table] = []
         for i in range(left.num_rows):
-            run = unfold(*(left.column(c)[i].as_py() for c in ("lengths", "vocabulary", "words")))
-            rows = sorted(zip(right.column("n").to_pylist(), right.column("part").to_pylist(), range(right.num_rows), strict=True))
-            totals = [np.concatenate([np.zeros(0, dtype=np.int64), *(unpack_counts(right.column("totals")[k].as_py()) for m, _, k in rows if m == n)]) for n in range(1, order + 1)]
-            n_words = np.diff(run.bounds)
-            ends, number, _ = run.grams[0]
-            value = np.log(totals[0][number] / max(1, corpus)) if len(number) else np.zeros(0)
-            shorter = totals[0][number]  # count of the n-gram that ends at each word
-            place = np.arange(len(value)) - np.repeat(run.bounds[:-1], n_words)
-            for n in range(2, order + 1):
-                value += np.where(place >= n - 1, np.log(backoff), 0.0)
-                ends, number, _ = run.grams[n - 1]
-                count = totals[n - 1][number]
-                kept = count >= min_count
-                at = ends[kept]
-                value[at] = np.log(count[kept] / shorter[at - 1])
-                longer = np.zeros_like(shorter)
+            row = left.slice(i, 1).to_pylist()[0]
+            vocabulary, words, bounds = unfold(row)
+            n_words, value, shorter = np.diff(bounds), np.zeros(len(words)), np.zeros(0)
+            for n in range(1, order + 1):
+                mine = right.filter(pc.equal(right.column("n"), n))
+                parts, lengths, (totals,) = _sections(mine, answered[1:], [unpack])
+                if (np.diff(parts) < 0).any():  # hashes ascend with the partitions
+                    at = starts_of(lengths.astype(np.int64))
+                    totals = np.concatenate([totals[at[k] : at[k + 1]] for k in np.argsort(parts, kind="stable")])
+                ends, hashes = grams(vocabulary, words, bounds, n)
+                count = totals.view(np.int64)[np.unique(hashes, return_inverse=True)[1]] if len(hashes) else np.zeros(0, dtype=np.int64)
+                longer = np.zeros(len(words), dtype=np.int64)  # count of the n-gram that ends at each word
                 longer[ends] = count
+                if n == 1:
+                    value = np.log(longer / max(1, corpus))
+                else:
+                    value[ends] += np.log(backoff)
+                    kept = count >= min_count
+                    at = ends[kept]
+                    value[at] = np.log(count[kept] / shorter[at - 1])
                 shorter = longer
             sums = np.zeros(len(n_words))
             some = np.flatnonzero(n_words)
             if len(some):
-                sums[some] = np.add.reduceat(value, run.bounds[some])
-            ids = left.column("doc_ids")[i].values
+                sums[some] = np.add.reduceat(value, bounds[some])
+            ids = left.slice(i, 1).column("doc_ids").combine_chunks().flatten()
             out.append(pa.table({"doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "log_score": pa.array(sums), "mean_log_score": pa.array(sums / np.maximum(n_words, 1), mask=n_words == 0)}))
         empty = pa.schema([("doc_id", left.schema.field("doc_ids").type.value_type), ("n_words", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64())]).empty_table()
         return pa.concat_tables(out) if out else empty
 
-    own = runs.select("run", "doc_ids", "lengths", "vocabulary", "words")
-    return own.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(sum_up, f"doc_id {key}, n_words bigint, log_score double, mean_log_score double")
+    own, answers = runs.select("run", "doc_ids", "lengths", "vocabulary", "words"), reduce(DataFrame.unionByName, totals)
+    out = own.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(sum_up, f"doc_id {key}, n_words bigint, log_score double, mean_log_score double")
+    scored = written(out, "lm-scores")
+    for done in (runs, *totals):
+        discard(done)
+    return scored
+
+
+def _hashed(x: np.ndarray, n: int) -> np.ndarray:
+    return (mix(x.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,13 +275,17 @@ _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
-p AS (SELECT r, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-c1 AS (SELECT b AS word, count(*) AS n FROM p GROUP BY b),
-c2 AS (SELECT a, b, count(*) AS n FROM p WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= {MIN_COUNT}),
+p AS (SELECT r, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a
+      FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c1 AS (SELECT c AS word, count(*) AS n FROM p GROUP BY c),
+c2 AS (SELECT b, c, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY b, c),
+c3 AS (SELECT a, b, c, count(*) AS n FROM p WHERE a IS NOT NULL GROUP BY a, b, c),
 t AS (SELECT count(*) AS n FROM p),
-v AS (SELECT r, CASE WHEN c2.n IS NOT NULL THEN ln(c2.n / CAST(ca.n AS DOUBLE))
-                     ELSE ln(cb.n / CAST(t.n AS DOUBLE)) + CASE WHEN p.a IS NOT NULL THEN ln({BACKOFF}) ELSE 0 END END AS v
-      FROM p CROSS JOIN t JOIN c1 cb ON cb.word = p.b LEFT JOIN c1 ca ON ca.word = p.a LEFT JOIN c2 ON c2.a = p.a AND c2.b = p.b),
+v AS (SELECT p.r, CASE WHEN p.a IS NOT NULL THEN ln(c3.n / CAST(ab.n AS DOUBLE))
+                       WHEN p.b IS NOT NULL THEN ln(bc.n / CAST(c1.n AS DOUBLE))
+                       ELSE ln(cc.n / CAST(t.n AS DOUBLE)) END AS v
+      FROM p CROSS JOIN t JOIN c1 cc ON cc.word = p.c LEFT JOIN c1 ON c1.word = p.b LEFT JOIN c2 bc ON bc.b = p.b AND bc.c = p.c
+      LEFT JOIN c2 ab ON ab.b = p.a AND ab.c = p.b LEFT JOIN c3 ON c3.a = p.a AND c3.b = p.b AND c3.c = p.c),
 s AS (SELECT r, sum(v) AS s FROM v GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(s, 0.0), 6) AS log_score,
        CASE WHEN len(w) > 0 THEN round(s / len(w), 6) END AS mean_log_score

@@ -98,12 +98,31 @@ def plain_scores(rows, order, min_count, backoff):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_scores_like_plain(spark, corpus, odd_rows, odd, order):
+@pytest.mark.parametrize(("order", "min_count", "fan"), [(1, 1, 1024), (2, 2, 1024), (3, 1, 1024), (3, 2, 3), (4, 1, 2)])
+def test_lm_scores_like_plain(spark, corpus, odd_rows, odd, order, min_count, fan):
+    """A small fan-out makes rows pass two exchanges each way."""
     key = lambda r: tuple(str(x) for x in r)
     for rows, docs in ((corpus, spark.createDataFrame(corpus, "doc_id bigint, text string").repartition(3)), ([r[:2] for r in odd_rows], odd)):
-        got = lm.score(docs, order=order, run_bytes=2000, partition_bytes=5000).collect()
-        assert sorted(((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got), key=key) == sorted(plain_scores(rows, order, 2, 0.4), key=key)
+        got = lm.score(docs, order=order, min_count=min_count, run_bytes=2000, partition_bytes=5000, fan=fan).collect()
+        assert sorted(((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got), key=key) == sorted(plain_scores(rows, order, min_count, 0.4), key=key)
+
+
+def test_lm_query_like_plain(spark, corpus, odd_rows, tmp_path):
+    rows = [*corpus, *[r[:2] for r in odd_rows]]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    key = lambda r: tuple(str(x) for x in r)
+    got = lm.op2_lm_scoring(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.n_words, round(r.log_score, 5)) for r in got), key=key) == sorted(((d, n, round(s, 5)) for d, n, s in plain_scores(rows, 3, 1, 0.4)), key=key)
+
+
+def test_lm_packing_keeps_64_bits():
+    rng = np.random.default_rng(3)
+    for x in (np.array([], dtype=np.int64), np.array([0]), np.array([5_000_000_000, 1, 0, 1 << 62]), rng.integers(0, 1 << 40, 1000)):
+        assert (lm.unpack(lm.pack(x)).view(np.int64) == x).all()
+    hashes = np.unique(rng.integers(0, 1 << 64, 1000, dtype=np.uint64))
+    assert (lm.unpack_sorted(lm.pack_sorted(hashes)) == hashes).all()
+    two = np.concatenate([hashes, hashes])  # sections of a bundle begin anew
+    assert (lm.unpack_sorted(lm.pack_sorted(two)) == two).all()
 
 
 def test_lm_scores_empty(none):
