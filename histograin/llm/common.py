@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -59,15 +61,24 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows that the JVM and a Python worker pass each other at once; ``chunks`` gathers them by bytes.
-BATCH_ROWS = 1000
+def release(spark: SparkSession) -> None:
+    """Let shuffle files go that no frame needs any more; they stay until the driver collects its garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+#: Rows and bytes that the JVM and a Python worker pass each other at once; ``chunks`` gathers them by bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches be small where the session has Spark's default of 10,000 rows, which long texts fill with hundreds of MB."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Let Arrow batches be small where the session has Spark's defaults, 10,000 rows and 64 MB, which a worker and its executor both hold."""
+    for key, default, own in (("maxRecordsPerBatch", 10_000, BATCH_ROWS), ("maxBytesPerBatch", 64 << 20, BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key).rstrip("bB") == str(default):
+            spark.conf.set(key, str(own))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -147,20 +158,32 @@ def crc32_of(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("binary"))
 
 
+#: Nodes with more than this part of the links are hubs.
+HUBS = 20_000
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: long): root is the smallest node that its links reach.
 
     Large-star and small-star rounds (Kiveris et al. 2014), each written to the shared folder; a node's neighbours
-    are never gathered in one place, only their minimum is taken and joined back.
+    are never gathered in one place, only their minimum is taken and joined back. Nodes of more than ``1 / HUBS`` of the
+    links, of which there are few, are joined by broadcast, so that no hub's links meet in one task.
     """
 
-    def stars(e: DataFrame) -> DataFrame:
+    def lowered(e: DataFrame, low: DataFrame, most: int) -> DataFrame:
+        """(u, v, m): edges with the minimum of u."""
+        hubs = F.broadcast(low.where(F.col("k") > most).select(F.col("u").alias("hub"), F.col("m").alias("hub_m")))  # at most 4 * HUBS rows
+        e = e.join(hubs, e["u"] == hubs["hub"], "left").withColumn("by", F.when(F.col("hub").isNull(), F.col("u")).otherwise(F.xxhash64("u", "v")))
+        return e.join(low.select(F.col("u").alias("by"), "m"), "by", "left").select("u", "v", F.coalesce("hub_m", "m").alias("m"))
+
+    def stars(e: DataFrame, n: int) -> DataFrame:
+        most = max(1000, n // HUBS)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("k"))
+        large = lowered(both.where("v > u"), low, most).select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.where("u > v").distinct()
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(low, "u")
+        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        joined = lowered(down, low, most)
         return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), f"{name}-edges")
@@ -169,7 +192,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         sign = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if sign == seen:
             break
-        before, seen, edges = edges, sign, written(stars(edges), f"{name}-stars")
+        before, seen, edges = edges, sign, written(stars(edges, sign[0]), f"{name}-stars")
         discard(before)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -7,10 +7,13 @@ differ in at most (a + b)(1 - t)/(1 + t) columns and have sizes within a factor
    differ in, so linked rows agree completely in some block (each row also joins the next band, so that a pair in
    neighbouring bands meets). Blocks in which a row has few columns are too weak to tell rows apart; a row leaves out
    all blocks of up to so many columns as it has blocks to spare for (by its own size). Of two linked rows the one that
-   leaves out more agrees with the other in a block that both list, so no pair is lost;
+   leaves out more agrees with the other in a block that both list, so no pair is lost. Empty blocks say nothing and are
+   never listed: a row with more of them than it has to spare lists its blocks of another partition besides, so that
+   two such rows meet there (after ``SALTS`` partitions, which no row gets to by chance, also the empty ones);
 2. the row blocks: rows that agree in a column block are joined to the smallest of them, a star and never all pairs;
-   the connected rows form a cluster, and a cluster above ``ROWS`` rows is dealt into hashed row blocks, of which
-   every two are multiplied by one task: no row is dropped, and a task never holds more than two row blocks;
+   the connected rows form a cluster, and a cluster above ``ROWS`` rows is dealt into hashed row blocks. Each block is
+   first held against the cluster's smallest row; then those rows that aren't linked with it meet every block, so that
+   a group of copies costs its rows once. No row is dropped, and a task never holds more than two row blocks;
 3. inside the product, column postings accumulate the overlap counts of one row against all earlier rows, and pairs
    below the size-derived overlap are discarded. A task returns a spanning forest of its links, not the pairs.
 
@@ -31,8 +34,12 @@ from pyspark.sql import functions as F
 from .common import LOWER, WordHashes, bytes_of, chunks, components, discard, mix, small_batches, starts_of, table, written
 
 SHINGLE, NUM, DEN = 4, 85, 100
-#: Rows in a row block; a task multiplies two of them.
-ROWS = 1500
+#: Bytes of text that are cut into shingles at once.
+CHUNK = 4 << 20
+#: Rows in a row block, and shingles in all of them; a task multiplies two of them.
+ROWS, COLUMNS = 1500, 1 << 20
+#: Partitions of the columns that a row with too many empty blocks tries; distinct rows whose keys a task has sent.
+SALTS, SEEN = 12, 100_000
 #: Bits of the fixed-size filter that spares unclustered texts the second pass; a full filter only spares fewer.
 FILTER_BITS = 1 << 23
 
@@ -95,40 +102,47 @@ def digest(rows: np.ndarray) -> tuple[int, int]:
 
 
 def block_keys(rows: np.ndarray, bands: Bands) -> np.ndarray:
-    """One 64-bit key for each column block of the row, in its own band and in the next."""
+    """One 64-bit key for each column block that the row lists, in its own band and in the next."""
     n = len(rows)
     if n * bands.den < (n + 1) * bands.num:  # any other set falls below the threshold
         return np.zeros(0, dtype=np.uint64)
     own, keys = bands.of(n), []
     bands.of(bands.tops[own] + 1)
-    spread = mix(rows ^ _K[3])
     for band in (own, own + 1):
-        m = bands.blocks[band]
-        at = (spread >> np.uint64(32)).astype(np.int64) * m >> 32
-        size = np.bincount(at, minlength=m)
-        order = np.argsort(at, kind="stable")
-        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(spread[order], dtype=np.uint64)])
-        ends = np.cumsum(size)
-        block = mix((total[ends] - total[ends - size]) ^ mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32)))
-        upto = np.cumsum(np.bincount(size))  # blocks of at most so many columns
-        least = int(np.searchsorted(upto, bands.spare(band, n), side="right"))
-        keys.append(block[size >= least])
+        m, spare = bands.blocks[band], bands.spare(band, n)
+        for salt in range(SALTS):
+            spread = mix(rows ^ _K[3] ^ np.uint64(salt << 56))
+            at = (spread >> np.uint64(32)).astype(np.int64) * m >> 32
+            size = np.bincount(at, minlength=m)
+            order = np.argsort(at, kind="stable")
+            total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(spread[order], dtype=np.uint64)])
+            ends = np.cumsum(size)
+            block = mix((total[ends] - total[ends - size]) ^ mix(np.arange(m, dtype=np.uint64) + np.uint64((salt << 56) + (band << 32))))
+            upto = np.cumsum(np.bincount(size))  # blocks of at most so many columns
+            least = int(np.searchsorted(upto, spare, side="right"))
+            if least:
+                keys.append(block[size >= least])
+                break
+            keys.append(block if salt == SALTS - 1 else block[size > 0])
     return np.concatenate(keys)
 
 
-def _product(frames: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning forest (as row numbers) of the links among the rows: one row by all earlier ones, by column postings."""
-    frames = frames.sort_values("n", kind="stable")
-    place = frames.index.to_numpy()
-    rows = [np.frombuffer(b, dtype=np.uint64) for b in frames["columns"]]
-    sizes = frames["n"].to_numpy()
-    flat = np.concatenate(rows)
-    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+def _product(frames: pd.DataFrame, num: int, den: int, left: np.ndarray | None = None, among: bool = True) -> list[tuple[int, int]]:
+    """Spanning forest (as row numbers) of the links with rows of ``left`` (all rows by default), each pair once, by the column postings of these rows.
+
+    Without ``among``, links between two rows of ``left`` are left out.
+    """
+    order = np.argsort(frames["n"].to_numpy(), kind="stable")
+    left = np.ones(len(order), dtype=bool) if left is None else left
+    order = np.concatenate([order[left[order]], order[~left[order]]])  # each part by size
+    rows = [np.frombuffer(b, dtype=np.uint64) for b in frames["columns"].iloc[order]]
+    sizes, n_left = frames["n"].to_numpy()[order], int(left.sum())
+    _, column, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
     bounds = starts_of(sizes.astype(np.int64))
     shared = count[column] > 1
-    of = np.repeat(np.arange(len(rows)), sizes)
-    order = np.argsort(column[shared], kind="stable")
-    posting, posted = of[shared][order], starts_of(np.bincount(column[shared], minlength=len(count)))
+    end = bounds[n_left]
+    of, own = np.repeat(np.arange(n_left), sizes[:n_left])[shared[:end]], column[:end][shared[:end]]
+    posting, posted = of[np.argsort(own, kind="stable")], starts_of(np.bincount(own, minlength=len(count)))
     parent = np.arange(len(rows))
 
     def root(x: int) -> int:
@@ -138,23 +152,24 @@ def _product(frames: pd.DataFrame, num: int, den: int) -> list[tuple[int, int]]:
         return x
 
     links = []
-    for i in range(1, len(rows)):
-        own = column[bounds[i] : bounds[i + 1]]
-        own = own[shared[bounds[i] : bounds[i + 1]]]
+    for i in range(1 if among else n_left, len(rows)):
+        mine = column[bounds[i] : bounds[i + 1]]
+        mine = mine[shared[bounds[i] : bounds[i + 1]]]
         n = int(sizes[i])
-        if den * len(own) < num * n:  # too few columns that any other row has
+        if den * len(mine) < num * n:  # too few columns that any other row has
             continue
-        first = int(np.searchsorted(sizes, -(-num * n // den)))
-        if first >= i:
+        first = int(np.searchsorted(sizes[:n_left], -(-num * n // den)))
+        last = i if i < n_left else int(np.searchsorted(sizes[:n_left], n * den // num, side="right"))
+        if first >= last:
             continue
-        met = np.concatenate([posting[posted[c] : posted[c + 1]] for c in own.tolist()])
-        overlap = np.bincount(met[(met >= first) & (met < i)] - first, minlength=i - first)
-        linked = np.flatnonzero(den * overlap >= num * (sizes[first:i] + n - overlap)) + first
+        met = np.concatenate([posting[posted[c] : posted[c + 1]] for c in mine.tolist()])
+        overlap = np.bincount(met[(met >= first) & (met < last)] - first, minlength=last - first)
+        linked = np.flatnonzero(den * overlap >= num * (sizes[first:last] + n - overlap)) + first
         for j in linked.tolist():
             a, b = root(i), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                links.append((int(place[i]), int(place[j])))
+                links.append((int(order[i]), int(order[j])))
     return links
 
 
@@ -171,11 +186,17 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, bands = Shingles(shingle), Bands(num, den)
-        for batch in chunks(batches):
+        shingles, bands, seen, none = Shingles(shingle), Bands(num, den), set(), np.zeros(0, dtype=np.uint64)
+        for batch in chunks(batches, limit=CHUNK):
             sets = shingles.sets(bytes_of(batch.column("text")))
             ids = [digest(s) for s in sets]
-            keys = [block_keys(s, bands) for s in sets]
+            keys = []
+            for s, d, known in zip(sets, ids, batch.column("doc_id").is_valid().to_pylist(), strict=True):
+                keys.append(block_keys(s, bands) if known and d not in seen else none)  # equal sets have equal keys: a task sends them once
+                if known:
+                    seen.add(d)
+            if len(seen) > SEEN:
+                seen.clear()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -191,7 +212,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     live = incidence.where("n_shingles > 0 and doc_id is not null")
 
     # stars of the column blocks; a key's smallest row stands for it
-    met = live.select("d1", F.explode("keys").alias("key")).withColumn("hub", F.min("d1").over(Window.partitionBy("key")))
+    met = live.where("size(keys) > 0").select("d1", F.explode("keys").alias("key")).withColumn("hub", F.min("d1").over(Window.partitionBy("key")))
     stars = met.where("d1 > hub").select(F.col("d1").alias("u"), F.col("hub").alias("v")).distinct()
     clusters = written(components(stars, "jaccard-clusters").select(F.col("node").alias("d1"), F.col("root").alias("cluster")), "jaccard-clusters")
     keyed, incidence = incidence, written(incidence.drop("keys"), "jaccard-sizes")
@@ -201,7 +222,8 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     held = written(classes.join(clusters, "d1"), "jaccard-held")
 
     # row blocks
-    big = held.groupBy("cluster").agg(F.ceil(F.count("*") / rows).cast("int").alias("n_blocks"))
+    row_blocks = F.ceil(F.greatest(F.count("*") / rows, F.sum("n") / COLUMNS)).cast("int")
+    big = held.groupBy("cluster").agg(row_blocks.alias("n_blocks"))
     blocks = held.join(big, "cluster").withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("n_blocks")).cast("int"))
 
     word = F.shiftright(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)), 6).cast("int")
@@ -216,7 +238,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
         for batch in batches:
             at = batch.column("at").to_numpy(zero_copy_only=False)
             wanted = np.flatnonzero((filled[at >> 6] >> (at & 63)) & 1)
-            for part in chunks(iter([batch.take(pa.array(wanted))])):
+            for part in chunks(iter([batch.take(pa.array(wanted))]), limit=CHUNK):
                 sets = shingles.sets(bytes_of(part.column("text")))
                 ids = [digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([d[0] for d in ids], pa.int64()), pa.array([d[1] for d in ids], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "d1", "d2", "columns"])
@@ -224,18 +246,37 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     sparse = docs.where("doc_id is not null and text is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(columns_of, "rep bigint, d1 bigint, d2 bigint, columns binary")
     matrix = written(sparse.join(blocks, ["rep", "d1", "d2"]).dropDuplicates(["d1", "d2"]), "jaccard-matrix")
 
-    # every two row blocks of a cluster meet in one task
-    pairs = matrix.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    pairs = pairs.select("cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "rep", "n", "columns")
-
     def multiply(_key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.reset_index(drop=True)
-        links = _product(frame, num, den)
+        links = _product(frame, num, den, frame["rests"].to_numpy(dtype=bool), among=bool(frame["b"].iloc[0] == 0))
         rep = frame["rep"].to_numpy()
         return pd.DataFrame({"u": [rep[i] for i, _ in links], "v": [rep[j] for _, j in links]}, dtype="int64")
 
-    links = written(pairs.groupBy("cluster", "a", "b").applyInPandas(multiply, "u bigint, v bigint"), "jaccard-links")
-    for done in (matrix, held, clusters):
+    def hold(_key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        """Each row of a row block, and whether it is linked with the cluster's smallest row."""
+        first = frame[frame["is_hub"]].iloc[0]
+        hub, own = np.frombuffer(first["columns"], dtype=np.uint64), frame[~frame["is_hub"]]
+        both = np.array([np.isin(np.frombuffer(c, dtype=np.uint64), hub, assume_unique=True, kind="sort").sum() for c in own["columns"]], dtype=np.int64)
+        return own.assign(hub=first["rep"], linked=den * both >= num * (own["n"].to_numpy() + len(hub) - both)).drop(columns="is_hub")
+
+    fields = "cluster bigint, block int, n_blocks int, rep bigint, n bigint, columns binary"
+    whole = matrix.where("n_blocks = 1").select("cluster", F.lit(0).alias("a"), F.lit(0).alias("b"), "rep", "n", "columns", F.lit(True).alias("rests"))
+    dealt = matrix.where("n_blocks > 1")
+    hubs = dealt.groupBy("cluster").agg(F.min("rep").alias("rep"))
+    hub = dealt.join(hubs, ["cluster", "rep"], "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    columns = [c.split()[0] for c in fields.split(", ")]
+    star = dealt.select(*columns, F.lit(False).alias("is_hub")).union(hub.select(*columns, F.lit(True)))
+    held_up = written(star.groupBy("cluster", "block").applyInPandas(hold, f"{fields}, hub bigint, linked boolean"), "jaccard-stars")
+    rest = held_up.where("not linked").groupBy("cluster").agg(row_blocks.alias("n_rest"))
+    # the rows that remain, in row blocks of their own, meet every row block
+    met_by = held_up.join(rest, "cluster")
+    left = met_by.where("not linked").withColumn("a", F.pmod(F.xxhash64("rep"), F.col("n_rest")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    right = met_by.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1))).where(F.col("linked") | (F.pmod(F.xxhash64("rep"), F.col("n_rest")) != F.col("a"))).withColumn("b", F.col("block"))
+    names = ["cluster", "a", "b", "rep", "n", "columns"]
+    pairs = whole.union(left.select(*names, F.lit(True))).union(right.select(*names, F.lit(False)))
+    found = pairs.groupBy("cluster", "a", "b").applyInPandas(multiply, "u bigint, v bigint")
+    found = found.union(held_up.where("linked and rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")))
+    links = written(found, "jaccard-links")
+    for done in (matrix, held, clusters, held_up):
         discard(done)
 
     # rows that share a doc_id are one document: its texts' classes hang together

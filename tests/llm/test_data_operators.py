@@ -1,11 +1,13 @@
 """Operators 4, 7, 8, 9 and 10 against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from histograin.llm import jaccard_join as jj
@@ -69,18 +71,73 @@ def test_jaccard_at_the_threshold(spark):
     assert classes(docs) == plain_classes(rows)
 
 
-def test_column_blocks_always_share_a_key():
+def drifting(rng, n=70):
+    """Near copies of one text, copies of copies that end up far from it, and rows that only share a passage."""
+    base, rows = [f"w{rng.randrange(10**6)}" for _ in range(150)], []
+    passage = base[:40]
+    for i in range(n):
+        near = list(base)
+        for _ in range(rng.randint(0, 3)):
+            near[rng.randrange(len(near))] = f"x{rng.randrange(10**6)}"
+        rows.append(near)
+        if i % 9 == 0:
+            base = near
+    rows += [[*passage, *(f"y{rng.randrange(10**6)}" for _ in range(rng.randint(5, 110)))] for _ in range(n)]
+    return [(i, " ".join(r)) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("rows", [1500, 20])
+def test_jaccard_of_one_large_group(spark, rows):
+    """Above ``rows``, row blocks are held against the smallest row before the rest is multiplied."""
+    own = drifting(random.Random(8))
+    assert classes(spark.createDataFrame(own, "doc_id bigint, text string").repartition(3), rows=rows) == plain_classes(own)
+
+
+def test_product_of_two_parts_finds_the_same_links():
+    rng = np.random.default_rng(6)
+    pool = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
+    sets = [np.sort(rng.choice(pool, int(n), replace=False)) for n in rng.integers(45, 60, 60)]
+    frame = pd.DataFrame({"n": [len(x) for x in sets], "columns": [x.tobytes() for x in sets]})
+    left = rng.random(60) < 0.4
+    linked = {(i, j) for i in range(60) for j in range(i) if 100 * (o := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - o)}
+
+    def roots(links):
+        of = list(range(60))
+        for _ in range(60):
+            for i, j in links:
+                of[i] = of[j] = min(of[i], of[j])
+        return of
+
+    assert linked and roots(jj._product(frame, 80, 100)) == roots(linked)
+    some = {(i, j) for i, j in linked if left[i] or left[j]}
+    assert roots(jj._product(frame, 80, 100, left)) == roots(some)
+    assert roots(jj._product(frame, 80, 100, left, among=False)) == roots({(i, j) for i, j in some if left[i] != left[j]})
+
+
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100)])
+def test_column_blocks_always_share_a_key(num, den):
     rng = np.random.default_rng(0)
-    bands = jj.Bands(85, 100)
-    for n in [6, 7, 9, 12, 20, 33, 70, 150, 400]:
-        for _ in range(25):
+    bands, most, met = jj.Bands(num, den), (den - num) / den, 0
+    for n in [4, 5, 6, 7, 9, 12, 20, 33, 70, 150, 400, 3000, 20_000]:
+        for _ in range(200 if n < 50 else 25 if n < 1000 else 6):
             pool = np.unique(rng.integers(0, 2**63, 2 * n + 10, dtype=np.uint64))
             rng.shuffle(pool)
-            drop, add = int(rng.integers(0, n // 7 + 1)), int(rng.integers(0, n // 7 + 1))
+            drop = int(rng.integers(0, int(n * most) + 1))
+            add = int(rng.integers(0, max(0, int((n - drop) * den / num) - n) + 1))
             a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[drop:n], pool[n : n + add]]))
             o = n - drop
-            if 100 * o >= 85 * (len(a) + len(b) - o) and (drop or add):
+            if den * o >= num * (len(a) + len(b) - o) and (drop or add):
+                met += 1
                 assert set(jj.block_keys(a, bands).tolist()) & set(jj.block_keys(b, bands).tolist())
+    assert met > 200
+
+
+@pytest.mark.parametrize("n", [6, 10, 15, 40, 200])
+def test_no_key_of_unrelated_rows(n):
+    """Empty column blocks are no keys: rows without a common column never meet."""
+    rng, bands = np.random.default_rng(n), jj.Bands(85, 100)
+    keys = Counter(k for _ in range(2000) for k in set(jj.block_keys(np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)), bands).tolist()))
+    assert max(keys.values()) == 1
 
 
 def test_column_blocks_tell_unrelated_rows_apart():
@@ -97,7 +154,7 @@ def test_column_blocks_tell_unrelated_rows_apart():
 
 def test_components(spark):
     rng = np.random.default_rng(3)
-    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1100)]
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(3000, 4500)]  # the last: a hub
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u bigint, v bigint"), "test").collect()}
     near = defaultdict(set)
     for a, b in links:
