@@ -22,7 +22,7 @@ from .common import chunks, small_batches, starts_of, table
 #: Expected number of training rows of each language: the documented bound of the fitted sample.
 SAMPLE_ROWS = 1500
 #: Bytes of text that a worker labels at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Buckets of trigram hashes.
 BUCKETS = 1 << 16
 #: Log-likelihood that a span of another language must win to be switched to and back from.

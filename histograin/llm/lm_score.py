@@ -17,7 +17,6 @@ words out of the table, so that they back off.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, chunks, discard, mix, small_batches, starts_of, sums_by_row, table, written
+from .common import LOWER, WordHashes, chunks, discard, mix, release, small_batches, starts_of, sums_by_row, table, written
 
 ORDER, MIN_COUNT, BACKOFF = 3, 1, 0.4
 #: Bytes of text in a run, and for each partition of the count tables.
@@ -218,8 +217,7 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
     totals = []
     for n in range(1, order + 1):
         totals.append(written(totals_of(n).withColumn("n", F.lit(n)), f"lm-totals-{n}", compression="zstd"))
-        gc.collect()  # the order's shuffle files go with the frames that they belong to
-        spark.sparkContext._jvm.System.gc()
+        release(spark)
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[pa.Table] = []

@@ -30,9 +30,9 @@ END = 1
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 64 << 20
 #: Bytes of text that are encoded at once.
-CHUNK = 12 << 20
+CHUNK = 6 << 20
 #: Pre-tokens after which a worker's cache turns over.
-CACHE_PRE_TOKENS = 300_000
+CACHE_PRE_TOKENS = 150_000
 #: Keys in a bucket of the minimal perfect hash, on average.
 BUCKET_KEYS = 4
 #: Key of rows without doc_id; an id can't be it.
