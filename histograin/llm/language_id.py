@@ -32,6 +32,9 @@ SCRIPT_SHARE = 0.005
 #: Texts of a share of letters below this in their language are rejected by the pipeline.
 LEAST_SCORE = 0.5
 
+#: Stands for the script of marks.
+MARK = 255
+
 # First and last code points of script ranges (Unicode blocks); other letters are script 0.
 SCRIPTS = (
     (0x0041, 0x024F),  # Latin
@@ -56,13 +59,12 @@ SCRIPTS = (
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: script + 1 of letters or 0, and the lower-case code point where that is a single one."""
+    """By code point: script + 1 of letters, ``MARK`` or 0, and the lower-case code point where that is a single one."""
     kind, lower = np.zeros(sys.maxunicode + 1, dtype=np.uint8), np.arange(sys.maxunicode + 1, dtype=np.uint32)
-    top = 0x32000
-    for c in range(top):
+    for c in range(sys.maxunicode + 1):
         x = chr(c)
-        if unicodedata.category(x)[0] in "LM":  # marks belong to their word
-            kind[c] = 1 if unicodedata.category(x)[0] == "L" else 255
+        if unicodedata.category(x)[0] in "LM":  # marks belong to their word, but are no letters
+            kind[c] = 1 if unicodedata.category(x)[0] == "L" else MARK
             if len(low := x.lower()) == 1:
                 lower[c] = ord(low)
     letters = kind == 1
@@ -119,7 +121,8 @@ class Model:
         able = self.uses[np.minimum(script[first], self.uses.shape[0] - 1)]
         able[~able.any(axis=1)] = True
         scores[~able] -= 1e4
-        return _viterbi(scores, bounds), ends - first, at[first], at[ends - 1] + 1, bounds
+        letters = np.add.reduceat((script != MARK).astype(np.int64), first)
+        return _viterbi(scores, bounds), letters, at[first], at[ends - 1] + 1, bounds
 
 
 def _viterbi(scores: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -193,8 +196,10 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
 def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataFrame:
     """The rows of ``docs``, with lang_pred, score and, if asked for, lang_spans (begin and end in code points, lang).
 
-    ``und`` and 0 for null texts, texts without a letter, and where nothing was learnt. score: the share of letters
-    in words of lang_pred. Columns of these names in ``docs`` are replaced; all others pass through.
+    A letter is a character of a Unicode category L; marks go with the word they stand in. ``und`` and 0 for null texts,
+    texts without a letter, and where nothing was learnt. score: the share of letters in words of lang_pred; of
+    languages with equally many letters the first by name. A text is read whole, however long. Repeated rows are
+    labelled each, an empty table gives no row. Columns of these names in ``docs`` are replaced; all others pass through.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "lang_spans")

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from histograin.llm import jaccard_join as jj
 from histograin.llm import mixing as mx
@@ -242,28 +243,65 @@ def pages():
     return [(1, "http://a/1", long), (5, "http://a/5 x\r\ny", long), (9, None, long), (2, "http://a/2", "<p>short</p>"), (3, "http://a/3", "<p>short</p>"), (4, "u", None), (6, "u", ""), (7, "u", "a\r\n\r\nWARC/1.1\r\n\r\n" * 90), (7, "u", "a\r\n\r\nWARC/1.1\r\n\r\n" * 90), (None, "u", "z" * 1200), (8, "u", "z" * 1200), (11, "u", "x" * 999), (12, "u", "x" * 999), (13, "u", "x" * 1000), (14, "u", "x" * 1000)]
 
 
-def test_warc_round_trip(spark, pages):
-    docs = spark.createDataFrame([(*p, "extra") for p in pages], "page_id bigint, url string, html string, digest string").repartition(3)
-    path = fresh_path(spark, "test-warc")
-    warc.write_archives(warc.resolve(docs), path, records=3)
-    got = warc.read_archives(spark, path).collect()
+def plain_warc(pages):
     tops = {}
     for i, _, h in pages:
         if len((h or "").encode()) >= 1000 and i is not None:
             tops[h] = max(i, tops.get(h, i))
-    expected = []
+    many, out = Counter(h for _, _, h in pages), []
     for i, _, h in pages:
         raw, top = (h or "").encode(), tops.get(h)
-        many = sum(x[2] == h for x in pages) > 1
-        to = top if top is not None and many and i != top else None
-        expected.append((str(i), len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if to is not None else "response", to))
-    assert sorted(expected, key=str) == sorted(((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str)
+        to = top if top is not None and many[h] > 1 and i != top else None
+        out.append((str(i), len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if to is not None else "response", to))
+    return sorted(out, key=str)
+
+
+def told(rows):
+    return sorted(((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=str)
+
+
+@pytest.mark.parametrize(("archive_bytes", "hot_pages"), [(32 << 20, 1000), (4000, 2), (4000, 1000)])
+def test_warc_round_trip(spark, pages, archive_bytes, hot_pages):
+    docs = spark.createDataFrame([(*p, "extra") for p in pages], "page_id bigint, url string, html string, digest string").repartition(3)
+    path = fresh_path(spark, "test-warc")
+    warc.write_archives(warc.resolve(docs, archive_bytes=archive_bytes, hot_pages=hot_pages), path, records=3)
+    got = warc.read_archives(spark, path).collect()
+    assert told(got) == plain_warc(pages)
     assert all(r.payload == (next(h for i, _, h in pages if i == r.page_id) or "") for r in got if r.record_type == "response")
     path = fresh_path(spark, "test-warc")
     warc.write_archives(warc.resolve(docs.limit(0)), path)
     assert warc.read_archives(spark, path).count() == 0
 
 
+def test_warc_with_one_payload_on_half_of_the_pages(spark, tmp_path):
+    rng = random.Random(3)
+    popular = "<p>" + "same " * 400
+    pages = [(i, f"http://a/{i}", popular if i % 2 else "<p>" + str(rng.random()) * rng.randint(1, 200)) for i in range(3000)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert told(warc.op9_warc(spark, str(tmp_path)).collect()) == plain_warc(pages)
+    resolved = warc.resolve(spark.read.parquet(str(tmp_path / "pages.parquet")), archive_bytes=100_000)
+    held = [r["count"] for r in resolved.where("payload like '<p>same%'").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 1500 and max(held) < 300  # the hot payload's pages lie in many partitions
+
+
+def test_warc_records_are_members_that_can_be_read_alone(spark):
+    big = "x" * (warc.MEMBER_BYTES + 5)  # one record of two members
+    docs = spark.createDataFrame([(1, "http://a b", "<p>one"), (2, None, big), (None, "u", "é")], "page_id bigint, url string, html string").coalesce(1)
+    path = fresh_path(spark, "test-warc")
+    warc.write_archives(warc.resolve(docs), path)
+    assert sorted((r.payload for r in warc.read_archives(spark, path).collect()), key=len) == ["é", "<p>one", big]
+    alone, ids = [], set()
+    for f in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect():
+        raw = bytes(f.content)
+        while raw:
+            member = zlib.decompressobj(31)
+            record = member.decompress(raw)
+            raw = member.unused_data
+            alone.append(record)
+            ids |= set(re.findall(rb"WARC-Record-ID: (\S+)", record))
+    assert len(alone) == 4 and len(ids) == 3 and sum(r.startswith(b"WARC/1.1\r\n") for r in alone) == 3
+
+
 @pytest.mark.parametrize("shard_bytes", [64 << 20, 3000])
 def test_token_ids_like_the_library(spark, odd_rows, odd, none, corpus, shard_bytes):
     from tokenizers import Tokenizer

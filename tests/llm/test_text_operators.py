@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -144,6 +146,68 @@ def test_language_spans_and_held_out(spark):
     assert [(s.begin, s.end) for s in mixed.lang_spans] == [(0, len(a)), (len(a) + 2, len(a) + len(b) + 2), (len(a) + len(b) + 4, len(a) + len(b) + len(c) + 4)]
 
 
+def plain_language(model, text):
+    """Word by word in plain Python: scripts, trigram scores, and the best path by dynamic programming."""
+    words, own = [], []
+    for c in text or "":
+        if unicodedata.category(c)[0] in "LM":
+            own.append(c)
+        elif own:
+            words.append("".join(own))
+            own = []
+    words += ["".join(own)] if own else []
+    letters = [sum(unicodedata.category(c)[0] == "L" for c in w) for w in words]
+    if not sum(letters):
+        return "und", 0.0
+    kind, _ = lid._tables()
+    low = lambda c: ord(c.lower()) if len(c.lower()) == 1 else ord(c)
+    best, back = None, []
+    for w in words:
+        at = [32, *map(low, w), 32]
+        scores = np.zeros(len(model.langs), dtype=np.float32)
+        for x, y, z in zip(at, at[1:], at[2:], strict=False):
+            h = (y * 0xC2B2AE3D + x * 0x9E3779B1 + z * 0x165667B1) % (1 << 32)
+            h = (h ^ (h >> 15)) * 0x85EBCA77 % (1 << 32)
+            scores += model.log[:, h >> 16]
+        able = model.uses[kind[ord(w[0])]]
+        scores = np.where(able | (not able.any()), scores, scores - 1e4)
+        if best is None:
+            best = scores.astype(float)
+            continue
+        top = int(best.argmax())
+        from_ = [k if best[k] >= best[top] - lid.SWITCH else top for k in range(len(best))]
+        back.append(from_)
+        best = np.array([max(best[k], best[top] - lid.SWITCH) for k in range(len(best))]) + scores
+    path = [int(best.argmax())]
+    for from_ in reversed(back):
+        path.append(from_[path[-1]])
+    sums = np.zeros(len(model.langs))
+    for k, n in zip(reversed(path), letters, strict=True):
+        sums[k] += n
+    return model.langs[int(sums.argmax())], sums.max() / sums.sum()
+
+
+def test_language_query_like_plain(spark, tmp_path, odd_rows):
+    """The query against a plain predictor, on learnt, mixed, odd and letterless texts; lang and doc_id of a row don't matter to it."""
+    rng = random.Random(12)
+    parts = {"aa": "ba be bi bo bu ga".split(), "bb": "tro kel min dos vur ba".split(), "cc": "жу ка ло ми ба".split()}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(lang, rng.randint(1, 60)), lang) for i, lang in enumerate(list(parts) * 60)]
+    rows += [(1000 + i, ". ".join(text(rng.choice(list(parts)), rng.randint(1, 12)) for _ in range(6)), None) for i in range(60)]
+    rows += [(2000, "\u0301\u0302", None), (2001, "12 \u0301", None), (2002, chr(0x32001) * 3, None), (2003, "\u0301a", None), (2004, None, "aa"), (2005, "", "aa")]
+    rows += [(None if d is None else 3000 + d, t, None) for d, t, *_ in odd_rows]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = lid.op3_language_id(spark, str(tmp_path)).collect()
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = lid.fit(docs.where(docs.doc_id.isNotNull() & ~lid.held_out()))
+    key = lambda r: tuple(map(str, r))
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+    want = [(d, held(d), *plain_language(model, t)) for d, t, _ in rows]
+    assert sorted(((r.doc_id, r.held_out, r.lang_pred, round(r.score, 6)) for r in got), key=key) == sorted(((d, h, x, round(s, 6)) for d, h, x, s in want), key=key)
+    by = {r.doc_id: r for r in got}
+    assert [by[k].lang_pred for k in (2000, 2001, 2004, 2005)] == ["und"] * 4 and by[2002].lang_pred != "und" and by[2003].lang_pred != "und"
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(4)
     scores = (rng.normal(size=(18, 3)) * 15).astype(np.float32)
