@@ -210,7 +210,7 @@ def test_mixture(spark, odd, none, odd_rows):
     docs = spark.createDataFrame(rows, "doc_id bigint, source string").repartition(5)
     out = mx.interleave(docs, block_rows=4).collect()
     assert {(r.doc_id, r.source) for r in out} == set(rows) and all(r.epoch == 0 for r in out if r.source == "s0")
-    tickets = mx.tickets_of(Counter(s for _, s in rows))
+    tickets = mx.tickets_of({s: n**mx.POWER for s, n in Counter(s for _, s in rows).items()})
     by_slot = {r.slot: r.source for r in out}
     assert sorted(by_slot) == list(range(len(by_slot)))
     done = Counter()
@@ -224,6 +224,24 @@ def test_mixture(spark, odd, none, odd_rows):
     assert mx.interleave(none).count() == 0
 
 
+def test_mixture_of_a_tiny_source(spark):
+    """A round has as many tickets as the least weight needs: a source of one row comes no more often than its weight asks for."""
+    rows = [(i, f"s{i % 3}") for i in range(30_000)] + [(-1, "tiny")]
+    out = mx.interleave(spark.createDataFrame(rows, "doc_id bigint, source string"), block_rows=8)
+    slots, n = out.agg(F.max("slot")).first()[0] + 1, out.where("source = 'tiny'").count()
+    weight = 1 / (1 + 3 * 10_000**mx.POWER)
+    assert abs(n - weight * slots) < 1 + 1e-9
+
+
+def test_mixture_of_many_sources_and_own_columns(spark):
+    """Sources beyond the bound share one schedule; columns with the schedule's own names come back as they were."""
+    rows = [(i, f"s{i % 5 if i % 2 else 100 + i}", f"m{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, mix__s string").withColumn("mix__row", F.col("mix__s"))
+    out = mx.interleave(docs, block_rows=2, max_sources=4).collect()
+    assert {(r.doc_id, r.source, r.mix__s, r.mix__row) for r in out} == {(*r, r[2]) for r in rows}
+    assert sorted(r.slot for r in out if r.place == 0) == list(range(max(r.slot for r in out) + 1))
+
+
 def test_mixture_of_one_repeated_key(spark, monkeypatch):
     monkeypatch.setattr(mx, "RANK_ROWS", 10)
     docs = spark.createDataFrame([(7, "a")] * 300 + [(i, "b") for i in range(50)], "doc_id bigint, source string").repartition(4)
