@@ -15,6 +15,7 @@ from .operators import metrics as M
 from .operators import replay as R
 from .operators import tree as T
 from .operators.ranking import global_rank
+from .session import shared_dir
 from .sources import analog as A
 from .sources.document import SCHEMA_VERSION
 from .streaming import ingest as S
@@ -600,11 +601,9 @@ def export_roundtrip(spark, d):
 
 
 def _streamed(spark, name, df, mode="append") -> DataFrame:
-    import tempfile
     import uuid
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="histograin-")
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     S.available_now(df, path, f"{path}-checkpoint", mode)
     return spark.read.schema(df.schema).parquet(path)
 

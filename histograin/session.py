@@ -29,9 +29,22 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset on a single machine (tests)."""
+    context = spark.sparkContext
+    at = context.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = os.path.join(tempfile.gettempdir(), f"histograin-{os.getuid()}")
+        os.makedirs(at, exist_ok=True)
+        at = f"file://{at}"
+    return at.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in spark.checkpoint.dir; where that is unset (tests, one machine), in a folder of our own."""
+    """Checkpoint ``df`` in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="histograin-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
