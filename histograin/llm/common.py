@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -16,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Bytes of text that a Python worker handles at once; one longer document is handled alone.
 CHUNK_BYTES = 8 << 20
 #: Entries that a worker's word cache may hold before it is emptied.
@@ -26,16 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = os.environ.get("HISTOGRAIN_SHARED") or os.path.join(tempfile.gettempdir(), f"histograin-{os.getuid()}")
-        os.makedirs(at, exist_ok=True)
-        at = f"file://{at}"
-    return at.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
