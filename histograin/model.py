@@ -6,13 +6,10 @@ from dataclasses import dataclass, field
 
 from .functions.hashing import fnv1a64
 
-CHANGE_TYPES = ("A", "M", "D", "R", "C")
-
 AUTHORS = "author_id int, canonical_name string, canonical_email string"
 COMMITS = "sha string, author_id int, committed_at timestamp, files_changed int, is_mechanical boolean"
 FILE_CHANGES = "sha string, path string, old_path string, added int, deleted int, change_type string, blob_sha string"
 HUNKS = "path string, failed boolean, commit_sha string, lines int"
-BLOBS = "blob_sha string, path string, content binary"
 META = "engine_version string, config_hash string, metrics_hash string, analyzed_at timestamp, head_sha string"
 FILE_METRICS = "path string, churn_total int, churn_30d int, churn_90d int, churn_365d int, complexity float, complexity_per_loc float, hotspot_rank int, is_alive boolean"
 COUPLING = "path_a string, path_b string, support int, coupling_ratio float, explained_by_imports boolean"
@@ -59,7 +56,7 @@ class Config:
             raise ConfigError("mechanical_max_files can't be negative")
 
     def hash(self) -> str:
-        """FNV-1a over the settings in one fixed text form; the order of the excludes doesn't matter."""
+        """FNV-1a over the settings; the order of the excludes doesn't matter. The text form is a fixed value: stores are compared by it."""
         since = "all" if self.since is None else self.since
         most = "off" if self.mechanical_max_files is None else self.mechanical_max_files
         return fnv1a64(f"since={since};exclude=[{''.join(f'{e},' for e in sorted(self.exclude))}];mech_max_files={most};")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
+from ..functions.columns import seconds
 from ..functions.complexity import complexities
 from ..model import MetricConfig
 from ..operators import history as H
@@ -42,7 +43,7 @@ def hunks_of(store: Store, living: DataFrame, budget: int, blame: Reader) -> tup
 
 
 def materialize(store: Store, read_blobs: Reader, blame: Reader, config: MetricConfig | None = None) -> dict[str, int]:
-    """Compute and publish the metric tables; rows of each."""
+    """Compute the metric tables and publish them together, with the settings' hash; rows of each. What caches gain is published before."""
     config = config or MetricConfig()
     commits, changes = store.read("commits"), store.read("file_changes")
     paths = H.path_map(commits, changes).persist()
@@ -64,26 +65,34 @@ def materialize(store: Store, read_blobs: Reader, blame: Reader, config: MetricC
         "blame_skips": skips,
     }
     schemas = {"file_metrics": model.FILE_METRICS, "coupling": model.COUPLING, "knowledge": model.KNOWLEDGE, "module_bus_factor": model.MODULE_BUS_FACTOR, "file_age": model.FILE_AGE, "blame_skips": model.BLAME_SKIPS}
-    for name, df in tables.items():
-        own = [field.rsplit(" ", 1) for field in schemas[name].split(", ")]
-        store.replace(name, df.select(*(F.col(c).cast(t).alias(c) for c, t in own)))
+    with store.transaction():
+        for name, df in tables.items():
+            own = [field.rsplit(" ", 1) for field in schemas[name].split(", ")]
+            store.replace(name, df.select(*(F.col(c).cast(t).alias(c) for c, t in own)))
+        meta = store.meta() or {}
+        store.set_meta(meta.get("config_hash"), meta.get("head_sha"), config.hash())
     counts = {name: store.read(name).count() for name in tables}
     for df in (paths, living, churn, cx, hunks, owned):
         df.unpersist()
+    store.vacuum()
     return counts
 
 
-def overview(store: Store) -> DataFrame:
-    """One row of counts: commits, files, ranked files, pairs, files with one owner, authors."""
-    one = lambda df, name, c="*": df.agg(F.count(c).alias(name))
+def counts_of(commits: DataFrame, files: DataFrame, pairs: DataFrame, factors: DataFrame, knowledge: DataFrame) -> DataFrame:
+    """One row: commits, anchor (seconds of the latest, 0 without any), files, ranked files, pairs, files with one owner, authors."""
     parts = [
-        one(store.read("commits"), "commits"),
-        store.read("file_metrics").agg(F.count("*").alias("files"), F.count("hotspot_rank").alias("ranked_files")),
-        one(store.read("coupling"), "pairs"),
-        one(store.read("module_bus_factor").where("bus_factor = 1"), "single_owner"),
-        store.read("knowledge").agg(F.countDistinct("author_id").alias("authors")),
+        commits.agg(F.count("*").alias("commits"), F.coalesce(F.max(seconds("committed_at")), F.lit(0)).alias("anchor")),
+        files.agg(F.count("*").alias("files"), F.count("hotspot_rank").alias("ranked_files")),
+        pairs.agg(F.count("*").alias("pairs")),
+        factors.where("bus_factor = 1").agg(F.count("*").alias("single_owner")),
+        knowledge.agg(F.countDistinct("author_id").alias("authors")),
     ]
     out = parts[0]
     for p in parts[1:]:
         out = out.crossJoin(p)  # rows of one
     return out
+
+
+def overview(store: Store) -> DataFrame:
+    """The counts of a materialized store."""
+    return counts_of(*(store.read(t) for t in ("commits", "file_metrics", "coupling", "module_bus_factor", "knowledge"))).drop("anchor")

@@ -1,10 +1,15 @@
-"""A history in Parquet: idempotent appends, one-row meta, caches, and materialized tables behind one pointer."""
+"""A history in Parquet: transactions over all tables, idempotent appends, one-row meta, caches, materialized tables."""
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,76 +22,128 @@ from ..operators.ranking import global_rank
 ENGINE_VERSION = "0.1.0"
 CACHES = {"complexity_cache": "blob_sha string, lang string, value double, per_loc double, loc int, method string, backend string", "blame_cache": "path string, last_sha string, revisions bigint, failed boolean, commit_sha string, lines int"}
 TABLES = {"authors": model.AUTHORS, "commits": model.COMMITS, "file_changes": model.FILE_CHANGES}
+#: Folders of a table from which an append writes it anew as one.
+MOST_FOLDERS = 64
+#: Manifests that stay, and seconds after which a folder that no manifest names counts as left behind.
+KEPT, GRACE = 2, 86_400
 
 
 class Store:
     """Tables below ``root``, on any file system that Spark writes to.
 
-    A table is a folder of versions and a pointer file with the name of the current one, written last: readers see a
-    version whole or not at all. Appends add Parquet files to the current version.
+    A table is a list of Parquet folders that never change. A manifest names the folders of all tables; the one with
+    the largest number holds. A transaction writes new folders and then its manifest, which a rename puts in place
+    under a number that is still free: readers see all of it or nothing, and a writer that another one has overtaken
+    fails.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _exists(self, at: str) -> bool:
-        return self._files.exists(self._path(at))
-
-    def _current(self, name: str) -> str | None:
-        at = f"{self.root}/{name}/current"
-        if not self._exists(at):
-            return None
-        stream = self._files.open(self._path(at))
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._files = self._path(self.root).getFileSystem(self._conf)
+        self._staged: dict[str, list[str]] | None = None
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(f"{self.root}/{folder}")
+        return sorted(f.getPath().getName() for f in self._files.listStatus(at)) if self._files.exists(at) else []
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self._names("manifests") if n.removesuffix(".json").isdigit())
+
+    def _manifest(self, number: int) -> dict[str, list[str]]:
+        stream = self._files.open(self._path(f"{self.root}/manifests/{number:012d}.json"))
         try:
-            return bytes(stream.readAllBytes()).decode().strip()
+            return json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
 
-    def _point(self, name: str, version: str) -> None:
-        new = self._path(f"{self.root}/{name}/.current-{version}")
-        stream = self._files.create(new, True)
-        stream.write(bytearray(version.encode()))
+    def _tables(self) -> dict[str, list[str]]:
+        if self._staged is not None:
+            return self._staged
+        numbers = self._numbers()
+        return self._manifest(numbers[-1]) if numbers else {}
+
+    def _publish(self, number: int, tables: dict[str, list[str]]) -> None:
+        new = self._path(f"{self.root}/manifests/.new-{uuid.uuid4().hex}")
+        stream = self._files.create(new, False)
+        stream.write(bytearray(json.dumps(tables, sort_keys=True).encode()))
         stream.close()
-        to = self._path(f"{self.root}/{name}/current")
-        if self._files.exists(to):
-            self._files.delete(to, False)
-        if not self._files.rename(new, to):
-            raise StoreError(f"can't publish {name}")
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else self._files.getUri(), self._conf)
+        options = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(self._files.makeQualified(new), self._files.makeQualified(self._path(f"{self.root}/manifests/{number:012d}.json")), options)
+        except Py4JJavaError as e:
+            self._files.delete(new, False)
+            raise StoreError("another writer has published first") from e
+
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """What is appended and replaced inside is read inside; others see it when the block has ended, all at once. A block that fails changes nothing."""
+        if self._staged is not None:  # part of the one around it
+            yield
+            return
+        numbers = self._numbers()
+        self._staged = {k: list(v) for k, v in (self._manifest(numbers[-1]) if numbers else {}).items()}
+        try:
+            yield
+            self._publish(numbers[-1] + 1 if numbers else 1, self._staged)
+        finally:
+            self._staged = None
+
+    def _written(self, name: str, df: DataFrame) -> str:
+        folder = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        return folder
+
+    def _folders(self, folders: list[str], schema: str | None) -> DataFrame:
+        paths = [f"{self.root}/{f}" for f in folders]
+        return self.spark.read.schema(schema).parquet(*paths) if schema else self.spark.read.parquet(*paths)
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:
         schema = schema or TABLES.get(name) or CACHES.get(name)
-        version = self._current(name)
-        if version is None:
-            if schema is None:
-                raise StoreError(f"there is no table {name}")
-            return self.spark.createDataFrame([], schema)
-        at = f"{self.root}/{name}/{version}"
-        return self.spark.read.schema(schema).parquet(at) if schema else self.spark.read.parquet(at)
+        folders = self._tables().get(name, [])
+        if not folders and schema is None:
+            raise StoreError(f"there is no table {name}")
+        return self._folders(folders, schema) if folders else self.spark.createDataFrame([], schema)
 
     def replace(self, name: str, df: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/{name}/{version}")
-        self._point(name, version)
+        with self.transaction():
+            self._staged[name] = [self._written(name, df)]
 
     def append(self, name: str, df: DataFrame) -> None:
-        version = self._current(name)
-        if version is None:
-            self.replace(name, df)
-        else:
-            df.write.mode("append").parquet(f"{self.root}/{name}/{version}")
-
-    def drop(self) -> None:
-        self._files.delete(self._path(self.root), True)
+        with self.transaction():
+            if len(self._staged.get(name, [])) >= MOST_FOLDERS:
+                old = self.read(name)
+                self.replace(name, old.unionByName(df.select(*old.columns)))
+            else:
+                self._staged.setdefault(name, []).append(self._written(name, df))
+
+    def clear(self) -> None:
+        """Begin anew, inside a transaction: no table has rows."""
+        with self.transaction():
+            self._staged.clear()
+
+    def vacuum(self, grace: float = GRACE) -> None:
+        """Delete manifests but the last ``KEPT``, the folders that only they name, and folders left behind by writers that failed ``grace`` seconds ago."""
+        numbers = self._numbers()
+        kept = {f for n in numbers[-KEPT:] for folders in self._manifest(n).values() for f in folders}
+        past = {f for n in numbers[:-KEPT] for folders in self._manifest(n).values() for f in folders}
+        for name in self._names(""):
+            for version in self._names(name) if name != "manifests" else []:
+                at = self._path(f"{self.root}/{name}/{version}")
+                if (own := f"{name}/{version}") not in kept and (own in past or self._files.getFileStatus(at).getModificationTime() / 1000 < time.time() - grace):
+                    self._files.delete(at, True)
+        for n in numbers[:-KEPT]:
+            self._files.delete(self._path(f"{self.root}/manifests/{n:012d}.json"), False)
 
     def meta(self) -> dict | None:
         row = self.read("analysis_meta", model.META).first()
         return row.asDict() if row else None
 
-    def set_meta(self, config: Config, head_sha: str | None, metrics_hash: str | None = None) -> None:
-        row = (ENGINE_VERSION, config.hash(), metrics_hash, dt.datetime.now(dt.UTC).replace(tzinfo=None), head_sha)
+    def set_meta(self, config_hash: str, head_sha: str | None, metrics_hash: str | None = None) -> None:
+        row = (ENGINE_VERSION, config_hash, metrics_hash, dt.datetime.now(dt.UTC).replace(tzinfo=None), head_sha)
         self.replace("analysis_meta", self.spark.createDataFrame([row], model.META).coalesce(1))
 
     def put(self, cache: str, rows: DataFrame, keys: list[str]) -> None:
@@ -94,9 +151,14 @@ class Store:
         self.append(cache, rows.select(*self.read(cache).columns).join(self.read(cache).select(*keys).distinct(), keys, "left_anti"))
 
     def put_blame(self, rows: DataFrame) -> None:
-        """Put rows in the place of all that the cache has of their paths."""
-        old = self.read("blame_cache")
-        self.replace("blame_cache", old.join(rows.select("path").distinct(), "path", "left_anti").select(*old.columns).unionByName(rows.select(*old.columns)))
+        """Put rows in the place of all that the cache has of their paths. They are computed once."""
+        with self.transaction():
+            old = self.read("blame_cache")
+            new = self._written("blame_cache", rows.select(*old.columns))
+            paths = self._folders([new], CACHES["blame_cache"]).select("path").distinct()
+            if not old.join(paths, "path", "left_semi").isEmpty():
+                self.replace("blame_cache", old.join(paths, "path", "left_anti").select(*old.columns))
+            self._staged.setdefault("blame_cache", []).append(new)
 
 
 def flattened(history: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
@@ -119,42 +181,38 @@ def author_ids(commits: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def ingest(store: Store, history: DataFrame, config: Config, head_sha: str | None = None) -> int:
-    """Add the commits of ``history`` that the store hasn't got, with their changes and authors; how many there were.
-
-    A commit that was written without its changes can't be: changes go first, and commits that the store doesn't have
-    bring their changes in place of any that are left from a run that broke off.
-    """
-    history = history.dropDuplicates(["sha"]).join(store.read("commits").select("sha"), "sha", "left_anti").persist()
-    try:
-        commits, changes = flattened(history, config)
-        store.append("authors", author_ids(commits, store.read("authors")).coalesce(1))
-        people = store.read("authors").select("author_id", "canonical_email")
-        rows = commits.join(people, normalized_email("author.email") == F.col("canonical_email")).select("sha", "author_id", "committed_at", F.col("files_changed").cast("int").alias("files_changed"), "is_mechanical").persist()
-        n = rows.count()
-        if n:
-            left = store.read("file_changes").join(store.read("commits").select("sha"), "sha", "left_anti")
-            if not left.isEmpty():
-                store.replace("file_changes", store.read("file_changes").join(store.read("commits").select("sha"), "sha", "left_semi"))
-            store.append("file_changes", changes)
-            store.append("commits", rows)
-        rows.unpersist()
-    finally:
-        history.unpersist()
-    store.set_meta(config, head_sha)
+    """Add the commits of ``history`` that the store hasn't got, with their changes and authors, in one transaction; how many there were."""
+    with store.transaction():
+        history = history.dropDuplicates(["sha"]).join(store.read("commits").select("sha"), "sha", "left_anti").persist()
+        try:
+            commits, changes = flattened(history, config)
+            store.append("authors", author_ids(commits, store.read("authors")).coalesce(1))
+            people = store.read("authors").select("author_id", "canonical_email")
+            rows = commits.join(people, normalized_email("author.email") == F.col("canonical_email")).select("sha", "author_id", "committed_at", F.col("files_changed").cast("int").alias("files_changed"), "is_mechanical").persist()
+            n = rows.count()
+            if n:
+                store.append("file_changes", changes)
+                store.append("commits", rows)
+            rows.unpersist()
+        finally:
+            history.unpersist()
+        store.set_meta(config.hash(), head_sha)
     return n
 
 
 def analyze(store: Store, repo: str, config: Config) -> int:
-    """Bring the store up to the repository's head; nothing is read where it is. New settings, or a run that isn't incremental, begin from an empty store."""
+    """Bring the store up to the repository's head; nothing is read where it is. New settings, or a run that isn't incremental, begin anew, and the old tables hold until the new ones are there."""
     from ..sources import git
 
     now, meta = git.head(repo), store.meta()
-    if meta and (not config.incremental or meta["config_hash"] != config.hash()):
-        store.drop()
-        meta = None
-    if now is None:
+    anew = bool(meta) and (not config.incremental or meta["config_hash"] != config.hash())
+    if now is None or meta and not anew and meta["head_sha"] == now:
         return 0
-    if meta and meta["head_sha"] == now:
-        return 0
-    known = {"hidden": meta["head_sha"]} if meta and meta["head_sha"] else {}
-    return ingest(store, git.read_history(store.spark, repo, tip=now, **known), config, now)
+    with store.transaction():
+        if anew:
+            store.clear()
+            meta = None
+        known = {"hidden": meta["head_sha"]} if meta and meta["head_sha"] else {}
+        n = ingest(store, git.read_history(store.spark, repo, tip=now, **known), config, now)
+    store.vacuum()
+    return n

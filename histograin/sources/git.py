@@ -17,8 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from ..model import HISTORY, SourceError
 
-#: Commits of a partition.
-STRETCH = 512
+#: Commits of a partition, and bytes of blobs that a task holds.
+STRETCH, BLOB_BYTES = 512, 8 << 20
 _FORMAT = "%x1e%H%x1f%P%x1f%aN%x1f%aE%x1f%ct%x00"
 _MODES = {"100644", "100755", "120000"}  # files and links; folders and submodules are no files
 
@@ -153,22 +153,29 @@ def read_history(spark: SparkSession, repo: str, **options: str) -> DataFrame:
 
 
 def blobs(wanted: DataFrame, repo: str) -> DataFrame:
-    """(blob_sha, path, content) of the distinct (blob_sha, path), read by one ``git cat-file`` a batch of rows."""
+    """(blob_sha, path, content) of the distinct (blob_sha, path), read one after the other from one ``git cat-file`` a task, and passed on every ``BLOB_BYTES``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            raw, at, contents = git(repo, "cat-file", "--batch", data="".join(f"{b}\n" for b in f["blob_sha"]).encode()), 0, []
-            for _ in range(len(f)):
-                end = raw.index(b"\n", at)
-                header = raw[at:end].decode().split(" ")
-                if header[-1] == "missing":
-                    contents.append(None)
-                    at = end + 1
-                else:
-                    size = int(header[2])
-                    contents.append(raw[end + 1 : end + 1 + size])
-                    at = end + size + 2
-            yield f.assign(content=contents)[["blob_sha", "path", "content"]]
+        with subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as reader:
+            for f in frames:
+                rows, held = [], 0
+                for sha, path in zip(f["blob_sha"], f["path"], strict=True):
+                    reader.stdin.write(f"{sha}\n".encode())
+                    reader.stdin.flush()
+                    header = reader.stdout.readline().decode().split()
+                    if not header:
+                        raise SourceError("git cat-file ended early")
+                    content = None
+                    if header[-1] != "missing":
+                        content = reader.stdout.read(int(header[2]))
+                        reader.stdout.read(1)
+                    rows.append((sha, path, content))
+                    held += len(content or b"")
+                    if held >= BLOB_BYTES:
+                        yield pd.DataFrame(rows, columns=["blob_sha", "path", "content"])
+                        rows, held = [], 0
+                yield pd.DataFrame(rows, columns=["blob_sha", "path", "content"])
+            reader.stdin.close()
 
     own = wanted.select("blob_sha", "path").distinct()
     return own.mapInPandas(run, "blob_sha string, path string, content binary")
@@ -198,6 +205,8 @@ def blame(files: DataFrame, repo: str, at: str, tasks: int | None = None) -> Dat
     Costly files are spread over the tasks and begun first.
     """
 
+    framed = lambda rows: pd.DataFrame(rows, columns=["path", "last_sha", "revisions", "failed", "commit_sha", "lines"]).astype({"lines": "Int32", "revisions": "int64"})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
@@ -205,7 +214,10 @@ def blame(files: DataFrame, repo: str, at: str, tasks: int | None = None) -> Dat
                 lines = blame_file(repo, p, at)
                 own = [(None, None)] if not lines else list(lines.items())
                 rows += [(p, s, r, lines is None, c, n) for c, n in own]
-            yield pd.DataFrame(rows, columns=["path", "last_sha", "revisions", "failed", "commit_sha", "lines"]).astype({"lines": "Int32", "revisions": "int64"})
+                if len(rows) >= 50_000:
+                    yield framed(rows)
+                    rows = []
+            yield framed(rows)
 
     own = files.repartition(tasks or files.sparkSession.sparkContext.defaultParallelism, "path")
     own = own.sortWithinPartitions(*([own["cost"].desc()] if "cost" in files.columns else []), "path")

@@ -16,9 +16,10 @@ def follow(spark: SparkSession, store: Store, repo: str, config: Config, checkpo
     stream = spark.readStream.format("git_history").option("path", repo).load()
 
     def take(batch: DataFrame, _number: int) -> None:
-        from ..sources import git
-
-        ingest(store, batch, config, git.head(repo))
+        tip = batch.where("walk_index = 0").select("sha").first()  # the batch's end; the repository may be further by now
+        if tip:
+            ingest(store, batch, config, tip.sha)
+            store.vacuum()
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
