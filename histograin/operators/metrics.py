@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import DAY, age_bucket, age_days, col, language, min_max, per_loc, seconds
-from ..session import cut
 from .history import anchor, history
 from .ranking import global_rank
 
 UNKNOWN = -1
+#: Files of a commit that meet in one task to make pairs.
+PAIR_BLOCK = 1000
 
 
 def churn(commits: DataFrame, changes: DataFrame, paths: DataFrame | None = None, windows: tuple[int, ...] = (30, 90, 365), exclude_mechanical: bool = True) -> DataFrame:
@@ -29,17 +30,22 @@ def churn(commits: DataFrame, changes: DataFrame, paths: DataFrame | None = None
     return out
 
 
-def coupling(commits: DataFrame, changes: DataFrame, paths: DataFrame | None = None, min_support: int = 5, exclude_mechanical: bool = True) -> DataFrame:
+def coupling(commits: DataFrame, changes: DataFrame, paths: DataFrame | None = None, min_support: int = 5, exclude_mechanical: bool = True, block: int = PAIR_BLOCK) -> DataFrame:
     """path_a < path_b, support (commits with both), coupling_ratio = support / commits of the rarer one.
 
-    Files that have too few commits for ``min_support`` can be in no pair and go before the pairs are made.
+    Files that have too few commits for ``min_support`` can be in no pair and go before the pairs are made. A commit of
+    more than ``block`` files is dealt into blocks of them, of which every two meet by themselves.
     """
     own = history(commits.where("NOT is_mechanical") if exclude_mechanical else commits, changes, paths).select("path", "sha").distinct()
     counts = own.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
-    sides = own.join(counts, "path")
-    a, b = (sides.select("sha", F.col("path").alias(f"path_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    pairs = a.join(b, "sha").where("path_a < path_b").groupBy("path_a", "path_b").agg(F.count("*").alias("support"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    kept = pairs.where(F.col("support") >= min_support)
+    sides = own.join(counts.select("path"), "path")
+    large = sides.groupBy("sha").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    sides = sides.join(large, "sha", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = sides.select("sha", F.col("path").alias("path_a"), F.col("own").alias("i"), every.alias("j"))
+    b = sides.select("sha", F.col("path").alias("path_b"), F.col("own").alias("j"), every.alias("i"))
+    pairs = a.join(b, ["sha", "i", "j"]).where("path_a < path_b").groupBy("path_a", "path_b").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
+    kept = pairs.join(counts.select(F.col("path").alias("path_a"), F.col("n").alias("n_a")), "path_a").join(counts.select(F.col("path").alias("path_b"), F.col("n").alias("n_b")), "path_b")
     return kept.select("path_a", "path_b", "support", (F.col("support") / F.least("n_a", "n_b")).alias("coupling_ratio"))
 
 
@@ -67,11 +73,10 @@ def complexity(living: DataFrame, values: DataFrame) -> DataFrame:
 
 def rank_percentile(df: DataFrame, value: str, name: str, tie: str = "path") -> DataFrame:
     """0 for the smallest to 1 for the largest value; equal values follow in the order of ``tie``; 1 for a single row."""
-    df = cut(df)
-    n = df.count()
-    if n <= 1:
-        return df.withColumn(name, F.lit(1.0))
-    return global_rank(df, [F.col(value), F.col(tie)], f"{name}__rank", stored=True).withColumn(name, (F.col(f"{name}__rank") - 1) / F.lit(float(n - 1))).drop(f"{name}__rank")
+    ranked = global_rank(df, [F.col(value), F.col(tie)], "rank__of")
+    n = ranked.agg(F.count("*").alias("rank__all"))
+    share = F.when(F.col("rank__all") > 1, (F.col("rank__of") - 1) / F.nullif(F.col("rank__all") - 1, F.lit(0)).cast("double")).otherwise(F.lit(1.0))
+    return ranked.crossJoin(F.broadcast(n)).withColumn(name, share).drop("rank__of", "rank__all")
 
 
 def hotspots(file_churn: DataFrame, file_complexity: DataFrame, window: str = "total") -> DataFrame:
@@ -147,10 +152,24 @@ def age_histogram(ages: DataFrame, inclusive: bool = False) -> DataFrame:
 
 def median_of_medians(ages: DataFrame) -> DataFrame:
     """One row: the upper median of the files' median ages; no row without files."""
-    own = cut(ages.select("median_age_days", "path"))
-    n = own.count()
-    ranked = global_rank(own, [F.col("median_age_days"), F.col("path")], "rn", stored=True)
-    return ranked.where(F.col("rn") == n // 2 + 1).select(F.col("median_age_days").alias("median_of_medians"))
+    ranked = global_rank(ages.select("median_age_days", "path"), [F.col("median_age_days"), F.col("path")], "rn")
+    return ranked.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("n")))).where("rn = n div 2 + 1").select(F.col("median_age_days").alias("median_of_medians"))
+
+
+def age_members(ages: DataFrame, inclusive: bool = True) -> DataFrame:
+    """bucket, path, median_age_days, n: the files of each age bucket, numbered from the youngest bucket on, in it by median age and path."""
+    own = ages.select(age_bucket("median_age_days", inclusive).alias("bucket"), "path", "median_age_days")
+    return global_rank(own, [F.col("bucket"), F.col("median_age_days"), F.col("path")], "n")
+
+
+def search(files: DataFrame, text: str) -> DataFrame:
+    """Files whose path has ``text`` in it, whatever the case; white space around it doesn't count, and an empty text finds all."""
+    return files.where(F.contains(F.lower("path"), F.lit(text.strip().lower())))
+
+
+def maxima(df: DataFrame, *columns: str) -> DataFrame:
+    """One row: max_<column> of each, 1 at least, for scales that begin at 0."""
+    return df.agg(*[F.greatest(F.lit(1), F.coalesce(F.max(c), F.lit(1))).alias(f"max_{c}") for c in columns])
 
 
 def file_metrics(file_churn: DataFrame, file_complexity: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -7,27 +7,19 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Ranges that are ranked apart, and rows sampled for each bound.
-RANGES, ROWS_OF_BOUND = 64, 20
+#: A row's place in its partition takes the lower bits of the id that Spark numbers rows with.
+_PLACE_BITS = 33
 
 
-def global_rank(df: DataFrame, keys: list[Column], name: str = "rank", ranges: int = RANGES, stored: bool = False) -> DataFrame:
+def global_rank(df: DataFrame, keys: list[Column], name: str = "rank") -> DataFrame:
     """``df`` with the 1-based number of each row in the order of ``keys`` (ascending, best without ties).
 
-    Bounds from a bounded sample split the order into ranges; a row's number is that in its range after the rows of
-    the ranges before. Poor bounds only make ranges uneven. ``df`` is read several times and so cut first, unless it is
-    ``stored`` already.
+    Spark deals the rows to ranges of the keys, as many as the shuffle has partitions, and each is sorted by itself;
+    a row's number is its place after the rows of the ranges before. The numbered rows are cut, as ranges are sampled.
     """
-    df = df if stored else cut(df)
-    n = df.count()
-    own = df.withColumn("rank__key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
-    wanted = ranges * ROWS_OF_BOUND
-    some = own.select("rank__key").sample(min(1.0, wanted / max(n, 1)), 7).limit(2 * wanted).distinct().orderBy("rank__key") if n > wanted else None
-    if some is None:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys)).cast("bigint"))
-    spaced = some.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rank__key"))).where(F.col("i") % ROWS_OF_BOUND == 0).agg(F.array_sort(F.collect_list("rank__key")).alias("rank__bounds"))
-    own = own.crossJoin(F.broadcast(spaced)).withColumn("rank__range", F.size(F.filter("rank__bounds", lambda b: b <= F.col("rank__key")))).drop("rank__bounds")
-    sizes = own.groupBy("rank__range").agg(F.count("*").alias("rank__n"))
-    before = sizes.withColumn("rank__before", F.sum("rank__n").over(Window.partitionBy(F.lit(0)).orderBy("rank__range")) - F.col("rank__n")).drop("rank__n")
-    number = F.row_number().over(Window.partitionBy("rank__range").orderBy("rank__key"))
-    return own.join(F.broadcast(before), "rank__range").withColumn(name, (F.col("rank__before") + number).cast("bigint")).drop("rank__range", "rank__before", "rank__key")
+    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank__id", F.monotonically_increasing_id()))
+    sizes = placed.groupBy(F.shiftrightunsigned("rank__id", _PLACE_BITS).alias("rank__range")).agg(F.count("*").alias("rank__n"))
+    before = sizes.select("rank__range", (F.sum("rank__n").over(Window.partitionBy(F.lit(0)).orderBy("rank__range")) - F.col("rank__n")).alias("rank__before"))  # a row for each range
+    numbered = placed.withColumn("rank__range", F.shiftrightunsigned("rank__id", _PLACE_BITS)).join(F.broadcast(before), "rank__range")
+    place = F.col("rank__id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return numbered.withColumn(name, (F.col("rank__before") + place + 1).cast("bigint")).drop("rank__range", "rank__before", "rank__id")

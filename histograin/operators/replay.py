@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import seconds
-from .history import chain_ends
+from ..session import cut
+from .metrics import maxima
 from .ranking import global_rank
 
-EVENT_KEYS = ("ts", "sha", "path", "change_type", "old_path")
-
 
 def events(commits: DataFrame, changes: DataFrame) -> DataFrame:
     """One row a change: ts, sha, author_id, mechanical, path, change_type, old_path, added, deleted. Commits without changes have none."""
@@ -21,8 +17,9 @@ def events(commits: DataFrame, changes: DataFrame) -> DataFrame:
     return changes.join(own, "sha").select("ts", "sha", "author_id", "mechanical", "path", "change_type", "old_path", "added", "deleted")
 
 
-def event_order() -> list:
-    return ["ts", "sha", "path", "change_type", F.asc_nulls_last("old_path")]
+def event_order() -> list[Column]:
+    """The order of all change rows: time, sha, path, type, old path; rows without one last."""
+    return [*map(F.col, ("ts", "sha", "path", "change_type")), F.col("old_path").isNull(), F.col("old_path")]
 
 
 def nested(flat: DataFrame) -> DataFrame:
@@ -40,12 +37,16 @@ def numbered(flat: DataFrame) -> DataFrame:
 
 
 def operations(indexed: DataFrame) -> DataFrame:
-    """What each change does to the tree: (index, op, path, present, touched_at), in a commit by path; a rename takes the old path first."""
+    """What each change does to the tree: (index, op, path, present, moved), in a commit by path; a rename takes the old path first, and both its halves are ``moved``."""
     order = ["path", "change_type", F.asc_nulls_last("old_path")]
     own = indexed.withColumn("n", F.row_number().over(Window.partitionBy("index").orderBy(*order)))
-    gone, here = lambda p: F.struct(F.lit(0).alias("k"), F.col(p).alias("path"), F.lit(0).alias("present")), lambda p: F.struct(F.lit(1).alias("k"), F.col(p).alias("path"), F.lit(1).alias("present"))
-    steps = F.when(F.col("change_type") == "D", F.array(gone("path"))).when((F.col("change_type") == "R") & F.col("old_path").isNotNull(), F.array(gone("old_path"), here("path"))).otherwise(F.array(here("path")))
-    return own.withColumn("s", F.explode(steps)).select("index", (F.col("n") * 2 + F.col("s.k")).alias("op"), F.col("s.path").alias("path"), F.col("s.present").alias("present"))
+
+    def step(k: int, path: str, present: int, moved: bool = False) -> Column:
+        return F.struct(F.lit(k).alias("k"), F.col(path).alias("path"), F.lit(present).alias("present"), F.lit(moved).alias("moved"))
+
+    rename = F.array(step(0, "old_path", 0, True), step(1, "path", 1, True))
+    steps = F.when(F.col("change_type") == "D", F.array(step(0, "path", 0))).when((F.col("change_type") == "R") & F.col("old_path").isNotNull(), rename).otherwise(F.array(step(1, "path", 1)))
+    return own.select("index", "n", F.explode(steps).alias("s")).select("index", (F.col("n") * 2 + F.col("s.k")).alias("op"), "s.path", "s.present", "s.moved")
 
 
 def alive_series(indexed: DataFrame) -> DataFrame:
@@ -66,65 +67,44 @@ def running_sum(df: DataFrame, order: str, value: str, name: str, width: int = 4
 
 
 def series_maxima(series: DataFrame) -> DataFrame:
-    return series.agg(*[F.greatest(F.lit(1), F.coalesce(F.max(c), F.lit(1))).alias(f"max_{c}") for c in ("alive", "touched")])
-
-
-def frame_at(indexed: DataFrame, index: int) -> DataFrame:
-    """Files that live after commit ``index``: path, churn (changes since the path came to live, or over all if it never went), last_touch.
-
-    Churn here is of the path itself; ``replay`` also carries it over renames.
-    """
-    ops = operations(indexed.where(F.col("index") <= index))
-    order = Window.partitionBy("path").orderBy("index", "op")
-    own = ops.withColumn("life", F.sum((F.col("present") == 0).cast("int")).over(order))
-    last = own.groupBy("path").agg(F.max("life").alias("life"), F.max_by("present", F.struct("index", "op")).alias("alive"))
-    return own.join(last, ["path", "life"]).where("alive = 1 AND present = 1").groupBy("path").agg(F.count("*").alias("churn"), F.max("index").alias("last_touch"))
+    """One row: max_alive and max_touched, 1 at least."""
+    return maxima(series, "alive", "touched")
 
 
 def replay(indexed: DataFrame, index: int | None = None) -> DataFrame:
     """Files that live after commit ``index`` (the last by default): path, churn, last_touch; a rename hands the old path's churn on and adds one.
 
-    Paths that renames connect are replayed together in event order, each such group by itself; paths that none
-    connects need no replay.
+    A path's changes between two absences, or from a rename onto it, are a life; its churn is the number of its own
+    changes and of those of the lives that renames lead it back to. These are added up by doubling pointers over the
+    lives that renames connect alone, each round cut, in about log2 rounds of the longest chain of renames.
     """
-    own = indexed if index is None else indexed.where(F.col("index") <= index)
-    edges = own.where("change_type = 'R' AND old_path IS NOT NULL").select(F.col("old_path").alias("u"), F.col("path").alias("v")).distinct()
-    groups = connected(edges)
-    joined = own.join(groups, "path", "left")
-    plain = joined.where("root IS NULL").drop("root")
-    alone = frame_at(plain, (1 << 62))
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["index", "path", "change_type", "old_path"], na_position="last", kind="stable")
-        live: dict[str, list[int]] = {}
-        for i, kind, path, old in zip(frame["index"], frame["change_type"], frame["path"], frame["old_path"], strict=True):
-            if kind == "D":
-                live.pop(path, None)
-            elif kind == "R" and isinstance(old, str):
-                churn = live.pop(old, [0, 0])[0]
-                live[path] = [churn + 1, i]
-            else:
-                live[path] = [live.get(path, [0, 0])[0] + 1, i]
-        return pd.DataFrame([(p, c, i) for p, (c, i) in live.items()], columns=["path", "churn", "last_touch"])
-
-    together = joined.where("root IS NOT NULL").select("root", "index", "path", "change_type", "old_path").groupBy("root").applyInPandas(fold, "path string, churn bigint, last_touch bigint")
-    return alone.unionByName(together)
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """(path, root): the smallest path that links of (u, v) lead to, by lowering labels until none changes."""
-    from ..session import cut
-
-    both = cut(edges.select("u", "v").union(edges.select("v", "u")).distinct())
-    at = cut(both.groupBy(F.col("u").alias("path")).agg(F.least(F.first("u"), F.min("v")).alias("root")))
+    ops = operations(indexed if index is None else indexed.where(F.col("index") <= index))
+    order = Window.partitionBy("path").orderBy("index", "op")
+    before = F.lag("present", 1, 0).over(order)
+    begins = (F.col("present") == 1) & ((F.col("before") == 0) | F.col("moved"))
+    own = ops.withColumn("before", before).withColumn("life", F.sum(begins.cast("int")).over(order))
+    lives = own.groupBy("path", "life").agg(F.sum("present").alias("churn"), F.max(F.when(F.col("present") == 1, F.col("index"))).alias("last_touch"), F.max_by("present", F.struct("index", "op")).alias("alive"))
+    last = lives.withColumn("latest", F.max("life").over(Window.partitionBy("path"))).where("life = latest AND alive = 1").select("path", "life", "churn", "last_touch")
+    here = own.where("moved AND present = 1").select("index", F.floor(F.col("op") / 2).alias("n"), "path", "life")
+    gone = own.where("moved AND present = 0 AND before = 1").select("index", F.floor(F.col("op") / 2).alias("n"), F.col("path").alias("from_path"), F.col("life").alias("from_life"))
+    links = cut(here.join(gone, ["index", "n"]).select("path", "life", "from_path", "from_life"))
+    if links.isEmpty():
+        return last.select("path", "churn", "last_touch")
+    joined = links.select("path", "life").union(links.select("from_path", "from_life")).distinct()
+    sums = lives.select("path", "life", "churn").join(joined, ["path", "life"]).join(links, ["path", "life"], "left")
     while True:
-        near = both.join(at.withColumnRenamed("path", "v"), "v").groupBy(F.col("u").alias("path")).agg(F.min("root").alias("low"))
-        lowered = at.join(near, "path", "left").select("path", "root", F.least("root", "low").alias("low"))
-        jump = lowered.join(at.select(F.col("path").alias("low"), F.col("root").alias("far")), "low", "left")
-        nxt = cut(jump.select("path", F.least("low", F.coalesce("far", "low")).alias("new"), (F.least("low", F.coalesce("far", "low")) != F.col("root")).alias("moved")))
-        at = nxt.select("path", F.col("new").alias("root"))
-        if nxt.where("moved").isEmpty():
-            return at
+        sums = cut(sums)
+        if sums.where("from_path IS NOT NULL").isEmpty():
+            break
+        back = sums.select(F.col("path").alias("from_path"), F.col("life").alias("from_life"), F.col("churn").alias("more"), F.col("from_path").alias("far_path"), F.col("from_life").alias("far_life"))
+        sums = sums.join(back, ["from_path", "from_life"], "left").select("path", "life", (F.col("churn") + F.coalesce("more", F.lit(0))).alias("churn"), F.col("far_path").alias("from_path"), F.col("far_life").alias("from_life"))
+    whole = sums.select("path", "life", F.col("churn").alias("whole"))
+    return last.join(whole, ["path", "life"], "left").select("path", F.coalesce("whole", "churn").alias("churn"), "last_touch")
+
+
+def frame_at(indexed: DataFrame, index: int) -> DataFrame:
+    """The frame after commit ``index``, as ``replay`` gives it: a snapshot of the rows up to it, whatever was replayed before."""
+    return replay(indexed, index)
 
 
 def seek(commits_indexed: DataFrame, ts: int) -> DataFrame:
@@ -139,16 +119,3 @@ def until(flat: DataFrame, ts: int) -> DataFrame:
 def first_appearance(flat: DataFrame) -> DataFrame:
     """path, born_ts: the first change that isn't a deletion."""
     return flat.where("change_type <> 'D'").groupBy("path").agg(F.min("ts").alias("born_ts"))
-
-
-def checkpoints(indexed: DataFrame, every: int = 400) -> Iterator[tuple[int, DataFrame]]:
-    """Frames at every so many commits: (index, frame)."""
-    last = indexed.agg(F.max("index")).first()[0]
-    for i in range(every - 1, (last if last is not None else -1) + 1, every):
-        yield i, frame_at(indexed, i)
-
-
-def chained(flat: DataFrame) -> DataFrame:
-    """Ends of the rename chains inside events."""
-    edges = flat.where("change_type = 'R' AND old_path IS NOT NULL").groupBy(F.col("old_path").alias("old")).agg(F.max_by("path", F.struct("ts", "sha", "path")).alias("new"))
-    return chain_ends(edges)

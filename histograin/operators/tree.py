@@ -38,10 +38,18 @@ def nodes(files: DataFrame) -> DataFrame:
     return leaves.unionByName(folders.select("path", parent.alias("parent"), F.lit(False).alias("is_file"), "born_ts", "leaf_count"))
 
 
-def floored(df: DataFrame, area: str = "area", share: float = 0.004) -> DataFrame:
-    """``tile``: the root of the area, at least a share of the sum of roots over all rows, so that none vanishes."""
-    total = df.agg(F.sum(F.sqrt(area)).alias("t__"))
-    return df.crossJoin(F.broadcast(total)).withColumn("tile", F.greatest(F.sqrt(area), F.col("t__") * share)).drop("t__")
+#: Least share of a level's total that a tile takes.
+TILE_SHARE = 0.004
+
+
+def floored(df: DataFrame, area: str = "area", share: float = TILE_SHARE, level: str | None = None) -> DataFrame:
+    """``tile``: the root of the area, at least a share of the sum of roots over all rows (of the same ``level``), so that none vanishes."""
+    if level is None:
+        total = df.agg(F.sum(F.sqrt(area)).alias("t__"))
+        own = df.crossJoin(F.broadcast(total))
+    else:
+        own = df.join(df.groupBy(level).agg(F.sum(F.sqrt(area)).alias("t__")), level)
+    return own.withColumn("tile", F.greatest(F.sqrt(area), F.col("t__") * share)).drop("t__")
 
 
 def treemap(areas: Sequence[float], width: float, height: float) -> list[tuple[float, float, float, float]]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,20 @@ def labels(store: Store, scope: str, names: bool = False) -> DataFrame:
     return M.anonymous_labels(ids, scope)
 
 
+def coupling_section(pairs: DataFrame) -> DataFrame:
+    return pairs.orderBy(*M.coupling_order()).select(F.col("path_a").alias("a"), F.col("path_b").alias("b"), "support", F.col("coupling_ratio").alias("ratio"))
+
+
+def age_section(ages: DataFrame) -> DataFrame:
+    return ages.orderBy("path").select("path", "lines", "newest_age_days", "median_age_days", "p90_age_days", "oldest_age_days")
+
+
+def document_rows(own: dict[str, DataFrame]) -> DataFrame:
+    """(section, json): the rows of the document's lists as they stand in it, distributed and in no order."""
+    rows = [df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json")) for name, df in own.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def sections(store: Store, names: bool = False) -> dict[str, DataFrame]:
     """The document's lists as frames, each in its order."""
     label = labels(store, "commits", names)
@@ -35,9 +50,9 @@ def sections(store: Store, names: bool = False) -> dict[str, DataFrame]:
     change = lambda c: F.struct(c.path.alias("path"), c.change_type.alias("type"), c.old_path.alias("old_path"), c.added.alias("added"), c.deleted.alias("deleted"))
     return {
         "files": store.read("file_metrics").orderBy("path"),
-        "coupling": store.read("coupling").orderBy(*M.coupling_order()).select(F.col("path_a").alias("a"), F.col("path_b").alias("b"), "support", F.col("coupling_ratio").alias("ratio")),
+        "coupling": coupling_section(store.read("coupling")),
         "knowledge": knowledge.join(top, "path").orderBy("bus_factor", F.desc("top_owner_ratio"), "path").select("path", "bus_factor", "top_owner", "top_owner_ratio"),
-        "file_age": store.read("file_age").orderBy("path"),
+        "file_age": age_section(store.read("file_age")),
         "blame_skips": store.read("blame_skips").orderBy("path"),
         "events": events.select("sha", "ts", F.col("label").alias("author"), "mechanical", F.transform("changes", change).alias("changes")),
     }

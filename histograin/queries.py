@@ -5,6 +5,8 @@ Keys stay whole numbers where only identity and order matter; ratios are doubles
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from .operators import metrics as M
 from .operators import replay as R
 from .operators import tree as T
 from .operators.ranking import global_rank
-from .session import shared_dir
+from .plans import export as E
+from .session import cut, shared_dir
 from .sources import analog as A
 from .sources.document import SCHEMA_VERSION
 from .streaming import ingest as S
@@ -57,14 +60,18 @@ _PARTS = {
     "tree": """ext AS (SELECT ['.rs', '.py', '.go', '.js', '.ts', '.tsx', '.md', ''] AS e),
       files AS (SELECT p_partkey AS part, 'src/' || p_brand || '/' || p_type || '/p' || p_partkey || e[p_size % 8 + 1] AS path, CAST(p_size AS BIGINT) AS value, CAST(floor(p_retailprice) AS BIGINT) AS color FROM part, ext),
       pre AS (SELECT files.*, depth, array_to_string(list_slice(string_split(path, '/'), 1, depth), '/') AS dir FROM (SELECT *, unnest(range(0, len(string_split(path, '/')))) AS depth FROM files) files)""",
-    "ev": """ev AS (SELECT epoch_us(ts) AS ts, event_id AS sha, user_id AS author_id, json_extract_string(props, '$.k') AS path, CASE event_type WHEN 'signup' THEN 'A' WHEN 'error' THEN 'D' ELSE 'M' END AS change_type FROM events),
+    "ev": f"""ev AS (SELECT *, CASE WHEN change_type = 'R' THEN CAST((CAST(path AS INTEGER) + {A.RENAME_FROM}) % {A.PATHS} AS VARCHAR) END AS old_path FROM (
+        SELECT epoch_us(ts) AS ts, event_id AS sha, user_id AS author_id, json_extract_string(props, '$.k') AS path,
+          CASE WHEN event_type = 'signup' THEN 'A' WHEN event_type = 'error' THEN 'D' WHEN event_type = 'purchase' AND event_id % {A.RENAME_EVERY} = 0 THEN 'R' ELSE 'M' END AS change_type FROM events)),
       ix AS (SELECT *, row_number() OVER (ORDER BY ts, sha) - 1 AS index FROM ev)""",
+    "ops": """ops AS (SELECT index, 0 AS k, old_path AS path, 0 AS present, true AS moved FROM ix WHERE change_type = 'R'
+      UNION ALL SELECT index, 1, path, CASE WHEN change_type = 'D' THEN 0 ELSE 1 END, change_type = 'R' FROM ix)""",
 }
 
 
 def _sql(parts: str, body: str) -> str:
     own = parts.split()
-    return f"WITH {'RECURSIVE ' if 'canon' in own else ''}{', '.join(_PARTS[p] for p in own)}\n{body}" if own else body
+    return f"WITH {'RECURSIVE ' if {'canon', 'back'} & {p.split('_')[0] for p in own} else ''}{', '.join(_PARTS[p] for p in own)}\n{body}" if own else body
 
 
 def query(name: str, parts: str = "", sql: str | None = None):
@@ -139,7 +146,8 @@ def churn_canonical(spark, d):
 
 @query("mechanical_flags", "cm", "SELECT sha, files_changed, is_mechanical FROM cm")
 def mechanical_flags(spark, d):
-    return A.commits(spark, d).select("sha", "files_changed", "is_mechanical")
+    bare = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("sha"))
+    return H.with_mechanical(bare, A.changes(spark, d).select("sha", "path").distinct(), A.MECHANICAL)
 
 
 _PAIRS = """x AS (SELECT DISTINCT path, sha FROM kept), n AS (SELECT path, count(*) AS n FROM x GROUP BY path),
@@ -262,6 +270,11 @@ def age_repo_median(spark, d):
     return M.median_of_medians(_ages(spark, d))
 
 
+@query("age_members", "cm age", f"SELECT *, row_number() OVER (ORDER BY bucket, median_age_days, path) AS n FROM (SELECT CASE {' '.join(f'WHEN median_age_days <= {x} THEN {k}' for k, x in enumerate(C.AGE_BOUNDS))} ELSE 5 END AS bucket, path, median_age_days FROM age)")
+def age_members(spark, d):
+    return M.age_members(_ages(spark, d))
+
+
 _DOC_PATH = "source || '/' || doc_id || '.' || CASE lang WHEN 'en' THEN 'rs' WHEN 'de' THEN 'py' WHEN 'fr' THEN 'tsx' ELSE 'TXT' END"
 
 
@@ -290,7 +303,14 @@ def _indented(spark, d):
     return _documents(spark, d).select(F.col("doc_id").cast("string").alias("blob_sha"), F.lit("notes.txt").alias("path"), F.array_join(lines, "\n").cast("binary").alias("content"))
 
 
-@query("indent_complexity")
+_BLANK = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(5760) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)) = ''"
+#: A line stays open until the next one that isn't indented more; it is counted once for each line in between.
+_INDENTED = f"""lines AS (SELECT doc_id, length(t) % 7 AS x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM (SELECT doc_id, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE NOT {_BLANK.format("t")}),
+      ends AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, {", ".join(f"min(CASE WHEN x <= {v} THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS e{v}" for v in range(7))} FROM lines)"""
+_PARTS["indented"] = _INDENTED
+
+
+@query("indent_complexity", "indented", f"SELECT doc_id, CAST(coalesce(sum(coalesce(CASE x {' '.join(f'WHEN {v} THEN e{v}' for v in range(7))} END, n + 1) - i - 1), 0) AS BIGINT) AS indentation, count(i) AS loc FROM documents LEFT JOIN ends USING (doc_id) GROUP BY doc_id")
 def indent_complexity(spark, d):
     return X.complexities(_indented(spark, d)).select(F.col("blob_sha").cast("bigint").alias("doc_id"), F.col("value").cast("bigint").alias("indentation"), F.col("loc").cast("bigint").alias("loc"))
 
@@ -301,21 +321,22 @@ def complexity_per_loc(spark, d):
     return own.select("doc_id", C.per_loc("n_chars", "loc").alias("per_loc"))
 
 
+#: Contents, and by hand: the language, the value, the lines of code and the method.
 _SOURCES = {
-    "a.rs": "fn f(x: i32) { if x > 0 {} for i in 0..3 { if i > 1 {} } match x { 1 => {}, _ => {} } }",
-    "a.py": "def f():\n    if a:\n        pass\n    for x in y:\n        if b:\n            pass\n        elif c:\n            pass\n    while d:\n        pass\n",
-    "a.go": "func f() { if a {}; for i := 0; i < 3; i++ { if b {} }; switch x { case 1: case 2: default: } }",
-    "a.js": "function f() { if (a) {} for (;;) { if (b) {} } switch (x) { case 1: case 2: default: } return a ? b : c }",
-    "a.ts": "function f(a?: string): number { if (a) {} if (b) {} while (c) {} return 1 }",
-    "b.rs": "fn main() {}",
-    "notes.txt": "a\n  b\n    c\n",
+    "pick.rs": ("fn pick(xs: &[u8]) -> u8 {\n    let mut n = 0;\n    while n < 9 {\n        n += 1;\n        if xs[n] == 0 { break }\n    }\n    loop { match n { 0 => return 1, 7 | 8 => return 2, _ => n -= 1 } }\n}\n", "rust", 7, 8, "cyclomatic"),
+    "rows.py": ("for row in rows:\n    try:\n        use(row)\n    except KeyError:\n        skip()\n    while row and not done:\n        step()\n", "python", 4, 7, "cyclomatic"),
+    "drain.go": ("func drain(c chan int) {\n\tfor v := range c {\n\t\tswitch {\n\t\tcase v > 9: stop()\n\t\tcase v < 0: if v == -1 { return }\n\t\t}\n\t}\n}\n", "go", 5, 8, "cyclomatic"),
+    "run.js": ("const run = q => {\n  try { for (const j of q) { if (!j) continue; } }\n  catch (e) { do { wait() } while (busy()) }\n\n  return q.length ? 1 : 0 // if\n}\n", "js", 6, 5, "cyclomatic"),
+    "box.ts": ("class Box<T> {\n  get(k?: number): T | undefined { while (this.open) { if (k) return this.at[k] } return undefined }\n}\n", "ts", 3, 3, "cyclomatic"),
+    "todo.md": ("top\n    mid\n        deep\n    mid\n", "none", 4, 4, "indentation"),
 }
 
 
-@query("cyclomatic_fixture")
+@query("cyclomatic_fixture", "", f"SELECT * FROM (VALUES {', '.join(repr((p, lang, float(value), loc, method)) for p, (_, lang, value, loc, method) in _SOURCES.items())}) AS t(blob_sha, lang, value, loc, method)")
 def cyclomatic_fixture(spark, d):
-    rows = spark.createDataFrame([(f"blob-{p}", p, bytearray(t.encode())) for p, t in _SOURCES.items()], "blob_sha string, path string, content binary")
-    return X.complexities(rows).select("blob_sha", "lang", "value", "loc", "method")
+    """A few sources with values counted by hand: no table has any."""
+    rows = spark.createDataFrame([(p, p, bytearray(t[0].encode())) for p, t in _SOURCES.items()], "blob_sha string, path string, content binary")
+    return X.complexities(rows).select("blob_sha", "lang", "value", F.col("loc").cast("bigint").alias("loc"), "method")
 
 
 def _complexity(spark, d):
@@ -344,23 +365,22 @@ def hotspot_dead_zero(spark, d):
 
 @query(
     "file_metrics_full_outer", "cm ch kept churn cx hot",
-    "SELECT path, churn_total, churn_30d, churn_90d, churn_365d, is_alive, complexity, rank AS hotspot_rank FROM churn FULL JOIN (SELECT * FROM cx WHERE path % 2 = 0) USING (path) LEFT JOIN (SELECT path, rank FROM hot) USING (path)",
+    "SELECT path, churn_total, churn_30d, churn_90d, churn_365d, is_alive, complexity, rank AS hotspot_rank FROM churn FULL JOIN cx USING (path) LEFT JOIN (SELECT path, rank FROM hot) USING (path)",
 )
 def file_metrics_full_outer(spark, d):
-    own = M.file_metrics(_kept(spark, d), _complexity(spark, d).where("path % 2 = 0"), _hot(spark, d))
-    return own.drop("complexity_per_loc")
+    churn, values = cut(_kept(spark, d)), _complexity(spark, d)
+    return M.file_metrics(churn, values, M.hotspots(churn, values)).drop("complexity_per_loc")
 
 
 @query(
     "overview_counts", "cm ch kept churn cx hot pairs own bf",
-    "SELECT (SELECT count(*) FROM cm) AS commits, (SELECT count(*) FROM churn) AS files, (SELECT count(*) FROM hot) AS ranked_files, (SELECT count(*) FROM pairs) AS pairs, (SELECT count(*) FROM bf WHERE bus_factor = 1) AS single_owner, (SELECT count(DISTINCT author_id) FROM own) AS authors, (SELECT coalesce(max(ts), 0) FROM cm) AS anchor",
+    "SELECT (SELECT count(*) FROM cm) AS commits, (SELECT count(*) FROM (SELECT path FROM churn UNION SELECT path FROM cx)) AS files, (SELECT count(*) FROM hot) AS ranked_files, (SELECT count(*) FROM pairs) AS pairs, (SELECT count(*) FROM bf WHERE bus_factor = 1) AS single_owner, (SELECT count(DISTINCT author_id) FROM own) AS authors, (SELECT coalesce(max(ts), 0) FROM cm) AS anchor",
 )
 def overview_counts(spark, d):
-    commits, owned = A.commits(spark, d), _owned(spark, d)
-    out = commits.agg(F.count("*").alias("commits"), F.coalesce(F.max(C.seconds("committed_at")), F.lit(0)).alias("anchor"))
-    for name, df in (("files", _kept(spark, d)), ("ranked_files", _complexity(spark, d).where("method = 'cyclomatic'")), ("pairs", _pairs(spark, d)), ("single_owner", M.bus_factor(owned).where("bus_factor = 1"))):
-        out = out.crossJoin(df.agg(F.count("*").alias(name)))  # rows of one
-    return out.crossJoin(owned.agg(F.countDistinct("author_id").alias("authors"))).select("commits", "files", "ranked_files", "pairs", "single_owner", "authors", "anchor")
+    from .plans.materialize import counts_of
+
+    owned = _owned(spark, d)
+    return counts_of(A.commits(spark, d), file_metrics_full_outer(spark, d), _pairs(spark, d), M.bus_factor(owned), owned)
 
 
 _PARTS["plan"] = "plan AS (SELECT path, last_sha, revisions, total_added, revisions * total_added AS cost FROM live)"
@@ -398,10 +418,12 @@ def blame_skip_reason(spark, d):
     return own.select("path", C.skip_reason("reason", "cost", "budget").alias("why"))
 
 
-@query("events_flat_order", "cm ch", "SELECT ts, sha, path, change_type, added, deleted, tie, row_number() OVER (ORDER BY ts, sha, path, change_type, tie) AS n FROM ch JOIN cm USING (sha)")
+@query("events_flat_order", "cm ch", "SELECT ts, sha, path, change_type, CASE WHEN supp % 3 = 0 THEN supp END AS old_path, added, deleted, tie, row_number() OVER (ORDER BY ts, sha, path, change_type, CASE WHEN supp % 3 = 0 THEN supp END NULLS LAST, tie) AS n FROM ch JOIN cm USING (sha)")
 def events_flat_order(spark, d):
-    own = A.changes(spark, d).join(A.commits(spark, d).select("sha", C.seconds("committed_at").alias("ts")), "sha").select("ts", "sha", "path", "change_type", "added", "deleted", "tie")
-    return global_rank(own, [F.col(c) for c in ("ts", "sha", "path", "change_type", "tie")], "n")
+    supplier = F.substring_index("tie", "/", 1).cast("bigint")
+    own = A.changes(spark, d).withColumn("old_path", F.when(supplier % 3 == 0, supplier))
+    own = own.join(A.commits(spark, d).select("sha", C.seconds("committed_at").alias("ts")), "sha").select("ts", "sha", "path", "change_type", "old_path", "added", "deleted", "tie")
+    return global_rank(own, [*R.event_order(), F.col("tie")], "n")
 
 
 @query(
@@ -418,32 +440,45 @@ def _stream(spark, d):
     return R.numbered(A.event_stream(spark, d))
 
 
-_PARTS["pres"] = "pres AS (SELECT *, CASE WHEN change_type = 'D' THEN 0 ELSE 1 END AS present FROM ix)"
+_ALIVE = "SELECT index, CAST(1 AS BIGINT) AS touched, CAST(sum(d) OVER (ORDER BY index) AS BIGINT) AS alive FROM (SELECT index, sum(d) AS d FROM (SELECT index, present - lag(present, 1, 0) OVER (PARTITION BY path ORDER BY index, k) AS d FROM ops) GROUP BY index)"
 
 
-@query("timeline_alive_series", "ev pres", "SELECT index, CAST(1 AS BIGINT) AS touched, CAST(sum(d) OVER (ORDER BY index) AS BIGINT) AS alive FROM (SELECT index, present - lag(present, 1, 0) OVER (PARTITION BY path ORDER BY index) AS d FROM pres)")
+@query("timeline_alive_series", "ev ops", _ALIVE)
 def timeline_alive_series(spark, d):
     return R.alive_series(_stream(spark, d))
 
 
-_FRAME = "SELECT path, count(*) AS churn, max(index) AS last_touch FROM (SELECT *, sum(1 - present) OVER (PARTITION BY path ORDER BY index) AS life, max(CASE WHEN present = 0 THEN index END) OVER (PARTITION BY path) AS died FROM pres WHERE index <= {0}) WHERE present = 1 AND (died IS NULL OR index > died) GROUP BY path"
+#: Lives of paths up to a commit, the lives that renames come from, and all lives that each goes back to.
+_LIVES = """seen AS (SELECT *, lag(present, 1, 0) OVER (PARTITION BY path ORDER BY index, k) AS before FROM ops WHERE index <= {0}),
+      lived AS (SELECT *, sum(CASE WHEN present = 1 AND (before = 0 OR moved) THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY index, k ROWS UNBOUNDED PRECEDING) AS life FROM seen),
+      lives AS (SELECT path, life, sum(present) AS churn, max(CASE WHEN present = 1 THEN index END) AS last_touch, arg_max(present, index * 2 + k) AS alive FROM lived GROUP BY path, life),
+      links AS (SELECT h.path, h.life, g.path AS from_path, g.life AS from_life FROM lived h JOIN lived g ON g.index = h.index AND g.moved AND g.present = 0 AND g.before = 1 WHERE h.moved AND h.present = 1),
+      back AS (SELECT path, life, path AS at_path, life AS at_life FROM lives WHERE alive = 1 AND life = (SELECT max(life) FROM lives l WHERE l.path = lives.path)
+        UNION ALL SELECT back.path, back.life, from_path, from_life FROM back JOIN links ON links.path = at_path AND links.life = at_life),
+      frame AS (SELECT back.path, CAST(sum(l.churn) AS BIGINT) AS churn, max(CASE WHEN at_path = back.path AND at_life = back.life THEN last_touch END) AS last_touch FROM back JOIN lives l ON l.path = at_path AND l.life = at_life GROUP BY back.path, back.life)"""
+_PARTS["back_700"], _PARTS["back_last"] = _LIVES.format(700), _LIVES.format(1 << 40)
 
 
-@query("frame_at", "ev pres", _FRAME.format(700))
+@query("frame_at", "ev ops back_700", "SELECT path, churn, last_touch FROM frame")
 def frame_at(spark, d):
     return R.frame_at(_stream(spark, d), 700)
 
 
-@query("replay_last", "ev pres", _FRAME.format(1 << 40))
+@query("replay_last", "ev ops back_last", "SELECT path, churn, last_touch FROM frame")
 def replay_last(spark, d):
     return R.replay(_stream(spark, d))
 
 
-@query("timeline_maxima", "ev pres", "SELECT greatest(1, max(alive)) AS max_alive, CAST(1 AS BIGINT) AS max_touched FROM (SELECT CAST(sum(d) OVER (ORDER BY index) AS BIGINT) AS alive FROM (SELECT index, present - lag(present, 1, 0) OVER (PARTITION BY path ORDER BY index) AS d FROM pres))")
+@query("timeline_maxima", "ev ops", f"SELECT greatest(1, max(alive)) AS max_alive, max(touched) AS max_touched FROM ({_ALIVE})")
 def timeline_maxima(spark, d):
     return R.series_maxima(R.alive_series(_stream(spark, d)))
 
 
+@query("scale_maxima", "cm ch kept churn age", "SELECT (SELECT greatest(1, max(churn_total)) FROM churn) AS max_churn_total, (SELECT greatest(1, max(median_age_days)) FROM age) AS max_median_age_days")
+def scale_maxima(spark, d):
+    return M.maxima(_kept(spark, d), "churn_total").crossJoin(M.maxima(_ages(spark, d), "median_age_days"))  # rows of one
+
+
 @query("seek_index", "ev", "SELECT coalesce(min(CASE WHEN ts >= 1705000000000000 THEN index END), max(index)) AS index FROM ix")
 def seek_index(spark, d):
     return R.seek(_stream(spark, d), 1_705_000_000_000_000)
@@ -459,7 +494,7 @@ def first_appearance(spark, d):
     return R.first_appearance(A.event_stream(spark, d))
 
 
-@query("recency", "ev pres", f"SELECT path, last_touch, least(greatest(1 - (700 - last_touch) / CAST(701 AS DOUBLE), 0), 1) AS recency FROM ({_FRAME.format(700)})")
+@query("recency", "ev ops back_700", "SELECT path, last_touch, least(greatest(1 - (700 - last_touch) / CAST(701 AS DOUBLE), 0), 1) AS recency FROM frame")
 def recency(spark, d):
     return R.frame_at(_stream(spark, d), 700).select("path", "last_touch", C.recency(F.lit(700), "last_touch").alias("recency"))
 
@@ -497,10 +532,10 @@ def growth_nodes(spark, d):
     return T.nodes(A.paths(spark, d).select("path", F.col("part").alias("born_ts")))
 
 
-@query("tile_floor", "tree", "SELECT path, greatest(sqrt(value), round((SELECT sum(sqrt(value)) FROM files), 6) * 0.0004) AS tile FROM files")
+@query("tile_floor", "tree", f"SELECT path, round(greatest(sqrt(value), sum(sqrt(value)) OVER (PARTITION BY string_split(path, '/')[2]) * {T.TILE_SHARE}), 6) AS tile FROM files")
 def tile_floor(spark, d):
-    total = A.paths(spark, d).agg(F.round(F.sum(F.sqrt("value")), 6).alias("t"))
-    return A.paths(spark, d).crossJoin(F.broadcast(total)).select("path", F.greatest(F.sqrt("value"), F.col("t") * 0.0004).alias("tile"))
+    own = A.paths(spark, d).withColumn("brand", F.split("path", "/")[1])
+    return T.floored(own, "value", level="brand").select("path", F.round("tile", 6).alias("tile"))
 
 
 @query("minmax_norm", "", "SELECT p_partkey AS path, CASE WHEN hi > lo THEN (p_size - lo) / CAST(hi - lo AS DOUBLE) ELSE 0.5 END AS norm FROM part, (SELECT min(p_size) AS lo, max(p_size) AS hi FROM part)")
@@ -514,13 +549,13 @@ def risk_color_value(spark, d):
     return own.select("path", "risk", C.risk_color("risk").alias("color"))
 
 
-@query("author_ids_first_seen", "", "SELECT email, row_number() OVER (ORDER BY first, email) AS author_id FROM (SELECT lower(trim(' ' || c_mktsegment || c_nationkey || ' ')) AS email, min(o_orderkey) AS first FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)")
+@query("author_ids_first_seen", "", "SELECT email, 9 + row_number() OVER (ORDER BY first, email) AS author_id FROM (SELECT lower(trim(' ' || c_mktsegment || c_nationkey || ' ')) AS email, min(o_orderkey) AS first FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1) WHERE email NOT IN ('building3', 'machinery7')")
 def author_ids_first_seen(spark, d):
     from .plans.store import author_ids
 
     email = F.concat(F.lit(" "), "c_mktsegment", F.col("c_nationkey").cast("string"), F.lit(" "))
     own = A.table(spark, d, "orders").join(A.table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("walk_index"), F.struct(F.col("c_name").alias("name"), email.alias("email")).alias("author"))
-    known = spark.createDataFrame([], "author_id int, canonical_name string, canonical_email string")
+    known = spark.createDataFrame([(4, "a", "building3"), (9, "b", "machinery7")], "author_id int, canonical_name string, canonical_email string")
     return author_ids(own, known).select(F.col("canonical_email").alias("email"), F.col("author_id").cast("bigint").alias("author_id"))
 
 
@@ -529,18 +564,30 @@ def email_normalize(spark, d):
     return A.table(spark, d, "customer").select("c_custkey", C.normalized_email(F.concat(F.lit("  "), "c_name", F.lit("@Mail.Example "))).alias("email"))
 
 
-@query("idempotent_append", "", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS distinct_n FROM orders")
+def _ingested(spark, d):
+    """Commits of a store that took in the orders up to 1999 and then all orders: after the first time, and after the second."""
+    from .model import Config
+    from .plans.store import Store, ingest
+
+    store, every = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"), A.history(spark, d)
+    ingest(store, every.where("committed_at < 946684800"), Config())
+    first = store.read("commits")
+    ingest(store, every, Config())
+    return first, store
+
+
+@query("idempotent_append", "", "SELECT (SELECT count(*) FROM orders) AS n, (SELECT count(DISTINCT o_orderkey) FROM orders) AS distinct_n, (SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey) AS changes, (SELECT count(DISTINCT lower(trim(c_mktsegment || c_nationkey))) FROM orders JOIN customer ON c_custkey = o_custkey) AS authors")
 def idempotent_append(spark, d):
-    """What is there already (orders up to 1999) and all orders once more: each is there once."""
-    every = A.commits(spark, d)
-    there = every.where("committed_at < timestamp '2000-01-01 00:00:00'")
-    return there.unionByName(every.join(there.select("sha"), "sha", "left_anti")).agg(F.count("*").alias("n"), F.countDistinct("sha").alias("distinct_n"))
+    """Commits that are there already come once more: each is there once, with its changes, and authors keep one id."""
+    _, store = _ingested(spark, d)
+    out = store.read("commits").agg(F.count("*").alias("n"), F.countDistinct("sha").alias("distinct_n"))
+    return out.crossJoin(store.read("file_changes").agg(F.count("*").alias("changes"))).crossJoin(store.read("authors").agg(F.countDistinct("author_id").alias("authors")))  # rows of one
 
 
 @query("incremental_delta", "", "SELECT o_orderkey AS sha FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'")
 def incremental_delta(spark, d):
-    every = A.commits(spark, d)
-    return every.join(every.where("committed_at < timestamp '2000-01-01 00:00:00'").select("sha"), "sha", "left_anti").select("sha")
+    first, store = _ingested(spark, d)
+    return store.read("commits").join(first.select("sha"), "sha", "left_anti").select(F.col("sha").cast("bigint").alias("sha"))
 
 
 @query("exclude_globs", "tree", "SELECT path FROM files WHERE NOT (path LIKE '%.md' OR path LIKE 'src/Brand#1%')")
@@ -550,7 +597,7 @@ def exclude_globs(spark, d):
 
 @query("path_search", "tree", "SELECT path FROM files WHERE contains(lower(path), 'brand#2')")
 def path_search(spark, d):
-    return A.paths(spark, d).where(F.lower("path").contains(" Brand#2 ".strip().lower())).select("path")
+    return M.search(A.paths(spark, d), " Brand#2 ").select("path")
 
 
 @query(
@@ -580,29 +627,27 @@ def knowledge_churn_lookup(spark, d):
     return M.bus_factor(_owned(spark, d)).join(_kept(spark, d).select("path", "churn_total"), "path", "left").select("path", "bus_factor", F.coalesce("churn_total", F.lit(0)).alias("churn"))
 
 
-def _document(spark, d) -> DataFrame:
-    """The exported document of the business tables, as one JSON text for each section and key range."""
-    pairs = _pairs(spark, d).select(F.lit("coupling").alias("section"), F.concat(F.lpad(F.col("path_a").cast("string"), 12, "0"), F.lpad(F.col("path_b").cast("string"), 12, "0")).alias("key"), F.to_json(F.struct(F.col("path_a").alias("a"), F.col("path_b").alias("b"), "support", F.col("coupling_ratio").alias("ratio")), {"ignoreNullFields": "false"}).alias("json"))
-    ages = _ages(spark, d).select(F.lit("file_age").alias("section"), F.lpad(F.col("path").cast("string"), 12, "0").alias("key"), F.to_json(F.struct("path", "lines", "newest_age_days", "median_age_days", "p90_age_days", "oldest_age_days"), {"ignoreNullFields": "false"}).alias("json"))
-    return pairs.unionByName(ages)
+def _sections(spark, d) -> dict[str, DataFrame]:
+    return {"coupling": E.coupling_section(_pairs(spark, d)), "file_age": E.age_section(_ages(spark, d))}
 
 
-@query("export_document")
+_JSON = """SELECT 'coupling' AS section, to_json({'a': path_a, 'b': path_b, 'support': support, 'ratio': coupling_ratio}) AS json FROM pairs
+    UNION ALL SELECT 'file_age', to_json({'path': path, 'lines': lines, 'newest_age_days': newest_age_days, 'median_age_days': median_age_days, 'p90_age_days': p90_age_days, 'oldest_age_days': oldest_age_days}) FROM age"""
+
+
+@query("export_document", "cm ch kept pairs age", f"SELECT section, CAST(json AS VARCHAR) AS json, CAST({SCHEMA_VERSION} AS BIGINT) AS schema_version FROM ({_JSON})")
 def export_document(spark, d):
-    return _document(spark, d).withColumn("schema_version", F.lit(SCHEMA_VERSION))
+    return E.document_rows(_sections(spark, d)).withColumn("schema_version", F.lit(SCHEMA_VERSION).cast("bigint"))
 
 
 @query("export_roundtrip", "cm age", "SELECT * FROM age")
 def export_roundtrip(spark, d):
-    """File ages written as JSON and parsed again."""
-    own = _document(spark, d).where("section = 'file_age'")
-    parsed = own.select(F.from_json("json", "path bigint, lines bigint, newest_age_days bigint, median_age_days bigint, p90_age_days bigint, oldest_age_days bigint").alias("j"))
-    return parsed.select("j.*")
+    """File ages written as the document's JSON and parsed again."""
+    own = E.document_rows({"file_age": _sections(spark, d)["file_age"]})
+    return own.select(F.from_json("json", "path bigint, lines bigint, newest_age_days bigint, median_age_days bigint, p90_age_days bigint, oldest_age_days bigint").alias("j")).select("j.*")
 
 
 def _streamed(spark, name, df, mode="append") -> DataFrame:
-    import uuid
-
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     S.available_now(df, path, f"{path}-checkpoint", mode)
     return spark.read.schema(df.schema).parquet(path)

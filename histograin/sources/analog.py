@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import seconds
+from ..operators.history import with_mechanical
+
 #: An order of more different parts is mechanical.
 MECHANICAL = 6
 EXTENSIONS = (".rs", ".py", ".go", ".js", ".ts", ".tsx", ".md", "")
@@ -30,9 +33,18 @@ def commits(spark: SparkSession, sf_dir: str, mechanical: int | None = MECHANICA
     if coarse:
         own, author = own.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey", "left"), F.col("c_nationkey").cast("bigint")
     own = own.select(F.col("o_orderkey").alias("sha"), author.alias("author_id"), F.col("o_orderdate").cast("timestamp").alias("committed_at"))
-    files = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("sha")).agg(F.countDistinct("l_partkey").alias("files_changed"))
-    own = own.join(files, "sha", "left").withColumn("files_changed", F.coalesce("files_changed", F.lit(0)))
-    return own.withColumn("is_mechanical", F.col("files_changed") > mechanical if mechanical is not None else F.lit(False))
+    return with_mechanical(own, changes(spark, sf_dir).select("sha", "path").distinct(), mechanical)
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their lines as a history source gives them; the customer's segment and nation is the author."""
+    lines = changes(spark, sf_dir).groupBy("sha").agg(F.collect_list(F.struct(F.col("path").cast("string").alias("path"), F.lit(None).cast("string").alias("old_path"), F.col("added").cast("int").alias("added"), F.col("deleted").cast("int").alias("deleted"), "change_type", "blob_sha")).alias("file_changes"))
+    author = F.struct(F.col("c_name").alias("name"), F.concat(F.lit(" "), "c_mktsegment", F.col("c_nationkey").cast("string"), F.lit(" ")).alias("email"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), author.alias("author"))
+    own = table(spark, sf_dir, "orders").join(people, "o_custkey").select(F.col("o_orderkey").alias("sha"), "author", seconds(F.col("o_orderdate").cast("timestamp")).alias("committed_at"))
+    empty = lines.schema["file_changes"].dataType.simpleString()
+    own = own.join(lines, "sha", "left").withColumn("file_changes", F.coalesce("file_changes", F.array().cast(empty)))
+    return own.select(F.col("sha").alias("walk_index"), F.col("sha").cast("string").alias("sha"), F.array().cast("array<string>").alias("parent_shas"), "author", "committed_at", "file_changes")
 
 
 def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,10 +67,16 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), path.alias("path"), F.col("p_size").cast("bigint").alias("value"), F.floor("p_retailprice").cast("bigint").alias("color"))
 
 
+#: Of the events of purchases, every so many is a rename, from a path so many numbers on among so many.
+RENAME_EVERY, RENAME_FROM, PATHS = 40, 37, 100
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as changes: a commit for each event, the number in its props as the path."""
-    kind = F.when(F.col("event_type") == "signup", "A").when(F.col("event_type") == "error", "D").otherwise("M")
+    """``events`` as changes: a commit for each event, the number in its props as the path; some are renames."""
+    renamed = (F.col("event_type") == "purchase") & (F.col("event_id") % RENAME_EVERY == 0)
+    kind = F.when(F.col("event_type") == "signup", "A").when(F.col("event_type") == "error", "D").when(renamed, "R").otherwise("M")
+    path = F.get_json_object("props", "$.k")
     return table(spark, sf_dir, "events").select(
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("sha"), F.col("user_id").alias("author_id"), F.lit(False).alias("mechanical"),
-        F.get_json_object("props", "$.k").alias("path"), kind.alias("change_type"), F.lit(None).cast("string").alias("old_path"), F.lit(1).cast("bigint").alias("added"), F.lit(0).cast("bigint").alias("deleted"),
+        path.alias("path"), kind.alias("change_type"), F.when(renamed, ((path.cast("int") + RENAME_FROM) % PATHS).cast("string")).alias("old_path"), F.lit(1).cast("bigint").alias("added"), F.lit(0).cast("bigint").alias("deleted"),
     )

@@ -181,22 +181,39 @@ def test_over_budget_is_a_row(spark, exported):
 
 def test_dead_files_have_no_complexity(spark, repo, tmp_path):
     prepare(spark)
-    repo.commit({"calc.rs": "fn f() { if a {} if b {} if c {} }\n", "notes.txt": "a\n  b\n    c\n"})
-    repo.commit(move=[("calc.rs", "math.rs")], remove=["notes.txt"], when="2021-06-02T00:00:00 +0000")
+    repo.commit({"shapes/area.go": "func area(k int) int { for i := 0; i < k; i++ { if odd(i) { k-- } }; return k }\n", "todo.md": "- one\n    - two\n"})
+    repo.commit(move=[("shapes/area.go", "shapes/size.go")], remove=["todo.md"], when="2021-06-02T00:00:00 +0000")
     store = Store(spark, f"file://{tmp_path}/db")
     analyze(store, repo.path, Config())
     materialize(store, lambda df: git.blobs(df, repo.path), lambda df: git.blame(df, repo.path, git.head(repo.path)))
     got = {r.path: (r.complexity, r.is_alive) for r in store.read("file_metrics").collect()}
-    assert got == {"math.rs": (4.0, True), "notes.txt": (None, False)}
+    assert got == {"shapes/size.go": (3.0, True), "todo.md": (None, False)}
 
 
-def test_command_line(spark, exported, capsys, tmp_path):
+def test_blobs_come_in_bounded_frames(spark, repo, monkeypatch):
+    prepare(spark)
+    monkeypatch.setattr(git, "BLOB_BYTES", 10)
+    repo.commit({f"f{i}": bytes([i]) * i for i in range(12)})
+    wanted = [(s, f"f{i}") for i, s in enumerate(repo.git("rev-parse", *[f"HEAD:f{i}" for i in range(12)]).split())] + [("0" * 40, "none")]
+    got = {r.path: r.content for r in git.blobs(spark.createDataFrame(wanted, "blob_sha string, path string"), repo.path).collect()}
+    assert got == {"none": None, **{f"f{i}": bytes([i]) * i for i in range(12)}}
+
+
+def test_command_line(spark, exported, capsys, tmp_path, monkeypatch):
     _, repo, _ = exported
     for argv in (["analyze", repo.path], ["coupling", repo.path, "--min-support", "2"], ["hotspots", repo.path, "--top", "1"], ["knowledge", repo.path], ["age", repo.path], ["export", repo.path, "--out", f"{tmp_path}/e.json"], ["report", repo.path, "--out", f"{tmp_path}/r.html"]):
         assert cli.main([*argv, "--db", f"file://{tmp_path}/cli"]) == 0
         out = capsys.readouterr().out
         assert {"analyze": "7", "coupling": "a.rs", "hotspots": "a.rs", "knowledge": "Author #1", "age": "a.rs"}.get(argv[0], "written") in out
     assert cli.main(["age", str(tmp_path), "--db", f"file://{tmp_path}/none"]) == 1
+    capsys.readouterr()
+    db = ["--db", f"file://{tmp_path}/cli"]
+    monkeypatch.chdir(repo.path)
+    assert cli.main(["sql", "SELECT count(*) AS n, max(files_changed) AS most FROM commits", *db]) == 0
+    assert capsys.readouterr().out.split() == ["n", "most", "7", "2"]
+    assert cli.main(["knowledge", repo.path, "--show-names", *db]) == 0 and "Alice" in capsys.readouterr().out
+    assert cli.main(["analyze", repo.path, "--no-incremental", *db]) == 0 and "7 new commits, 7 in all" in capsys.readouterr().out
+    assert cli.main(["export", repo.path, "--show-names", "--out", f"{tmp_path}/named.json", *db]) == 0 and "Alice" in open(f"{tmp_path}/named.json").read()
 
 
 def test_authors_merge_by_mailmap(spark, repo, tmp_path):

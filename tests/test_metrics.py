@@ -25,22 +25,24 @@ def make(spark, commits, mechanical=None):
 
 
 CHURN = [
-    ("c1", "2019-01-01 00:00:00", [("A", "a.txt"), ("A", "b.txt")]),
-    ("c2", "2019-01-01 00:00:00", [("M", "a.txt")]),
-    ("c3", "2019-01-01 00:00:00", [("M", "a.txt")]),
-    ("c4", "2021-06-01 00:00:00", [("R", "c.txt", "b.txt")]),
-    ("c5", "2021-06-01 00:00:01", [("A", f"g{i}.txt") for i in range(6)]),
-    ("c6", "2021-06-01 00:00:02", [("A", "e.txt")]),
-    ("c7", "2021-06-01 00:00:03", [("D", "e.txt")]),
+    ("k1", "2018-03-05 10:00:00", [("A", "main.c"), ("A", "util.c"), ("A", "log.c")]),
+    ("k2", "2020-01-10 00:00:00", [("M", "main.c")]),
+    ("k3", "2020-11-01 00:00:00", [("R", "tools.c", "util.c")]),
+    ("k4", "2020-12-08 23:59:59", [("M", "tools.c")]),
+    ("k5", "2020-12-09 00:00:00", [("M", "tools.c")]),
+    ("k6", "2020-12-20 00:00:00", [("M", "main.c"), ("M", "log.c")]),
+    ("k7", "2021-01-05 00:00:00", [("M", "main.c"), *[("A", f"gen{i}.c") for i in range(6)]]),
+    ("k8", "2021-01-08 00:00:00", [("D", "log.c")]),
 ]
 
 
 def test_churn(spark):
+    """Windows end at k8, to the second; k7 has too many files; tools.c was util.c."""
     commits, changes = make(spark, CHURN, 5)
     got = {r.path: (r.churn_total, r.churn_30d, r.churn_90d, r.churn_365d, r.is_alive) for r in M.churn(commits, changes, H.path_map(commits, changes)).collect()}
-    assert got == {"a.txt": (3, 0, 0, 0, True), "c.txt": (2, 1, 1, 1, True), "e.txt": (2, 2, 2, 2, False)}
+    assert got == {"main.c": (3, 1, 1, 2, True), "tools.c": (4, 1, 3, 3, True), "log.c": (3, 2, 2, 2, False)}
     commits, changes = make(spark, CHURN)
-    assert "g0.txt" in {r.path for r in M.churn(commits, changes).collect()}
+    assert "gen0.c" in {r.path for r in M.churn(commits, changes).collect()}
 
 
 def test_churn_of_nothing(spark):
@@ -77,19 +79,20 @@ def test_latest_rename_wins(spark):
 
 
 def coupling_case(spark, mechanical=5):
-    names = [("c1", "ab"), ("c2", "ab"), ("c3", "ab"), ("c4", "a"), ("c5", "b"), ("c6", "ac")]
-    commits = [(s, "2020-01-01 00:00:00", [("M", f"{x}.rs") for x in own]) for s, own in names]
-    commits.append(("c7", "2020-01-01 00:00:00", [("M", "a.rs"), *[("M", f"g{i}.rs") for i in range(6)]]))
+    commits = [(f"m{i}", "2020-04-01 00:00:00", [("M", f"{x}.go") for x in own]) for i, own in enumerate(["pqr", "pq", "pq", "q", "qr", "p", "pq"])]
+    commits.append(("wide", "2020-04-02 00:00:00", [("M", "p.go"), *[("M", f"w{i}.go") for i in range(6)]]))
     return make(spark, commits, mechanical)
 
 
-def test_coupling(spark):
+@pytest.mark.parametrize("block", [1000, 2])
+def test_coupling(spark, block):
+    """p.go has 5 commits, q.go 6, r.go 2; with a block of two files, commits are dealt into row blocks."""
     commits, changes = coupling_case(spark)
-    pairs = lambda **k: {(r.path_a, r.path_b): (r.support, r.coupling_ratio) for r in M.coupling(commits, changes, **k).collect()}
-    assert pairs(min_support=1) == {("a.rs", "b.rs"): (3, 0.75), ("a.rs", "c.rs"): (1, 1.0)}
-    assert set(pairs(min_support=2)) == {("a.rs", "b.rs")}
+    pairs = lambda **k: {(r.path_a, r.path_b): (r.support, r.coupling_ratio) for r in M.coupling(commits, changes, block=block, **k).collect()}
+    assert pairs(min_support=1) == {("p.go", "q.go"): (4, 0.8), ("p.go", "r.go"): (1, 0.5), ("q.go", "r.go"): (2, 1.0)}
+    assert set(pairs(min_support=2)) == {("p.go", "q.go"), ("q.go", "r.go")}
     every = pairs(min_support=1, exclude_mechanical=False)
-    assert ("g0.rs", "g1.rs") in every and all(a < b and 0 < r <= 1 for (a, b), (_, r) in every.items())
+    assert sum("w0.go" in k for k in every) == 6 and all(a < b and 0 < r <= 1 for (a, b), (_, r) in every.items())
 
 
 def test_coupling_view_folds(spark):
@@ -98,12 +101,12 @@ def test_coupling_view_folds(spark):
 
 
 def test_knowledge(spark):
-    hunks = frame(spark, [("f.rs", False, "k1", 3), ("f.rs", False, "k2", 1), ("g.rs", False, "k1", 2), ("g.rs", False, "k2", 2), ("h.rs", True, None, None), ("u.rs", False, "gone", 4)], model.HUNKS)
+    hunks = frame(spark, [("p.go", False, "k1", 7), ("p.go", False, "k2", 3), ("q.go", False, "k1", 6), ("q.go", False, "k2", 6), ("bad.go", True, None, None), ("old.go", False, "gone", 9)], model.HUNKS)
     commits = frame(spark, [("k1", 1), ("k2", 2)], "sha string, author_id int")
     owned = M.ownership(hunks, commits)
     got = {r.path: (r.bus_factor, r.top_owner_ratio, r.total) for r in M.bus_factor(owned).collect()}
-    assert got == {"f.rs": (1, 0.75, 4), "g.rs": (2, 0.5, 4), "u.rs": (1, 1.0, 4)}
-    assert {(r.path, r.author_id) for r in M.top_owner(owned).collect()} == {("f.rs", 1), ("g.rs", 1), ("u.rs", -1)}
+    assert got == {"p.go": (1, 0.7, 10), "q.go": (2, 0.5, 12), "old.go": (1, 1.0, 9)}
+    assert {(r.path, r.author_id) for r in M.top_owner(owned).collect()} == {("p.go", 1), ("q.go", 1), ("old.go", -1)}
     assert M.failed_files(hunks).first().failed == 1
     sums = owned.groupBy("path").agg(F.sum("ownership_ratio").alias("s"), F.sum("lines").alias("n"), F.first("total").alias("t")).collect()
     assert all(abs(r.s - 1) < 1e-12 and r.n == r.t for r in sums)
@@ -118,32 +121,52 @@ def test_bus_factor_is_strict(spark, shares, factor):
 
 
 def test_age(spark):
-    commits = frame(spark, [("c1", dt.datetime(2020, 1, 1)), ("c2", dt.datetime(2020, 1, 11))], "sha string, committed_at timestamp")
-    hunks = frame(spark, [("f.rs", False, "c1", 3), ("f.rs", False, "c2", 1), ("g.rs", False, "c1", 2), ("x.rs", False, "gone", 5)], model.HUNKS)
+    commits = frame(spark, [("k1", dt.datetime(2019, 5, 1)), ("k2", dt.datetime(2019, 5, 22))], "sha string, committed_at timestamp")
+    hunks = frame(spark, [("p.go", False, "k1", 9), ("p.go", False, "k2", 2), ("q.go", False, "k2", 1), ("q.go", False, "gone", 5)], model.HUNKS)
     got = {r.path: (r.lines, r.newest_age_days, r.median_age_days, r.p90_age_days, r.oldest_age_days) for r in M.age(hunks, commits).collect()}
-    assert got == {"f.rs": (4, 0, 10, 10, 10), "g.rs": (2, 10, 10, 10, 10)}
+    assert got == {"p.go": (11, 0, 21, 21, 21), "q.go": (1, 0, 0, 0, 0)}
     ages = frame(spark, [("a", 29), ("b", 30), ("c", 2000)], "path string, median_age_days bigint")
     buckets = lambda inclusive: [r.files for r in M.age_histogram(ages, inclusive).orderBy("bucket").collect()]
     assert buckets(False) == [1, 1, 0, 0, 0, 1] and buckets(True) == [2, 0, 0, 0, 0, 1]
-    assert M.median_of_medians(ages).first()[0] == 30
+    assert M.median_of_medians(ages).first()[0] == 30 and M.median_of_medians(ages.limit(0)).count() == 0
+    assert [(r.bucket, r.path) for r in M.age_members(ages.union(frame(spark, [("A", 30)], ages.schema))).orderBy("n").collect()] == [(0, "a"), (0, "A"), (0, "b"), (5, "c")]
+    assert tuple(M.maxima(ages.where("path = 'a'"), "median_age_days").first()) == (29,) and tuple(M.maxima(ages.limit(0), "median_age_days").first()) == (1,)
+
+
+def test_search_ignores_case_and_white_space(spark):
+    files = frame(spark, [("src/Tree.rs",), ("src/leaf.rs",), ("docs/TREES.md",)], "path string")
+    found = lambda text: sorted(r.path for r in M.search(files, text).collect())
+    assert found("  tree ") == ["docs/TREES.md", "src/Tree.rs"] and len(found("  ")) == 3 and found("oak") == []
+
+
+def test_files_of_either_metric(spark):
+    churn = frame(spark, [("both.c", 3, True), ("only_churn.c", 1, False)], "path string, churn_total bigint, is_alive boolean")
+    cx = frame(spark, [("both.c", 5.0, 0.5), ("only_cx.c", 2.0, 1.0)], "path string, complexity double, complexity_per_loc double")
+    ranked = frame(spark, [("both.c", 1)], "path string, rank bigint")
+    got = {r.path: tuple(r)[1:] for r in M.file_metrics(churn, cx, ranked).collect()}
+    assert got == {"both.c": (3, True, 5.0, 0.5, 1), "only_churn.c": (1, False, None, None, None), "only_cx.c": (None, None, 2.0, 1.0, None)}
 
 
 def test_hotspots(spark):
-    churn = frame(spark, [("hot.rs", 100, True), ("churny.rs", 90, True), ("complex.rs", 5, True), ("calm.rs", 3, True), ("dead.rs", 500, False)], "path string, churn_total bigint, is_alive boolean")
-    cx = frame(spark, [("hot.rs", 40.0, "cyclomatic"), ("churny.rs", 2.0, "cyclomatic"), ("complex.rs", 45.0, "cyclomatic"), ("calm.rs", 1.0, "cyclomatic"), ("n.txt", 99.0, "indentation")], "path string, complexity double, method string")
+    cxs = "path string, complexity double, method string"
+    churn = frame(spark, [("parse.go", 31, 2, True), ("emit.go", 4, 4, True), ("plan.go", 17, 9, True), ("util.go", 2, 1, True), ("gone.go", 64, 64, False)], "path string, churn_total bigint, churn_90d bigint, is_alive boolean")
+    cx = frame(spark, [("parse.go", 6.0, "cyclomatic"), ("emit.go", 28.0, "cyclomatic"), ("plan.go", 17.0, "cyclomatic"), ("util.go", 1.0, "cyclomatic"), ("readme.md", 70.0, "indentation")], cxs)
     got = {r.path: (r["rank"], r.churn_pct, r.complexity_pct, r.score) for r in M.hotspots(churn, cx).collect()}
-    assert got["hot.rs"] == (1, 1.0, pytest.approx(2 / 3), pytest.approx(2 / 3)) and got["calm.rs"][0] == 4
-    assert got["complex.rs"][3] == pytest.approx(1 / 3) and got["churny.rs"][3] == pytest.approx(2 / 9) and "n.txt" not in got
-    dead = M.hotspots(churn, frame(spark, [("dead.rs", 5.0, "cyclomatic")], "path string, complexity double, method string")).first()
+    third = pytest.approx(1 / 3)
+    assert got["plan.go"] == (1, pytest.approx(2 / 3), pytest.approx(2 / 3), pytest.approx(4 / 9)) and got["util.go"] == (4, 0.0, 0.0, 0.0)
+    assert got["emit.go"] == (2, third, 1.0, third) and got["parse.go"] == (3, 1.0, third, third) and len(got) == 4
+    recent = [r.path for r in M.hotspots(churn, cx, "90").orderBy("rank").collect()]
+    assert recent == ["emit.go", "plan.go", "parse.go", "util.go"]  # by the window's churn: 2/3, 2/3, 1/9, 0
+    dead = M.hotspots(churn, frame(spark, [("gone.go", 5.0, "cyclomatic")], cxs)).first()
     assert (dead.churn, dead.churn_pct, dead["rank"]) == (0, 1.0, 1)
-    ties = M.hotspots(churn.limit(0), frame(spark, [(p, 1.0, "cyclomatic") for p in "cab"], "path string, complexity double, method string"))
-    assert [r.path for r in ties.orderBy("rank").collect()] == ["c", "b", "a"]
+    ties = M.hotspots(churn.limit(0), frame(spark, [(p, 1.0, "cyclomatic") for p in "zxy"], cxs))
+    assert [r.path for r in ties.orderBy("rank").collect()] == ["z", "y", "x"]
     assert M.hotspots(churn, cx.limit(0)).count() == 0
 
 
 def test_global_rank_over_ranges(spark):
     df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 611).alias("v"), F.col("id").alias("k"))
-    got = ranking.global_rank(df, [F.col("v"), F.col("k")], ranges=8).orderBy("rank").collect()
+    got = ranking.global_rank(df, [F.col("v"), F.col("k")]).orderBy("rank").collect()
     rows = sorted((i * 7919 % 611, i) for i in range(5000))
     assert [(r.v, r.k) for r in got] == rows and [r["rank"] for r in got] == list(range(1, 5001))
 

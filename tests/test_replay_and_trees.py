@@ -93,18 +93,17 @@ def test_treemap():
 @pytest.mark.parametrize(
     ("path", "text", "value"),
     [
-        ("a.rs", "fn f(x: i32) -> i32 {\n if x > 0 { 1 } else { 2 };\n for i in 0..3 { if i > 1 {} }\n match x { 1 => {}, _ => {} }\n}", 6),
-        ("a.rs", "impl Display for T { fn f(&self) { let s = \"if while\"; let c = '{'; /* if */ // for\n } }", 1),
-        ("a.py", "def f():\n    if a:\n        pass\n    for x in y:\n        if b:\n            pass\n        elif c:\n            pass\n    while d:\n        pass\n", 6),
-        ("a.go", "func f() { if a {}; for i := 0; i < 3; i++ { if b {} }; switch x { case 1: case 2: default: } }", 6),
-        ("a.js", "function f() { if (a) {} for (;;) { if (b) {} } switch (x) { case 1: case 2: default: } return a ? b : c }", 7),
-        ("a.js", "const s = 'if (a)'; const r = /if(a)?b/; const t = a?.b ?? c; // while\n", 1),
-        ("a.js", "do { x() } while (y)", 2),
-        ("a.ts", "function f(a?: string): number { if (a) {} if (b) {} while (c) {} return 1 }", 4),
-        ("a.rs", "fn main() {}", 1),
-        ("notes.txt", "a\n  b\n    c\n  b\na\n", 4),
-        ("notes.txt", "a\n\n  b\n   \n", 1),
-        ("notes.txt", "a\n  b\n    c\n", 3),
+        ("m.rs", "fn m(k: u8) -> u8 { for j in 0..k { if j > 3 { return j } } match k { 0 | 1 => 0, 2..=9 => 1, _ => 2 } }", 6),
+        ("m.rs", "impl Show for Q { fn g(&self) { let t = \"loop if\"; let q = '}'; /* while */ // match\n } }", 1),
+        ("m.py", "class K:\n    def g(self, v):\n        while v:\n            if v > 2:\n                v -= 1\n            elif v < 0:\n                return\n        for _ in ():\n            pass\n", 5),
+        ("m.go", "func g(k int) int { switch k { case 0, 1: return 0; case 2: for k > 0 { k-- } default: if k > 9 { k = 9 } }; return k }", 5),
+        ("m.js", "const g = k => { while (k) { k = k > 4 ? k - 2 : k - 1 } switch (k) { case 0: break; default: throw k } }", 4),
+        ("m.js", "const t = 'while (k)'; const re = /for(k)?j/; const u = t?.k ?? t; // if\n", 1),
+        ("m.js", "do { if (k) k-- } while (k > 0)", 3),
+        ("m.tsx", "const V = (p: { k?: number }) => { for (const j of p.k ? [1] : []) if (j) return null; return <b/> }", 4),
+        ("m.rs", "struct Empty;", 1),
+        ("list.md", "x\n   y\n      z\n   y\nx\n   y\n", 5),
+        ("list.md", "x\n\n   y\n     \n", 1),
     ],
 )
 def test_complexity(path, text, value):
