@@ -2,7 +2,7 @@
 
 A shard is a bounded run of documents inside a Spark partition. Its words are numbered by the benchmark's vocabulary;
 a word that no window has can't be part of a match, so it only separates segments, and the index holds the segments
-that are as long as the shortest window. Over this text the suffix array gives the BWT, kept in a wavelet matrix;
+that are as long as the shortest window. Windows with a word that the shard hasn't got are left out before the search. Over this text the suffix array gives the BWT, kept in a wavelet matrix;
 every window is searched backwards through wavelet ranks, all windows at once; occurrences are located by LF steps
 to the next sampled suffix position; the located spans are merged per document. Nothing is shuffled.
 """
@@ -10,18 +10,20 @@ to the next sampled suffix position; the located spans are merged per document.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bytes_of, chunks, small_batches, starts_of, sums_by_row, table
+from .common import LOWER, WordHashes, bytes_of, chunks, discard, mix, small_batches, starts_of, sums_by_row, table, written
 
 WINDOW = 10
-#: Bytes of benchmark text in one broadcast block; a larger benchmark is searched block by block.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in one broadcast block, about, which compiled takes some four times as much; a larger benchmark is searched block by block.
+BLOCK_BYTES = 8 << 20
 #: Every so many text positions, a suffix position is stored.
 SAMPLE = 8
 
@@ -135,33 +137,51 @@ def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """Windows of some benchmark items: vocabulary, window symbols by length, and the items of each window."""
+    """Windows of some benchmark items: the vocabulary (sorted word hashes), the items' words as numbers into it, and by length the place of each distinct window and its items."""
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str | None]] = {}
-        for item, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[at : at + window]), set()).add(item)
-        names = sorted({i for s in found.values() for i in s if i is not None})
-        number = {x: k for k, x in enumerate(names)}
-        self.names = names
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for w in found:
-            by_length.setdefault(len(w), []).append(w)
-        self.windows = []
-        for length, ws in sorted(by_length.items()):
-            owners = [[number[i] for i in found[w] if i is not None] for w in ws]
-            self.windows.append((length, np.array(ws, dtype=np.int64), starts_of(np.array([len(o) for o in owners], dtype=np.int64)), np.array([i for o in owners for i in o], dtype=np.int64)))
-
-    def hits(self, words: list[bytes], bounds: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        items = [(item, words) for item, words in items if words]
+        hashes = WordHashes()
+        h = np.fromiter((hashes[w] for _, words in items for w in words), dtype=np.uint64)
+        self.vocabulary, number = np.unique(h, return_inverse=True)
+        self.words = (number + 1).astype(np.int32)
+        self.names = sorted({item for item, _ in items if item is not None})
+        owner = {name: k for k, name in enumerate(self.names)}
+        own = np.array([owner.get(item, -1) for item, _ in items], dtype=np.int32)
+        sizes = np.array([len(words) for _, words in items], dtype=np.int64)
+        begins, lengths = starts_of(sizes)[:-1], np.minimum(sizes, window)
+        self.windows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # length, places, bounds of the items of each, items
+        for length in np.unique(lengths).tolist():
+            some = np.flatnonzero(lengths == length)
+            at, of = ranges(begins[some], begins[some] + sizes[some] - length + 1)
+            number = self._numbered(at, length)
+            first = np.unique(number, return_index=True)[1]
+            known = own[some][of] >= 0
+            pairs = np.unique(number[known] * len(self.names) + own[some][of][known])
+            count = np.bincount(pairs // max(1, len(self.names)), minlength=len(first))
+            self.windows.append((length, at[first].astype(np.int32), starts_of(count), (pairs % max(1, len(self.names))).astype(np.int32)))
+
+    def rows(self, at: np.ndarray, length: int) -> np.ndarray:
+        return self.words[at[:, None] + np.arange(length)]
+
+    def _numbered(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Numbers of the windows that begin at ``at``, equal for equal ones."""
+        key = np.zeros(len(at), dtype=np.uint64)
+        for k in range(length):
+            key = mix(key + self.words[at + k].astype(np.uint64))
+        _, first, number = np.unique(key, return_index=True, return_inverse=True)
+        if all((self.words[at + k] == self.words[at[first][number] + k]).all() for k in range(length)):
+            return number
+        return np.unique(self.rows(at, length), axis=0, return_inverse=True)[1].ravel()  # two windows share a hash
+
+    def hits(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """+1/-1 marks of the occurrences over the shard's words, and (document, item number) pairs."""
-        marks, pairs = np.zeros(len(words) + 1, dtype=np.int64), []
-        if not self.windows or not words:
+        marks, pairs = np.zeros(len(hashes) + 1, dtype=np.int64), []
+        if not self.windows or not len(hashes):
             return marks, pairs
-        ids = np.fromiter(map(self.vocabulary.get, words, iter(int, 1)), dtype=np.int64, count=len(words))
-        cut = np.zeros(len(words) + 1, dtype=bool)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        ids = np.where(self.vocabulary[at] == hashes, at + 1, 0)
+        cut = np.zeros(len(hashes) + 1, dtype=bool)
         cut[bounds] = True
         inside = ids > 0
         begins = np.flatnonzero(inside & (cut[:-1] | ~np.concatenate([[False], inside[:-1]])))
@@ -174,11 +194,17 @@ class Block:
         gap = np.flatnonzero(np.diff(of, append=len(begins)))
         place = np.insert(at, gap + 1, -1)
         text = np.where(place >= 0, ids[place], 0)
+        present = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        present[text] = True
         index = FMIndex(text, len(self.vocabulary) + 1)
         for length, windows, owner_bounds, owners in self.windows:
-            lo, hi = index.search(windows)
+            there = np.ones(len(windows), dtype=bool)  # windows of words that the shard has
+            for k in range(length):
+                there[there] = present[self.words[windows[there] + k]]
+            some = np.flatnonzero(there)
+            lo, hi = index.search(self.rows(windows[some], length).astype(np.int64))
             rows, window = ranges(lo, hi)
-            begin = place[index.locate(rows)]
+            begin, window = place[index.locate(rows)], some[window]
             np.add.at(marks, begin, 1)
             np.add.at(marks, begin + length, -1)
             doc = np.searchsorted(bounds, begin, side="right") - 1
@@ -188,13 +214,25 @@ class Block:
         return marks, pairs
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Block]:
-    """The benchmark in blocks of a checked size, each fetched and compiled by itself."""
-    own = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where(F.col("text").isNotNull())
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Broadcast]:
+    """The benchmark in blocks of about ``block_bytes`` of text, compiled by tasks; the driver holds one at a time and broadcasts it."""
+    spark = benchmark.sparkSession
+    own = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [Block([(r.item, words_of(bytes(r.text))) for r in own.where(part == k).toLocalIterator()], window) for k in range(n)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: list[tuple[str | None, list[bytes]]] = []
+        for batch in batches:
+            items += zip(batch.column("item").to_pylist(), map(words_of, bytes_of(batch.column("text"))), strict=True)
+        if items:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Block(items, window), 5)], pa.binary())], names=["block"])
+
+    dealt = own.repartitionById(int(n), F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int")) if n > 1 else own.coalesce(1)
+    compiled = written(dealt.mapInArrow(run, "block binary"), "benchmark-blocks")
+    out = [spark.sparkContext.broadcast(bytes(r.block)) for r in compiled.toLocalIterator()]
+    discard(compiled)
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, clean: bool = False) -> DataFrame:
@@ -202,31 +240,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     With ``clean``, the rows of ``docs`` that aren't contaminated, with all their columns, instead.
 
-    Null and empty texts have no words and are clean. A null item_id marks words but is no listed item; a null or
-    wordless item has no windows. Repeated rows are judged one by one. Other columns are ignored.
+    Null and empty texts have no words and are clean; a text is searched whole, however long. A null item_id marks words
+    but is no listed item; a null or wordless item has no windows, an empty benchmark none at all. Repeated rows are
+    judged one by one, an empty table gives no row. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, window, block_bytes)]
+    shared = _blocks(benchmark, window, block_bytes)
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held = WordHashes(), pickle.loads(shared[0].value) if len(shared) == 1 else None
         for batch in chunks(batches):
             words, lengths = [], []
             for text in bytes_of(batch.column("text")):
                 own = words_of(text)
-                words += own
+                words.append(np.fromiter(map(hashes.__getitem__, own), dtype=np.uint64, count=len(own)))
                 lengths.append(len(own))
-            bounds = starts_of(np.array(lengths, dtype=np.int64))
+            words, bounds = np.concatenate(words), starts_of(np.array(lengths, dtype=np.int64))
             marks, items = np.zeros(len(words) + 1, dtype=np.int64), [[] for _ in lengths]
             for b in shared:
-                block = b.value
+                block = held or pickle.loads(b.value)
                 more, pairs = block.hits(words, bounds)
                 marks += more
                 for doc, item in pairs:
                     for d, i in zip(doc.tolist(), item.tolist(), strict=True):
                         items[d].append(block.names[i])
-                if len(shared) > 1:
+                if held is None:
                     b.__dict__.pop("_value", None)  # one block in memory at a time
             hit = (np.cumsum(marks[:-1]) > 0).astype(np.int64)
             n_hit = sums_by_row(hit, bounds)
