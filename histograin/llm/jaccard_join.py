@@ -11,9 +11,11 @@ differ in at most (a + b)(1 - t)/(1 + t) columns and have sizes within a factor
    never listed: a row with more of them than it has to spare lists its blocks of another partition besides, so that
    two such rows meet there (after ``SALTS`` partitions, which no row gets to by chance, also the empty ones);
 2. the row blocks: rows that agree in a column block are joined to the smallest of them, a star and never all pairs;
-   the connected rows form a cluster, and a cluster above ``ROWS`` rows is dealt into hashed row blocks. Each block is
-   first held against the cluster's smallest row; then those rows that aren't linked with it meet every block, so that
-   a group of copies costs its rows once. No row is dropped, and a task never holds more than two row blocks;
+   the connected rows form a cluster. A cluster above ``ROWS`` rows is dealt into hashed row blocks. Each block is first
+   held against ``STARS`` rows of the cluster: what hangs together with most of it needs no more links among
+   itself. Columns that many of these rows have (a passage that unrelated rows share) are then left out of the first
+   partition, and the column blocks joined anew: rows that nothing else connects part. In what still hangs together,
+   the rows that are not linked yet meet every row block. No row is dropped, and a task never holds more than two;
 3. inside the product, column postings accumulate the overlap counts of one row against all earlier rows, and pairs
    below the size-derived overlap are discarded. A task returns a spanning forest of its links, not the pairs.
 
@@ -31,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, bytes_of, chunks, components, discard, mix, small_batches, starts_of, table, written
+from .common import LOWER, WordHashes, bytes_of, chunks, components, discard, mix, release, small_batches, starts_of, table, written
 
 SHINGLE, NUM, DEN = 4, 85, 100
 #: Bytes of text that are cut into shingles at once.
 CHUNK = 4 << 20
 #: Rows in a row block, and shingles in all of them; a task multiplies two of them.
 ROWS, COLUMNS = 1500, 1 << 20
+#: Rows of a large cluster that all others are held against first; the part of them that makes a column common.
+STARS, COMMON = 48, 0.1
 #: Partitions of the columns that a row with too many empty blocks tries; distinct rows whose keys a task has sent.
 SALTS, SEEN = 12, 100_000
 #: Bits of the fixed-size filter that spares unclustered texts the second pass; a full filter only spares fewer.
@@ -101,17 +105,24 @@ def digest(rows: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def block_keys(rows: np.ndarray, bands: Bands) -> np.ndarray:
-    """One 64-bit key for each column block that the row lists, in its own band and in the next."""
+def block_keys(rows: np.ndarray, bands: Bands, common: np.ndarray | None = None) -> np.ndarray:
+    """One 64-bit key for each column block that the row lists, in its own band and in the next.
+
+    ``common``: sorted columns that the first partition leaves out; rows that only these connect then share no key of it.
+    """
     n = len(rows)
     if n * bands.den < (n + 1) * bands.num:  # any other set falls below the threshold
         return np.zeros(0, dtype=np.uint64)
     own, keys = bands.of(n), []
     bands.of(bands.tops[own] + 1)
+    telling = rows
+    if common is not None and len(common):
+        at = np.minimum(np.searchsorted(common, rows), len(common) - 1)
+        telling = rows[common[at] != rows]
     for band in (own, own + 1):
         m, spare = bands.blocks[band], bands.spare(band, n)
         for salt in range(SALTS):
-            spread = mix(rows ^ _K[3] ^ np.uint64(salt << 56))
+            spread = mix((telling if salt == 0 else rows) ^ _K[3] ^ np.uint64(salt << 56))
             at = (spread >> np.uint64(32)).astype(np.int64) * m >> 32
             size = np.bincount(at, minlength=m)
             order = np.argsort(at, kind="stable")
@@ -217,12 +228,16 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     clusters = written(components(stars, "jaccard-clusters").select(F.col("node").alias("d1"), F.col("root").alias("cluster")), "jaccard-clusters")
     keyed, incidence = incidence, written(incidence.drop("keys"), "jaccard-sizes")
     discard(keyed)
+    release(spark)
     live = incidence.where("n_shingles > 0 and doc_id is not null")
     classes = written(live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "jaccard-classes")
     held = written(classes.join(clusters, "d1"), "jaccard-held")
 
     # row blocks
-    row_blocks = F.ceil(F.greatest(F.count("*") / rows, F.sum("n") / COLUMNS)).cast("int")
+    def row_blocks_of(some: F.Column) -> F.Column:
+        return F.ceil(F.greatest(F.count_if(some) / rows, F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)) / COLUMNS)).cast("int")
+
+    row_blocks = row_blocks_of(F.lit(True))
     big = held.groupBy("cluster").agg(row_blocks.alias("n_blocks"))
     blocks = held.join(big, "cluster").withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("n_blocks")).cast("int"))
 
@@ -245,6 +260,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
 
     sparse = docs.where("doc_id is not null and text is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(columns_of, "rep bigint, d1 bigint, d2 bigint, columns binary")
     matrix = written(sparse.join(blocks, ["rep", "d1", "d2"]).dropDuplicates(["d1", "d2"]), "jaccard-matrix")
+    release(spark)
 
     def multiply(_key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         links = _product(frame, num, den, frame["rests"].to_numpy(dtype=bool), among=bool(frame["b"].iloc[0] == 0))
@@ -252,32 +268,55 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
         return pd.DataFrame({"u": [rep[i] for i, _ in links], "v": [rep[j] for _, j in links]}, dtype="int64")
 
     def hold(_key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        """Each row of a row block, and whether it is linked with the cluster's smallest row."""
-        first = frame[frame["is_hub"]].iloc[0]
-        hub, own = np.frombuffer(first["columns"], dtype=np.uint64), frame[~frame["is_hub"]]
-        both = np.array([np.isin(np.frombuffer(c, dtype=np.uint64), hub, assume_unique=True, kind="sort").sum() for c in own["columns"]], dtype=np.int64)
-        return own.assign(hub=first["rep"], linked=den * both >= num * (own["n"].to_numpy() + len(hub) - both)).drop(columns="is_hub")
+        """Each row of a row block: the hubs that it is linked with (of each pair of parts that hang together, one), the first hub that it hangs together with, and its keys without the columns that many hubs have."""
+        hub, bands = frame["is_hub"].to_numpy(), Bands(num, den)
+        links, rep, parent = _product(frame, num, den, hub, among=False), frame["rep"].to_numpy(), list(range(len(frame)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        to: list[list[int]] = [[] for _ in parent]
+        for i, j in links:
+            to[i].append(int(rep[j]))
+            parent[root(i)] = root(j)
+        first: dict[int, int] = {}
+        for i in np.flatnonzero(hub).tolist():
+            first[root(i)] = min(int(rep[i]), first.get(root(i), int(rep[i])))
+        column, count = np.unique(np.concatenate([np.frombuffer(c, dtype=np.uint64) for c in frame["columns"][hub]]), return_counts=True)
+        common = column[count >= max(2, COMMON * int(hub.sum()))]
+        keys = [[] if h else block_keys(np.frombuffer(c, dtype=np.uint64), bands, common).view(np.int64).tolist() for c, h in zip(frame["columns"], hub, strict=True)]
+        star = pd.array([first.get(root(i)) for i in range(len(to))], dtype="Int64")
+        return frame.assign(to=to, star=star, keys=keys)[~hub].drop(columns=["is_hub", "block", "n_blocks"])
 
     fields = "cluster bigint, block int, n_blocks int, rep bigint, n bigint, columns binary"
     whole = matrix.where("n_blocks = 1").select("cluster", F.lit(0).alias("a"), F.lit(0).alias("b"), "rep", "n", "columns", F.lit(True).alias("rests"))
     dealt = matrix.where("n_blocks > 1")
-    hubs = dealt.groupBy("cluster").agg(F.min("rep").alias("rep"))
-    hub = dealt.join(hubs, ["cluster", "rep"], "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    drawn = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("rep"), "d1"))
+    hubs = dealt.select("cluster", "rep", "d1").withColumn("k", drawn).where(F.col("k") <= STARS).select("cluster", "d1")
+    hub = dealt.join(hubs, ["cluster", "d1"], "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     columns = [c.split()[0] for c in fields.split(", ")]
     star = dealt.select(*columns, F.lit(False).alias("is_hub")).union(hub.select(*columns, F.lit(True)))
-    held_up = written(star.groupBy("cluster", "block").applyInPandas(hold, f"{fields}, hub bigint, linked boolean"), "jaccard-stars")
-    rest = held_up.where("not linked").groupBy("cluster").agg(row_blocks.alias("n_rest"))
-    # the rows that remain, in row blocks of their own, meet every row block
-    met_by = held_up.join(rest, "cluster")
-    left = met_by.where("not linked").withColumn("a", F.pmod(F.xxhash64("rep"), F.col("n_rest")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    right = met_by.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1))).where(F.col("linked") | (F.pmod(F.xxhash64("rep"), F.col("n_rest")) != F.col("a"))).withColumn("b", F.col("block"))
+    held_up = written(star.groupBy("cluster", "block").applyInPandas(hold, "cluster bigint, rep bigint, n bigint, columns binary, to array<bigint>, star bigint, keys array<bigint>"), "jaccard-stars")
+    largest = held_up.where("star IS NOT NULL").groupBy("cluster", "star").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("star", F.struct("k", "star")).alias("largest"))
+    held_up, stood = held_up.join(largest, "cluster", "left").withColumn("linked", F.coalesce(F.col("star") == F.col("largest"), F.lit(False))).drop("star", "largest"), held_up
+    again = held_up.select("cluster", "rep", F.explode("keys").alias("key")).withColumn("hub", F.min("rep").over(Window.partitionBy("cluster", "key")))
+    parts = components(again.where("rep > hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct(), "jaccard-parts")
+    held_up = held_up.drop("cluster", "keys").join(parts.select(F.col("node").alias("rep"), F.col("root").alias("cluster")), "rep", "left")
+    # the rows that aren't linked yet, in row blocks of their own, meet every row block of their part
+    sizes = held_up.where("cluster IS NOT NULL").groupBy("cluster").agg(row_blocks.alias("n_blocks"), row_blocks_of(~F.col("linked")).alias("n_rest")).where("n_rest > 0")
+    met_by = held_up.join(sizes, "cluster").withColumn("a", F.pmod(F.xxhash64("rep"), F.col("n_rest")).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep", "n"), F.col("n_blocks")).cast("int"))
+    left = met_by.where("not linked").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    right = met_by.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1))).where("linked OR a <> other").withColumn("a", F.col("other"))
     names = ["cluster", "a", "b", "rep", "n", "columns"]
     pairs = whole.union(left.select(*names, F.lit(True))).union(right.select(*names, F.lit(False)))
     found = pairs.groupBy("cluster", "a", "b").applyInPandas(multiply, "u bigint, v bigint")
-    found = found.union(held_up.where("linked and rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")))
+    found = found.union(held_up.select(F.col("rep").alias("u"), F.explode("to").alias("v")).where("u <> v"))
     links = written(found, "jaccard-links")
-    for done in (matrix, held, clusters, held_up):
+    for done in (matrix, held, clusters, stood):
         discard(done)
+    release(spark)
 
     # rows that share a doc_id are one document: its texts' classes hang together
     same = live.select("doc_id", "d1", "d2").distinct().join(classes, ["d1", "d2"]).where("doc_id <> rep").join(live.groupBy("doc_id").agg(F.countDistinct("d1", "d2").alias("k")).where("k > 1"), "doc_id")
