@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc32_of, fresh_path, small_batches, table
@@ -21,6 +21,8 @@ SHARDS = 24
 SEED = 20240229
 #: Bytes of a bucket's records; twice as much is still taken as it is.
 BUCKET_BYTES = 32 << 20
+#: Buckets up to which their places are broadcast, as one row each.
+MOST_BROADCAST = 1_000_000
 
 
 def record_bytes() -> Column:
@@ -79,12 +81,11 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scattered.schema)
     scattered.mapInArrow(pass_two, f"{fields}, place bigint").write.parquet(path)
     back = spark.read.schema(spark.createDataFrame([], f"{fields}, place bigint").schema).parquet(path)
-    sizes = np.zeros(buckets, dtype=np.int64)
-    for b, n in back.groupBy("bucket").count().collect():  # one number for each bucket
-        sizes[b] = n
-    begin = (np.cumsum(sizes) - sizes).tolist()
-    position = F.col("place") + F.element_at(F.lit(begin).cast("array<bigint>"), F.col("bucket") + 1)
-    return back.select(*[c for c in names if c != "bucket"], (position % shards).cast("int").alias("shard"), F.floor(position / shards).cast("bigint").alias("slot"))
+    sizes = back.groupBy("bucket").agg(F.count("*").alias("n"))  # a row for each bucket
+    begins = sizes.select("bucket", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("bucket")) - F.col("n")).alias("begin"))
+    own = back.join(F.broadcast(begins) if buckets <= MOST_BROADCAST else begins, "bucket")
+    position = F.col("begin") + F.col("place")
+    return own.select(*[c for c in names if c != "bucket"], (position % shards).cast("int").alias("shard"), F.floor(position / shards).cast("bigint").alias("slot"))
 
 
 def hash_of(text: bytes | None) -> int:

@@ -90,7 +90,12 @@ def lexicon(path: str) -> Lexicon:
 
 
 def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_pretokens (runs of anything but space and \\t-\\r), n_tokens. Zeros for null and empty texts; other columns are ignored."""
+    """Per row of ``docs``: doc_id, n_pretokens (runs of anything but space and \\t-\\r), n_tokens.
+
+    Zeros for null and empty texts. Texts and pre-tokens are read whole, however long; of segmentations with equal
+    scores the one of fewer tokens counts. Repeated rows are counted each, an empty table gives no row, a null doc_id
+    stays null. Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, kept = lexicon(vocabulary), {}

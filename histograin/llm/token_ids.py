@@ -31,6 +31,8 @@ END = 1
 SHARD_BYTES = 64 << 20
 #: Bytes of text that are encoded at once.
 CHUNK = 6 << 20
+#: Bytes of text that go to the library in one call.
+LIBRARY_BYTES = 1 << 20
 #: Pre-tokens after which a worker's cache turns over.
 CACHE_PRE_TOKENS = 150_000
 #: Keys in a bucket of the minimal perfect hash, on average.
@@ -45,7 +47,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: The vocabulary's pre-tokens of lower-case text.
+# What a tokenizer's file must say for the fast way to be its own; all others go to the library whole.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: The pre-tokens of lower-case text, by the same pattern.
 PRE_TOKENS = r"('s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+)"
 #: Text that only the library reads: an added token's opening, characters whose kind, lower case or composed form isn't plain, white space other than ASCII's.
 UNSETTLED = r"<\||[^\x{00}-\x{52F}]|[\x{1C}-\x{1F}\x{85}\x{A0}\x{130}\x{300}-\x{37F}\x{387}]"
@@ -60,25 +66,45 @@ def placed(sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Encoder:
-    """Ids of texts.
+    """Ids of texts, by any tokenizer of the library.
 
-    The tokenizer's pre-tokens never cross white space, so a text's ids are its pieces' ids one after the other, and a
+    A tokenizer whose file says that it lower-cases, splits by ``PRE_TOKENS`` and marks words' ends with ``</w>`` is
+    taken apart: its pre-tokens never cross white space, so a text's ids are its pieces' ids one after the other, and a
     piece's those of its pre-tokens. A run of texts is cut into pieces, its distinct pieces into pre-tokens, and the
     library encodes the distinct pre-tokens, many in one call: each ends with the only one of its tokens that ends a
     word. Pieces that match ``UNSETTLED`` go to the library whole. Pre-tokens used last are kept, within
-    ``CACHE_PRE_TOKENS``.
+    ``CACHE_PRE_TOKENS``. With any other tokenizer, whole texts go to the library, about ``LIBRARY_BYTES`` at once.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            own = json.load(f)
+        model = own["model"]
+        self.fast = (
+            (own["normalizer"], own["pre_tokenizer"], own.get("post_processor"), own.get("truncation"), own.get("padding")) == (NORMALIZER, PRE_TOKENIZER, None, None, None)
+            and (model["type"], model.get("end_of_word_suffix"), model.get("dropout"), model.get("ignore_merges"), model.get("unk_token")) == ("BPE", "</w>", None, False, None)
+            and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in own.get("added_tokens", []))
+        )
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, by the library alone."""
+        sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // LIBRARY_BYTES)) + 1).tolist(), len(texts)]
+        out, counts = [np.zeros(0, dtype="<u4")], []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.slice(a, b - a).to_pylist()], add_special_tokens=False):
+                out.append(np.array(e.ids, dtype="<u4"))
+                counts.append(len(out[-1]))
+        return np.concatenate(out), np.array(counts, dtype=np.int64)
+
     def _encode(self, parts: list[bytes]) -> dict[bytes, bytes]:
         out: dict[bytes, bytes] = {}
         for at in range(0, len(parts), 2_000):
@@ -107,6 +133,8 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
+        if not self.fast:
+            return self._whole(texts)
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         words = lists.flatten().dictionary_encode()
         pieces = words.dictionary
@@ -150,6 +178,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def file_system(at: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system and path of a URI as Spark has it."""
+    scheme, colon, rest = at.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest)
+
+
 def _hash(keys: np.ndarray, salt: int) -> np.ndarray:
     from .common import mix
 
@@ -220,7 +254,7 @@ class Shard:
     """A shard opened for keyed access."""
 
     def __init__(self, at: str) -> None:
-        self.files, path = fs.FileSystem.from_uri(at)
+        self.files, path = file_system(at)
         with self.files.open_input_stream(f"{path}.idx") as f:
             raw = f.read()
         line, _, rest = raw.partition(b"\n")
@@ -269,18 +303,19 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END, shard_
     ``order`` names columns that give another order; the index then leads to a shard's first record of a key.
 
     doc_id is an integer key; a null one comes first. A null text is empty; each record ends with ``end``. Rows that
-    share a doc_id follow one another in the order of their texts' hashes; the index leads to the first. Other
+    share a doc_id follow one another in the order of their texts' hashes; the index leads to the first. Texts are
+    encoded whole, by the library alone where the tokenizer isn't of the kind that ``Encoder`` takes apart. Other
     columns are ignored, an empty table gives no shard. Files of failed task attempts stay under other names and are in no list.
     """
     small_batches(docs.sparkSession)
-    total = docs.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)).first()[0] or 0
     n = max(1, -(-total // shard_bytes))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_KEY)).alias("doc_id"), "text", *(order or [])).withColumn("tie", F.xxhash64("text"))
     by = order or ["doc_id", "tie"]
     rows = rows.repartitionByRange(int(n), *by).sortWithinPartitions(*by).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, files_path = encoder(tokenizer), fs.FileSystem.from_uri(path)
+        own, files_path = encoder(tokenizer), file_system(path)
         width = 2 if max(own.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         name = f"shard-{uuid.uuid4().hex}"
         files, root = files_path
@@ -307,9 +342,9 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end: int = END, shard_
     return shards
 
 
-def read_ids(spark: SparkSession, path: str, shards: list[dict]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, ids of every record; each key is looked up in its shard's index."""
-    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>"
+def read_ids(spark: SparkSession, path: str, shards: list[dict], ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, unless not asked for, ids of every record; each key is looked up in its shard's index."""
+    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * ids
     if not shards:
         return spark.createDataFrame([], schema)
     todo = spark.createDataFrame([(s["name"], s["before"]) for s in shards], "name string, before bigint").repartition(len(shards))
@@ -324,19 +359,18 @@ def read_ids(spark: SparkSession, path: str, shards: list[dict]) -> DataFrame:
                     to = min(to, n)
                     key = shard.keys[at:to]
                     _check(shard, key)
-                    ids = shard.read(at, to)
+                    raw = shard.read(at, to)
                     cut = (shard.starts[at : to + 1] - shard.starts[at]).tolist()
-                    own = [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(key, pa.int64(), mask=key == NULL_KEY),
-                            pa.array(shard.starts[at:to] + before, pa.int64()),
-                            pa.array([len(i) for i in own], pa.int64()),
-                            pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in own], pa.int64()),
-                            pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids.astype(np.int32))),
-                        ],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                    )
+                    whole = memoryview(raw.astype("<u4").tobytes())
+                    columns = [
+                        pa.array(key, pa.int64(), mask=key == NULL_KEY),
+                        pa.array(shard.starts[at:to] + before, pa.int64()),
+                        pa.array(np.diff(cut), pa.int64()),
+                        pa.array([zlib.crc32(whole[4 * a : 4 * b]) for a, b in zip(cut, cut[1:], strict=False)], pa.int64()),
+                    ]
+                    if ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(raw.astype(np.int32))))
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
                     at = to
 
     return todo.mapInArrow(run, schema)
@@ -352,4 +386,4 @@ def _check(shard: Shard, keys: np.ndarray) -> None:
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-ids")
     shards = write_ids(table(spark, sf_dir, "documents"), tokenizer_path(), path)
-    return read_ids(spark, path, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_ids(spark, path, shards, ids=False)

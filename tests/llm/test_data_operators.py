@@ -205,6 +205,24 @@ def test_round_deviates_by_less_than_one_block():
             assert (abs(done - np.arange(w + 1) * a / w) < 1).all()
 
 
+def test_sharding_query(spark, tmp_path, odd, odd_rows, corpus):
+    """All columns of the query: sizes, checksums, the law it holds to, and shards that differ by one row at most."""
+    rows = [r[:2] for r in odd_rows] + [(1000 + i, t) for i, t in corpus]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    out = sh.op4_sharding(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    got = out.collect()
+    raw = [(str(d), (t or "").encode()) for d, t in rows]
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in got) == sorted((d, len(t) + 8, zlib.crc32(t)) for d, t in raw)
+    assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None} and {r.shard for r in got} <= set(range(24))
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(len(slots[k]) for k in range(24)) <= 1
+    assert sorted(map(str, out.collect())) == sorted(map(str, got))
+
+
 def test_mixture(spark, odd, none, odd_rows):
     rows = [(i, f"s{0 if i % 3 == 0 else i % 7}") for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string").repartition(5)
@@ -337,6 +355,26 @@ def test_token_ids_like_the_library(spark, odd_rows, odd, none, corpus, shard_by
         assert order == sorted(order)
 
 
+def test_other_tokenizers_like_the_library(spark, odd_rows, odd):
+    """Tokenizers that the fast way isn't made for go to the library: byte-level, and a cased one with the same word ends."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    cased = json.load(open(ti.tokenizer_path()))
+    cased["normalizer"]["normalizers"].pop()
+    path = fresh_path(spark, "cased").removeprefix("file://") + ".json"
+    with open(path, "w") as f:
+        json.dump(cased, f)
+    assert ti.Encoder(ti.tokenizer_path()).fast
+    for tokenizer in (ti.tokenizer_path("byte_bpe_50k.json"), path):
+        library, at = Tokenizer.from_file(tokenizer), fresh_path(spark, "test-ids")
+        assert not ti.Encoder(tokenizer).fast
+        got = ti.read_ids(spark, at, ti.write_ids(odd, tokenizer, at, end=7)).collect()
+        expected = sorted((str(d), *[*library.encode(t or "", add_special_tokens=False).ids, 7]) for d, t, *_ in odd_rows)
+        assert sorted((str(r.doc_id), *r.ids) for r in got) == expected
+
+
 def test_keyed_access(spark, corpus):
     path = fresh_path(spark, "test-ids")
     shards = ti.write_ids(spark.createDataFrame(corpus, "doc_id bigint, text string"), ti.tokenizer_path(), path, shard_bytes=6000)
