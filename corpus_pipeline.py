@@ -87,7 +87,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if "_metadata" not in str(e):
             raise
     shards = token_ids.write_ids(own, token_ids.tokenizer_path(), path, order=order)
-    return token_ids.read_ids(spark, path, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_ids.read_ids(spark, path, shards, ids=False)
 
 
 STAGES = [
