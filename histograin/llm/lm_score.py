@@ -5,7 +5,8 @@ many n-grams, as one row for each would be ten times the text: hashes lie in it
 
 1. a run of documents becomes a row: its vocabulary (sorted word hashes) and its words as numbers into it;
 2. for one order after the other, a run's distinct n-grams, counted, go to the partitions of their hashes;
-3. a partition adds the runs' counts to its part of the count table and joins the totals to what each run has sent;
+3. a partition adds the runs' counts to its part of the count table and joins the totals to what each run has sent
+   (or joins the part of a table that was written before, to score documents by another corpus);
 4. runs meet their totals, every word takes the longest n-gram that the table keeps, and documents are summed.
 
 A row goes to at most ``FAN`` places at once. Corpora that need more partitions than that pass what they send through
@@ -117,21 +118,15 @@ def _sections(batch: pa.RecordBatch | pa.Table, names: list[str], unpackers: lis
     return raw(names[0], np.int64), raw(names[1], np.int32), items
 
 
-def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, run_bytes: int = RUN_BYTES, partition_bytes: int = PARTITION_BYTES, fan: int = FAN) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, log_score (natural logarithm, summed over the words), mean_log_score.
+_SENT, _SENT_SCHEMA = ["part", "runs", "lengths", "hashes", "counts"], "part bigint, runs binary, lengths binary, hashes binary, counts binary"
+_ANSWERED, _ANSWERED_SCHEMA = ["run", "parts", "lengths", "totals"], "run bigint, parts binary, lengths binary, totals binary"
+_BUNDLED, _BUNDLED_SCHEMA = ["group", "runs", "lengths", "totals"], "group bigint, runs binary, lengths binary, totals binary"
+_TABLE_SCHEMA = "part bigint, hashes binary, totals binary"
 
-    Words: A-Z lower-cased, split at space and \\t-\\r. A word w after the words c has count(c w) / count(c) if the table
-    has c w, else ``backoff`` times the value for the shorter context; without context count(w) / words of the corpus.
-    Null, empty and blank texts have no words, 0 and a null mean; a text above ``run_bytes`` is a run of its own. An
-    empty table gives no row. Repeated rows are counted and scored each, rows that share a doc_id too; a null doc_id
-    stays null. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
+
+def _localized(docs: DataFrame, run_bytes: int) -> DataFrame:
+    """Runs of documents, written: run, doc_ids, lengths, vocabulary, words, n."""
     key = docs.schema["doc_id"].dataType.simpleString()
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    partitions = max(1, -(-total // partition_bytes))
-    coarse = min(partitions, fan)
 
     def localize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, part, k = WordHashes(), TaskContext.get().partitionId(), 0
@@ -159,75 +154,142 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
             )
             k += 1
 
-    runs = written(docs.select("doc_id", "text").mapInArrow(localize, f"run bigint, doc_ids array<{key}>, lengths binary, vocabulary binary, words binary, n bigint"), "lm-runs", **_WRITER)
-    corpus = runs.agg(F.sum("n")).first()[0] or 0
-
-    def unfold(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return unpack_sorted(row["vocabulary"]), unpack(row["words"]).astype(np.int32), starts_of(unpack(row["lengths"]).astype(np.int64))
-
-    sent = ["part", "runs", "lengths", "hashes", "counts"]
-    answered = ["run", "parts", "lengths", "totals"]
-    sent_schema, answered_schema = "part bigint, runs binary, lengths binary, hashes binary, counts binary", "run bigint, parts binary, lengths binary, totals binary"
-
-    def totals_of(n: int) -> DataFrame:
-        """The table of order n, joined to the runs' n-grams: for each run, the totals of its distinct n-grams by partition."""
-
-        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    row = batch.slice(i, 1).to_pylist()[0]
-                    hashes, counts = np.unique(grams(*unfold(row), n)[1], return_counts=True)
-                    own = bundles(partition_of(hashes, partitions) * coarse // partitions, np.array([row["run"]]), np.array([len(hashes)]), [hashes, counts])
-                    yield from _rows(own, sent, [pack_sorted, pack])
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches, "hashes", BUNDLE_BYTES):
-                of, lengths, items = _sections(batch, sent[1:], [unpack_sorted, unpack])
-                yield from _rows(bundles(partition_of(items[0], partitions), of, lengths, items), sent, [pack_sorted, pack])
-
-        def add_up(group: pa.Table) -> pa.Table:
-            part = group.column("part")[0].as_py()
-            of, lengths, (hashes, counts) = _sections(group, sent[1:], [unpack_sorted, unpack])
-            _, number = np.unique(hashes, return_inverse=True)
-            sums = np.zeros(len(hashes), dtype=np.int64)
-            np.add.at(sums, number, counts.view(np.int64))
-            to = np.repeat(of if partitions <= fan else _hashed(of, fan), lengths)
-            owners = np.full(len(of), part) if partitions <= fan else of
-            names = answered if partitions <= fan else bundled
-            rows = []
-            for batch in _rows(bundles(to, owners, lengths, [sums[number]]), names, [pack]):
-                rows.append(batch if partitions <= fan else batch.append_column("part", pa.array([part] * batch.num_rows, pa.int64())))
-            return pa.Table.from_batches(rows)
-
-        bundled = ["group", "runs", "lengths", "totals"]
-
-        def return_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in chunks(batches, "totals", BUNDLE_BYTES):
-                of, lengths, (totals,) = _sections(batch, bundled[1:], [unpack])
-                parts = np.repeat(batch.column("part").to_numpy(), [len(b) // 8 for b in batch.column("runs").to_pylist()])
-                yield from _rows(bundles(np.repeat(of, lengths), parts, lengths, [totals]), answered, [pack])
-
-        out = runs.select("run", "lengths", "vocabulary", "words").mapInArrow(explode, sent_schema)
-        if partitions > fan:
-            out = out.repartition("part").mapInArrow(deal, sent_schema)
-            out = out.groupBy("part").applyInArrow(add_up, "group bigint, runs binary, lengths binary, totals binary, part bigint")
-            return out.repartition("group").mapInArrow(return_to, answered_schema)
-        return out.groupBy("part").applyInArrow(add_up, answered_schema)
-
-    totals = []
+    schema = f"run bigint, doc_ids array<{key}>, lengths binary, vocabulary binary, words binary, n bigint"
+    return written(docs.select("doc_id", "text").mapInArrow(localize, schema), "lm-runs", **_WRITER)
+
+
+def _unfold(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return unpack_sorted(row["vocabulary"]), unpack(row["words"]).astype(np.int32), starts_of(unpack(row["lengths"]).astype(np.int64))
+
+
+def _sent(runs: DataFrame, n: int, partitions: int, fan: int) -> DataFrame:
+    """The runs' distinct n-grams, counted, in rows for the partitions of their hashes."""
+    coarse = min(partitions, fan)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                hashes, counts = np.unique(grams(*_unfold(row), n)[1], return_counts=True)
+                own = bundles(partition_of(hashes, partitions) * coarse // partitions, np.array([row["run"]]), np.array([len(hashes)]), [hashes, counts])
+                yield from _rows(own, _SENT, [pack_sorted, pack])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "hashes", BUNDLE_BYTES):
+            of, lengths, items = _sections(batch, _SENT[1:], [unpack_sorted, unpack])
+            yield from _rows(bundles(partition_of(items[0], partitions), of, lengths, items), _SENT, [pack_sorted, pack])
+
+    out = runs.select("run", "lengths", "vocabulary", "words").mapInArrow(explode, _SENT_SCHEMA)
+    return out if partitions <= fan else out.repartition("part").mapInArrow(deal, _SENT_SCHEMA)
+
+
+def _answers(part: int, of: np.ndarray, lengths: np.ndarray, totals: np.ndarray, partitions: int, fan: int) -> pa.Table:
+    """Totals of what the runs ``of`` have sent to a partition, in rows for the runs (or, bundled, for groups of them)."""
+    if partitions <= fan:
+        return pa.Table.from_batches(list(_rows(bundles(np.repeat(of, lengths), np.full(len(of), part), lengths, [totals]), _ANSWERED, [pack])))
+    rows = _rows(bundles(np.repeat(_hashed(of, fan), lengths), of, lengths, [totals]), _BUNDLED, [pack])
+    return pa.Table.from_batches([r.append_column("part", pa.array([part] * r.num_rows, pa.int64())) for r in rows])
+
+
+def _returned(answers: DataFrame, partitions: int, fan: int) -> DataFrame:
+    """Answers in rows for the runs."""
+
+    def return_to(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "totals", BUNDLE_BYTES):
+            of, lengths, (totals,) = _sections(batch, _BUNDLED[1:], [unpack])
+            parts = np.repeat(batch.column("part").to_numpy(), [len(b) // 8 for b in batch.column("runs").to_pylist()])
+            yield from _rows(bundles(np.repeat(of, lengths), parts, lengths, [totals]), _ANSWERED, [pack])
+
+    return answers if partitions <= fan else answers.repartition("group").mapInArrow(return_to, _ANSWERED_SCHEMA)
+
+
+def _counted(runs: DataFrame, n: int, partitions: int, fan: int, table: str | None, held: list[DataFrame]) -> DataFrame:
+    """Counts and joins in one pass: a partition adds up its part of the table of order n and answers the runs from it. With ``table``, the part is written there too, by way of a frame that is added to ``held``."""
+    schema = (_ANSWERED_SCHEMA if partitions <= fan else f"{_BUNDLED_SCHEMA}, part bigint") + ", hashes binary" * (table is not None)
+
+    def add_up(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        of, lengths, (hashes, counts) = _sections(group, _SENT[1:], [unpack_sorted, unpack])
+        distinct, number = np.unique(hashes, return_inverse=True)
+        sums = np.zeros(len(distinct), dtype=np.int64)
+        np.add.at(sums, number, counts.view(np.int64))
+        out = _answers(part, of, lengths, sums[number], partitions, fan)
+        if table is None:
+            return out
+        out = out.append_column("hashes", pa.nulls(out.num_rows, pa.binary()))
+        own = {"run": None, "group": None, "runs": b"", "parts": np.array([part], dtype=np.int64).tobytes(), "part": part, "lengths": b"", "totals": pack(sums), "hashes": pack_sorted(distinct)}
+        return pa.concat_tables([out, pa.Table.from_pylist([{f.name: own[f.name] for f in out.schema}], schema=out.schema)])
+
+    answers = _sent(runs, n, partitions, fan).groupBy("part").applyInArrow(add_up, schema)
+    if table is None:
+        return _returned(answers, partitions, fan)
+    both = written(answers, f"lm-counted-{n}", compression="zstd")
+    held.append(both)
+    part = F.col("part") if partitions > fan else F.conv(F.hex(F.reverse("parts")), 16, 10).cast("bigint")
+    both.where("hashes IS NOT NULL").select(part.alias("part"), "hashes", "totals").write.parquet(f"{table}/order={n}")
+    return _returned(both.where("hashes IS NULL").drop("hashes"), partitions, fan)
+
+
+def _joined(runs: DataFrame, n: int, partitions: int, fan: int, table: DataFrame) -> DataFrame:
+    """The runs' n-grams joined to a count table by the partitions of their hashes; those that it lacks have the total 0."""
+
+    def look_up(sent: pa.Table, rows: pa.Table) -> pa.Table:
+        if not sent.num_rows:
+            return pa.schema([(f, pa.int64() if f in ("run", "group", "part") else pa.binary()) for f in (_ANSWERED if partitions <= fan else [*_BUNDLED, "part"])]).empty_table()
+        of, lengths, (hashes, _) = _sections(sent, _SENT[1:], [unpack_sorted, unpack])
+        totals = np.zeros(len(hashes), dtype=np.int64)
+        for own in rows.to_pylist():
+            known, sums = unpack_sorted(own["hashes"]), unpack(own["totals"]).view(np.int64)
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            totals += np.where(known[at] == hashes, sums[at], 0)
+        return _answers(sent.column("part")[0].as_py(), of, lengths, totals, partitions, fan)
+
+    schema = _ANSWERED_SCHEMA if partitions <= fan else f"{_BUNDLED_SCHEMA}, part bigint"
+    return _returned(_sent(runs, n, partitions, fan).groupBy("part").cogroup(table.groupBy("part")).applyInArrow(look_up, schema), partitions, fan)
+
+
+def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, run_bytes: int = RUN_BYTES, partition_bytes: int = PARTITION_BYTES, fan: int = FAN, tables: str | None = None, by: str | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, log_score (natural logarithm, summed over the words), mean_log_score.
+
+    Words: A-Z lower-cased, split at space and \\t-\\r. A word w after the words c has count(c w) / count(c) if the table
+    has c w, else ``backoff`` times the value for the shorter context; without context count(w) / words of the corpus.
+    Null, empty and blank texts have no words, 0 and a null mean; a text above ``run_bytes`` is a run of its own. An
+    empty table gives no row. Repeated rows are counted and scored each, rows that share a doc_id too; a null doc_id
+    stays null. Other columns are ignored.
+
+    The corpus is ``docs`` itself. ``tables``: a folder to which its count tables are written, as Parquet partitioned by
+    n-gram hash; ``by``: one from which another corpus's tables are read instead, of at least ``order`` orders. A word
+    that this corpus lacks counts as if it had it once.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    key = docs.schema["doc_id"].dataType.simpleString()
+    runs = _localized(docs, run_bytes)
+    if by is None:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions, corpus = max(1, -(-total // partition_bytes)), runs.agg(F.sum("n")).first()[0] or 0
+        if tables:
+            spark.createDataFrame([(partitions, corpus)], "partitions bigint, words bigint").coalesce(1).write.parquet(f"{tables}/corpus")
+    else:
+        partitions, corpus = spark.read.parquet(f"{by}/corpus").first()
+    totals, held = [], []
     for n in range(1, order + 1):
-        totals.append(written(totals_of(n).withColumn("n", F.lit(n)), f"lm-totals-{n}", compression="zstd"))
+        if by is None:
+            own = _counted(runs, n, partitions, fan, tables, held)
+        else:
+            own = _joined(runs, n, partitions, fan, spark.read.schema(_TABLE_SCHEMA).parquet(f"{by}/order={n}"))
+        totals.append(written(own.withColumn("n", F.lit(n)), f"lm-totals-{n}", compression="zstd"))
         release(spark)
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[pa.Table] = []
         for i in range(left.num_rows):
             row = left.slice(i, 1).to_pylist()[0]
-            vocabulary, words, bounds = unfold(row)
+            vocabulary, words, bounds = _unfold(row)
             n_words, value, shorter = np.diff(bounds), np.zeros(len(words)), np.zeros(0)
             for n in range(1, order + 1):
                 mine = right.filter(pc.equal(right.column("n"), n))
-                parts, lengths, (totals,) = _sections(mine, answered[1:], [unpack])
+                parts, lengths, (totals,) = _sections(mine, _ANSWERED[1:], [unpack])
                 if (np.diff(parts) < 0).any():  # hashes ascend with the partitions
                     at = starts_of(lengths.astype(np.int64))
                     totals = np.concatenate([totals[at[k] : at[k + 1]] for k in np.argsort(parts, kind="stable")])
@@ -236,10 +298,10 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
                 longer = np.zeros(len(words), dtype=np.int64)  # count of the n-gram that ends at each word
                 longer[ends] = count
                 if n == 1:
-                    value = np.log(longer / max(1, corpus))
+                    value = np.log(np.maximum(longer, 1) / max(1, corpus))
                 else:
                     value[ends] += np.log(backoff)
-                    kept = count >= min_count
+                    kept = count >= max(1, min_count)
                     at = ends[kept]
                     value[at] = np.log(count[kept] / shorter[at - 1])
                 shorter = longer
@@ -255,7 +317,7 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
     own, answers = runs.select("run", "doc_ids", "lengths", "vocabulary", "words"), reduce(DataFrame.unionByName, totals)
     out = own.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(sum_up, f"doc_id {key}, n_words bigint, log_score double, mean_log_score double")
     scored = written(out, "lm-scores")
-    for done in (runs, *totals):
+    for done in (runs, *totals, *held):
         discard(done)
     return scored
 

@@ -16,6 +16,7 @@ from histograin.llm import language_id as lid
 from histograin.llm import lm_score as lm
 from histograin.llm import quality as q
 from histograin.llm import token_counts as tc
+from histograin.llm.common import fresh_path
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,10 +83,11 @@ def test_fm_index_finds_all_occurrences():
         assert found == {(k, p) for k, w in enumerate(windows) for p in range(len(text) - n + 1) if (text[p : p + n] == w).all()}
 
 
-def plain_scores(rows, order, min_count, backoff):
-    texts = [SPACE.findall((t or "").translate(LOW)) for _, t in rows]
-    counts = Counter(tuple(w[i : i + n]) for w in texts for n in range(1, order + 1) for i in range(len(w) - n + 1))
-    total = sum(map(len, texts))
+def plain_scores(rows, order, min_count, backoff, by=None):
+    split = lambda rows: [SPACE.findall((t or "").translate(LOW)) for _, t in rows]
+    texts, known = split(rows), split(by or rows)
+    counts = Counter(tuple(w[i : i + n]) for w in known for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    total = sum(map(len, known))
     out = []
     for (doc, _), w in zip(rows, texts, strict=True):
         s = 0.0
@@ -95,7 +97,7 @@ def plain_scores(rows, order, min_count, backoff):
             while n > 1 and counts[tuple(w[i - n + 1 : i + 1])] < min_count:
                 n, penalty = n - 1, penalty + math.log(backoff)
             g = tuple(w[i - n + 1 : i + 1])
-            s += penalty + math.log(counts[g] / (counts[g[:-1]] if n > 1 else total))
+            s += penalty + math.log(max(counts[g], 1) / (counts[g[:-1]] if n > 1 else total))
         out.append((doc, len(w), round(s, 6)))
     return out
 
@@ -117,6 +119,22 @@ def test_lm_query_like_plain(spark, corpus, odd_rows, tmp_path):
     assert sorted(((r.doc_id, r.n_words, round(r.log_score, 5)) for r in got), key=key) == sorted(((d, n, round(s, 5)) for d, n, s in plain_scores(rows, 3, 1, 0.4)), key=key)
 
 
+@pytest.mark.parametrize("fan", [1024, 2])
+def test_lm_scores_by_another_corpus(spark, corpus, odd_rows, odd, fan):
+    """Count tables are written partitioned by hash, and other documents joined to them back off."""
+    key, at = lambda r: tuple(str(x) for x in r), fresh_path(spark, "test-tables")
+    docs = spark.createDataFrame(corpus, "doc_id bigint, text string").repartition(3)
+    own = lm.score(docs, run_bytes=2000, partition_bytes=5000, fan=fan, tables=at).collect()
+    assert sorted(((r.doc_id, r.n_words, round(r.log_score, 6)) for r in own), key=key) == sorted(plain_scores(corpus, 3, 1, 0.4), key=key)
+    table = spark.read.parquet(f"{at}/order=2").collect()
+    words = [SPACE.findall(t.translate(LOW)) for _, t in corpus]
+    assert sum(int(lm.unpack(r.totals).sum()) for r in table) == sum(max(0, len(w) - 1) for w in words)
+    hashes = {r.part: lm.unpack_sorted(r.hashes) for r in table}
+    assert len(hashes) > 5 and all((lm.partition_of(h, 1 + max(hashes)) == p).all() for p, h in hashes.items()) and len({int(x) for h in hashes.values() for x in h}) == len({g for w in words for g in zip(w, w[1:], strict=False)})
+    got = lm.score(odd, run_bytes=2000, fan=fan, by=at).collect()
+    assert sorted(((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got), key=key) == sorted(plain_scores([r[:2] for r in odd_rows], 3, 1, 0.4, corpus), key=key)
+
+
 def test_lm_packing_keeps_64_bits():
     rng = np.random.default_rng(3)
     for x in (np.array([], dtype=np.int64), np.array([0]), np.array([5_000_000_000, 1, 0, 1 << 62]), rng.integers(0, 1 << 40, 1000)):
