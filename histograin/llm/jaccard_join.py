@@ -225,7 +225,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     # stars of the column blocks; a key's smallest row stands for it
     met = live.where("size(keys) > 0").select("d1", F.explode("keys").alias("key")).withColumn("hub", F.min("d1").over(Window.partitionBy("key")))
     stars = met.where("d1 > hub").select(F.col("d1").alias("u"), F.col("hub").alias("v")).distinct()
-    clusters = written(components(stars, "jaccard-clusters").select(F.col("node").alias("d1"), F.col("root").alias("cluster")), "jaccard-clusters")
+    clusters = components(stars, "jaccard-clusters").select(F.col("node").alias("d1"), F.col("root").alias("cluster"))
     keyed, incidence = incidence, written(incidence.drop("keys"), "jaccard-sizes")
     discard(keyed)
     release(spark)
@@ -314,18 +314,21 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     found = pairs.groupBy("cluster", "a", "b").applyInPandas(multiply, "u bigint, v bigint")
     found = found.union(held_up.select(F.col("rep").alias("u"), F.explode("to").alias("v")).where("u <> v"))
     links = written(found, "jaccard-links")
-    for done in (matrix, held, clusters, stood):
+    for done in (matrix, held, clusters, stood, parts):
         discard(done)
     release(spark)
 
     # rows that share a doc_id are one document: its texts' classes hang together
     same = live.select("doc_id", "d1", "d2").distinct().join(classes, ["d1", "d2"]).where("doc_id <> rep").join(live.groupBy("doc_id").agg(F.countDistinct("d1", "d2").alias("k")).where("k > 1"), "doc_id")
-    links = links.union(same.select("doc_id", "rep"))
+    links_read, links = links, links.union(same.select("doc_id", "rep"))
     roots = components(links, "jaccard-links")
     final = classes.join(roots, classes["rep"] == roots["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("component_id"))
     out = incidence.select("doc_id", "n_shingles", "d1", "d2").join(final, ["d1", "d2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    result = written(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id")), "jaccard-components")
+    for done in (incidence, classes, links_read, roots):
+        discard(done)
+    return result
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
