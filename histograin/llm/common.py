@@ -118,6 +118,17 @@ class WordHashes(dict):
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+def hashed_words(texts: pa.Array, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word (A-Z lower-cased, split at space and \\t-\\r) of all texts, and how many words each has. Only a run's distinct words pass through Python."""
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+    offsets = lists.offsets.to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    code, distinct = coded.indices.to_numpy(zero_copy_only=False), [w.translate(LOWER) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+    of = np.fromiter(map(hashes.__getitem__, distinct), dtype=np.uint64, count=len(distinct))
+    real = np.fromiter(map(bool, distinct), dtype=bool, count=len(distinct))[code]  # white space at an end leaves an empty word
+    return of[code[real]], sums_by_row(real, offsets - offsets[0])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element."""
     x = x.astype(np.uint64, copy=True)

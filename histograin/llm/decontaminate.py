@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, bytes_of, chunks, discard, mix, small_batches, starts_of, sums_by_row, table, written
+from .common import LOWER, WordHashes, bytes_of, chunks, discard, hashed_words, mix, small_batches, starts_of, sums_by_row, table, written
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast block, about, which compiled takes some four times as much; a larger benchmark is searched block by block.
 BLOCK_BYTES = 8 << 20
+#: Distinct words of a block up to which workers look words up as they are and not by hash.
+LOOKUP_WORDS = 100_000
 #: Every so many text positions, a suffix position is stored.
 SAMPLE = 8
 
@@ -145,6 +148,8 @@ class Block:
         h = np.fromiter((hashes[w] for _, words in items for w in words), dtype=np.uint64)
         self.vocabulary, number = np.unique(h, return_inverse=True)
         self.words = (number + 1).astype(np.int32)
+        #: The same as a dictionary of words, where it is small.
+        self.lookup = {w: k for (_, words), own in zip(items, np.split(self.words, np.cumsum([len(w) for _, w in items])[:-1]), strict=True) for w, k in zip(words, own.tolist(), strict=True)} if 0 < len(self.vocabulary) <= LOOKUP_WORDS else None
         self.names = sorted({item for item, _ in items if item is not None})
         owner = {name: k for k, name in enumerate(self.names)}
         own = np.array([owner.get(item, -1) for item, _ in items], dtype=np.int32)
@@ -174,14 +179,19 @@ class Block:
             return number
         return np.unique(self.rows(at, length), axis=0, return_inverse=True)[1].ravel()  # two windows share a hash
 
-    def hits(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of words in the vocabulary, 0 for others."""
+        if not len(self.vocabulary):
+            return np.zeros(len(hashes), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
+
+    def hits(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """+1/-1 marks of the occurrences over the shard's words, and (document, item number) pairs."""
-        marks, pairs = np.zeros(len(hashes) + 1, dtype=np.int64), []
-        if not self.windows or not len(hashes):
+        marks, pairs = np.zeros(len(ids) + 1, dtype=np.int64), []
+        if not self.windows or not len(ids):
             return marks, pairs
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        ids = np.where(self.vocabulary[at] == hashes, at + 1, 0)
-        cut = np.zeros(len(hashes) + 1, dtype=bool)
+        cut = np.zeros(len(ids) + 1, dtype=bool)
         cut[bounds] = True
         inside = ids > 0
         begins = np.flatnonzero(inside & (cut[:-1] | ~np.concatenate([[False], inside[:-1]])))
@@ -252,16 +262,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = WordHashes(), pickle.loads(shared[0].value) if len(shared) == 1 else None
         for batch in chunks(batches):
-            words, lengths = [], []
-            for text in bytes_of(batch.column("text")):
-                own = words_of(text)
-                words.append(np.fromiter(map(hashes.__getitem__, own), dtype=np.uint64, count=len(own)))
-                lengths.append(len(own))
-            words, bounds = np.concatenate(words), starts_of(np.array(lengths, dtype=np.int64))
+            texts, plain = bytes_of(batch.column("text")), held is not None and held.lookup is not None
+            if plain:  # numbers of a small vocabulary without a detour
+                split = [words_of(t) for t in texts]
+                lengths = np.array([len(w) for w in split], dtype=np.int64)
+                words = np.fromiter(map(held.lookup.get, chain.from_iterable(split), repeat(0)), dtype=np.int64, count=int(lengths.sum()))
+                del split
+            else:
+                spaced = pa.array([t.translate(WORDS) if t else None for t in texts], pa.large_binary())
+                words, lengths = hashed_words(spaced.view(pa.large_string()), hashes)
+            bounds = starts_of(lengths)
             marks, items = np.zeros(len(words) + 1, dtype=np.int64), [[] for _ in lengths]
             for b in shared:
                 block = held or pickle.loads(b.value)
-                more, pairs = block.hits(words, bounds)
+                more, pairs = block.hits(words if plain else block.ids(words), bounds)
                 marks += more
                 for doc, item in pairs:
                     for d, i in zip(doc.tolist(), item.tolist(), strict=True):

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, bytes_of, chunks, components, discard, mix, release, small_batches, starts_of, table, written
+from .common import WordHashes, chunks, components, discard, hashed_words, mix, release, small_batches, starts_of, table, written
 
 SHINGLE, NUM, DEN = 4, 85, 100
 #: Bytes of text that are cut into shingles at once.
@@ -77,14 +77,10 @@ class Shingles:
     def __init__(self, k: int) -> None:
         self.k, self.words = k, WordHashes()
 
-    def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        out, hashes, lengths = [], self.words, []
-        flat: list[int] = []
-        for text in texts:
-            words = text.translate(LOWER).split() if text else []
-            lengths.append(len(words))
-            flat += map(hashes.__getitem__, words)
-        h, bounds = np.array(flat, dtype=np.uint64), starts_of(np.array(lengths, dtype=np.int64))
+    def sets(self, texts: pa.Array) -> list[np.ndarray]:
+        out = []
+        h, lengths = hashed_words(texts, self.words)
+        bounds = starts_of(lengths)
         n = max(0, len(h) - self.k + 1)
         grams = np.zeros(n, dtype=np.uint64)
         for i in range(self.k):
@@ -199,7 +195,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, bands, seen, none = Shingles(shingle), Bands(num, den), set(), np.zeros(0, dtype=np.uint64)
         for batch in chunks(batches, limit=CHUNK):
-            sets = shingles.sets(bytes_of(batch.column("text")))
+            sets = shingles.sets(batch.column("text"))
             ids = [digest(s) for s in sets]
             keys = []
             for s, d, known in zip(sets, ids, batch.column("doc_id").is_valid().to_pylist(), strict=True):
@@ -254,7 +250,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
             at = batch.column("at").to_numpy(zero_copy_only=False)
             wanted = np.flatnonzero((filled[at >> 6] >> (at & 63)) & 1)
             for part in chunks(iter([batch.take(pa.array(wanted))]), limit=CHUNK):
-                sets = shingles.sets(bytes_of(part.column("text")))
+                sets = shingles.sets(part.column("text"))
                 ids = [digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([d[0] for d in ids], pa.int64()), pa.array([d[1] for d in ids], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "d1", "d2", "columns"])
 

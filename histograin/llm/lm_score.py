@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, chunks, discard, mix, release, small_batches, starts_of, sums_by_row, table, written
+from .common import WordHashes, chunks, discard, hashed_words, mix, release, small_batches, starts_of, table, written
 
 ORDER, MIN_COUNT, BACKOFF = 3, 1, 0.4
 #: Bytes of text in a run, and for each partition of the count tables.
@@ -131,16 +131,8 @@ def _localized(docs: DataFrame, run_bytes: int) -> DataFrame:
     def localize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, part, k = WordHashes(), TaskContext.get().partitionId(), 0
         for batch in chunks(batches, limit=run_bytes):
-            lists = pc.ascii_split_whitespace(batch.column("text").cast(pa.large_string()).fill_null(""))
-            offsets = lists.offsets.to_numpy()
-            coded = lists.flatten().dictionary_encode()
-            del lists
-            code, distinct = coded.indices.to_numpy(zero_copy_only=False), [w.translate(LOWER) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
-            of = np.fromiter(map(hashes.__getitem__, distinct), dtype=np.uint64, count=len(distinct))
-            real = np.fromiter(map(bool, distinct), dtype=bool, count=len(distinct))[code]  # white space at an end leaves an empty word
-            lengths = sums_by_row(real, offsets - offsets[0])
-            vocabulary, place = np.unique(of, return_inverse=True)
-            words = place[code[real]]
+            h, lengths = hashed_words(batch.column("text"), hashes)
+            vocabulary, words = np.unique(h, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part << 32 | k]),

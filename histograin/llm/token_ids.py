@@ -30,7 +30,7 @@ END = 1
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 64 << 20
 #: Bytes of text that are encoded at once.
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 #: Bytes of text that go to the library in one call.
 LIBRARY_BYTES = 1 << 20
 #: Pre-tokens after which a worker's cache turns over.
