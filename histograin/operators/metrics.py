@@ -33,22 +33,30 @@ def churn(commits: DataFrame, changes: DataFrame, paths: DataFrame | None = None
 def coupling(commits: DataFrame, changes: DataFrame, paths: DataFrame | None = None, min_support: int = 5, exclude_mechanical: bool = True, block: int = PAIR_BLOCK) -> DataFrame:
     """path_a < path_b, support (commits with both), coupling_ratio = support / commits of the rarer one.
 
-    Files that have too few commits for ``min_support`` can be in no pair and go before the pairs are made. A commit of
-    more than ``block`` files is dealt into blocks of them, of which every two meet by themselves.
+    Files that have too few commits for ``min_support`` can be in no pair and go before the pairs are made. A commit
+    that changed more than ``block`` files is dealt into blocks of them, of which every two meet by themselves.
     """
     own = history(commits.where("NOT is_mechanical") if exclude_mechanical else commits, changes, paths).select("path", "sha").distinct()
     counts = own.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") >= min_support)
     sides = own.join(counts.select("path"), "path")
-    large = sides.groupBy("sha").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
-    sides = sides.join(large, "sha", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a = sides.select("sha", F.col("path").alias("path_a"), F.col("own").alias("i"), every.alias("j"))
-    b = sides.select("sha", F.col("path").alias("path_b"), F.col("own").alias("j"), every.alias("i"))
-    pairs = a.join(b, ["sha", "i", "j"]).where("path_a < path_b").groupBy("path_a", "path_b").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
+    large = commits.where(F.col("files_changed") > block).select("sha", F.ceil(F.col("files_changed") / block).cast("int").alias("blocks"))
+    met = _meeting(sides) if large.isEmpty() else _meeting(sides.join(large.select("sha"), "sha", "left_anti")).unionByName(_meeting(sides.join(large, "sha"), "blocks"))
+    pairs = met.groupBy("path_a", "path_b").agg(F.count("*").alias("support")).where(F.col("support") >= min_support)
     kept = pairs.join(counts.select(F.col("path").alias("path_a"), F.col("n").alias("n_a")), "path_a").join(counts.select(F.col("path").alias("path_b"), F.col("n").alias("n_b")), "path_b")
     return kept.select("path_a", "path_b", "support", (F.col("support") / F.least("n_a", "n_b")).alias("coupling_ratio"))
 
 
+def _meeting(sides: DataFrame, blocks: str | None = None) -> DataFrame:
+    """path_a < path_b of each commit; with ``blocks``, of every two of its blocks of files by themselves."""
+    if blocks is None:
+        a, b, keys = sides.select("sha", F.col("path").alias("path_a")), sides.select("sha", F.col("path").alias("path_b")), ["sha"]
+    else:
+        own, every = F.pmod(F.xxhash64("path"), F.col(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+        a = sides.select("sha", F.col("path").alias("path_a"), own.alias("i"), every.alias("j"))
+        b, keys = sides.select("sha", F.col("path").alias("path_b"), own.alias("j"), every.alias("i")), ["sha", "i", "j"]
+    return a.join(b, keys).where("path_a < path_b").select("path_a", "path_b")
+
+
 def coupling_order() -> list:
     return [F.desc("coupling_ratio"), F.desc("support"), "path_a", "path_b"]
 
