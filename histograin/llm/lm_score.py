@@ -9,8 +9,9 @@ many n-grams, as one row for each would be ten times the text: hashes lie in it
    (or joins the part of a table that was written before, to score documents by another corpus);
 4. runs meet their totals, every word takes the longest n-gram that the table keeps, and documents are summed.
 
-A row goes to at most ``FAN`` places at once. Corpora that need more partitions than that pass what they send through
-two exchanges each way, in which rows of many runs are bundled anew: rows grow with the text, not with its square.
+Corpora that need more than ``FAN`` partitions pass what they send through two exchanges each way, first to groups of
+partitions and then to those, in which rows of many runs are bundled anew: a row is dealt to about the square root of
+the partitions, and rows grow with the text, not with its square.
 
 Counts are over all documents, the scored one included. ``min_count`` above 1 leaves rarer n-grams of two and more
 words out of the table, so that they back off.
@@ -18,6 +19,7 @@ words out of the table, so that they back off.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -33,7 +35,7 @@ from .common import WordHashes, chunks, discard, hashed_words, mix, release, sma
 ORDER, MIN_COUNT, BACKOFF = 3, 1, 0.4
 #: Bytes of text in a run, and for each partition of the count tables.
 RUN_BYTES, PARTITION_BYTES = 8 << 20, 16 << 20
-#: Most partitions that one row of a run, or of a bundle, is dealt to.
+#: Partitions up to which a run's rows go to them at once.
 FAN = 1024
 #: Bytes of packed rows that a bundle is made of.
 BUNDLE_BYTES = 8 << 20
@@ -154,9 +156,14 @@ def _unfold(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return unpack_sorted(row["vocabulary"]), unpack(row["words"]).astype(np.int32), starts_of(unpack(row["lengths"]).astype(np.int64))
 
 
+def places(partitions: int, fan: int) -> int:
+    """Where rows go first: to the partitions themselves, or beyond ``fan`` of them to as many groups as each group then has partitions, ``fan`` at least."""
+    return partitions if partitions <= fan else max(fan, math.isqrt(partitions - 1) + 1)
+
+
 def _sent(runs: DataFrame, n: int, partitions: int, fan: int) -> DataFrame:
     """The runs' distinct n-grams, counted, in rows for the partitions of their hashes."""
-    coarse = min(partitions, fan)
+    coarse = places(partitions, fan)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +186,7 @@ def _answers(part: int, of: np.ndarray, lengths: np.ndarray, totals: np.ndarray,
     """Totals of what the runs ``of`` have sent to a partition, in rows for the runs (or, bundled, for groups of them)."""
     if partitions <= fan:
         return pa.Table.from_batches(list(_rows(bundles(np.repeat(of, lengths), np.full(len(of), part), lengths, [totals]), _ANSWERED, [pack])))
-    rows = _rows(bundles(np.repeat(_hashed(of, fan), lengths), of, lengths, [totals]), _BUNDLED, [pack])
+    rows = _rows(bundles(np.repeat(_hashed(of, places(partitions, fan)), lengths), of, lengths, [totals]), _BUNDLED, [pack])
     return pa.Table.from_batches([r.append_column("part", pa.array([part] * r.num_rows, pa.int64())) for r in rows])
 
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
