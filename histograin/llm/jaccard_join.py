@@ -13,8 +13,8 @@ differ in at most (a + b)(1 - t)/(1 + t) columns and have sizes within a factor
 2. the row blocks: rows that agree in a column block are joined to the smallest of them, a star and never all pairs;
    the connected rows form a cluster. A cluster above ``ROWS`` rows is dealt into hashed row blocks. Each block is first
    held against ``STARS`` rows of the cluster: what hangs together with most of it needs no more links among
-   itself. Columns that many of these rows have (a passage that unrelated rows share) are then left out of the first
-   partition, and the column blocks joined anew: rows that nothing else connects part. In what still hangs together,
+   itself. The columns of all its rows are then counted, and the cluster joined anew by the rarest columns of each row:
+   linked rows share one of these, and unrelated rows that passages chain together part. In what still hangs together,
    the rows that are not linked yet meet every row block. No row is dropped, and a task never holds more than two;
 3. inside the product, column postings accumulate the overlap counts of one row against all earlier rows, and pairs
    below the size-derived overlap are discarded. A task returns a spanning forest of its links, not the pairs.
@@ -40,8 +40,8 @@ SHINGLE, NUM, DEN = 4, 85, 100
 CHUNK = 4 << 20
 #: Rows in a row block, and shingles in all of them; a task multiplies two of them.
 ROWS, COLUMNS = 1500, 1 << 20
-#: Rows of a large cluster that all others are held against first; the part of them that makes a column common.
-STARS, COMMON = 48, 0.1
+#: Rows of a large cluster that all others are held against first.
+STARS = 48
 #: Partitions of the columns that a row with too many empty blocks tries; distinct rows whose keys a task has sent.
 SALTS, SEEN = 12, 100_000
 #: Bits of the fixed-size filter that spares unclustered texts the second pass; a full filter only spares fewer.
@@ -101,24 +101,17 @@ def digest(rows: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def block_keys(rows: np.ndarray, bands: Bands, common: np.ndarray | None = None) -> np.ndarray:
-    """One 64-bit key for each column block that the row lists, in its own band and in the next.
-
-    ``common``: sorted columns that the first partition leaves out; rows that only these connect then share no key of it.
-    """
+def block_keys(rows: np.ndarray, bands: Bands) -> np.ndarray:
+    """One 64-bit key for each column block that the row lists, in its own band and in the next."""
     n = len(rows)
     if n * bands.den < (n + 1) * bands.num:  # any other set falls below the threshold
         return np.zeros(0, dtype=np.uint64)
     own, keys = bands.of(n), []
     bands.of(bands.tops[own] + 1)
-    telling = rows
-    if common is not None and len(common):
-        at = np.minimum(np.searchsorted(common, rows), len(common) - 1)
-        telling = rows[common[at] != rows]
     for band in (own, own + 1):
         m, spare = bands.blocks[band], bands.spare(band, n)
         for salt in range(SALTS):
-            spread = mix((telling if salt == 0 else rows) ^ _K[3] ^ np.uint64(salt << 56))
+            spread = mix(rows ^ _K[3] ^ np.uint64(salt << 56))
             at = (spread >> np.uint64(32)).astype(np.int64) * m >> 32
             size = np.bincount(at, minlength=m)
             order = np.argsort(at, kind="stable")
@@ -180,6 +173,27 @@ def _product(frames: pd.DataFrame, num: int, den: int, left: np.ndarray | None =
     return links
 
 
+def rare_columns(matrix: DataFrame, num: int, den: int) -> DataFrame:
+    """(cluster, rep, column): of each row's columns in the order of their counts over ``matrix`` the first n - ceil(n * num / den) + 1, without those of no other row.
+
+    Two linked rows have ceil(n * num / den) columns of the larger in common, so that they share one of these in any
+    order that is the same for all rows. Only a row that shares nearly all of its columns has any.
+    """
+
+    def columns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.column("columns").to_pylist()
+            lists = pa.ListArray.from_arrays(pa.array(starts_of(np.array([len(c) // 8 for c in columns], dtype=np.int64)), pa.int32()), pa.array(np.frombuffer(b"".join(columns), dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("d1"), batch.column("d2"), lists], names=["d1", "d2", "columns"])
+
+    entries = matrix.select("d1", "d2", "columns").mapInArrow(columns_of, "d1 bigint, d2 bigint, columns array<bigint>").select("d1", "d2", F.explode("columns").alias("column"))
+    shared = entries.groupBy("column").agg(F.count("*").alias("k")).where("k > 1")
+    of_row = entries.join(shared, "column").groupBy("d1", "d2").agg(F.array_sort(F.collect_list(F.struct("k", "column"))).alias("shared"))
+    first = F.expr(f"cast(greatest(0, n * {den - num} div {den} + 1 - (n - size(shared))) as int)")  # columns of no other row come first
+    rows = of_row.join(matrix.select("d1", "d2", "cluster", "rep", "n"), ["d1", "d2"])
+    return rows.select("cluster", "rep", F.explode(F.slice("shared", F.lit(1), first)).alias("at")).select("cluster", "rep", "at.column")
+
+
 def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN, rows: int = ROWS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
@@ -264,8 +278,8 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
         return pd.DataFrame({"u": [rep[i] for i, _ in links], "v": [rep[j] for _, j in links]}, dtype="int64")
 
     def hold(_key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        """Each row of a row block: the hubs that it is linked with (of each pair of parts that hang together, one), the first hub that it hangs together with, and its keys without the columns that many hubs have."""
-        hub, bands = frame["is_hub"].to_numpy(), Bands(num, den)
+        """Each row of a row block: the hubs that it is linked with (of each pair of parts that hang together, one) and the first hub that it hangs together with."""
+        hub = frame["is_hub"].to_numpy()
         links, rep, parent = _product(frame, num, den, hub, among=False), frame["rep"].to_numpy(), list(range(len(frame)))
 
         def root(x: int) -> int:
@@ -280,11 +294,8 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
         first: dict[int, int] = {}
         for i in np.flatnonzero(hub).tolist():
             first[root(i)] = min(int(rep[i]), first.get(root(i), int(rep[i])))
-        column, count = np.unique(np.concatenate([np.frombuffer(c, dtype=np.uint64) for c in frame["columns"][hub]]), return_counts=True)
-        common = column[count >= max(2, COMMON * int(hub.sum()))]
-        keys = [[] if h else block_keys(np.frombuffer(c, dtype=np.uint64), bands, common).view(np.int64).tolist() for c, h in zip(frame["columns"], hub, strict=True)]
         star = pd.array([first.get(root(i)) for i in range(len(to))], dtype="Int64")
-        return frame.assign(to=to, star=star, keys=keys)[~hub].drop(columns=["is_hub", "block", "n_blocks"])
+        return frame.assign(to=to, star=star)[~hub].drop(columns=["is_hub", "block", "n_blocks"])
 
     fields = "cluster bigint, block int, n_blocks int, rep bigint, n bigint, columns binary"
     whole = matrix.where("n_blocks = 1").select("cluster", F.lit(0).alias("a"), F.lit(0).alias("b"), "rep", "n", "columns", F.lit(True).alias("rests"))
@@ -294,12 +305,16 @@ def jaccard_classes(docs: DataFrame, shingle: int = SHINGLE, num: int = NUM, den
     hub = dealt.join(hubs, ["cluster", "d1"], "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     columns = [c.split()[0] for c in fields.split(", ")]
     star = dealt.select(*columns, F.lit(False).alias("is_hub")).union(hub.select(*columns, F.lit(True)))
-    held_up = written(star.groupBy("cluster", "block").applyInPandas(hold, "cluster bigint, rep bigint, n bigint, columns binary, to array<bigint>, star bigint, keys array<bigint>"), "jaccard-stars")
+    held_up = written(star.groupBy("cluster", "block").applyInPandas(hold, "cluster bigint, rep bigint, n bigint, columns binary, to array<bigint>, star bigint"), "jaccard-stars")
     largest = held_up.where("star IS NOT NULL").groupBy("cluster", "star").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("star", F.struct("k", "star")).alias("largest"))
     held_up, stood = held_up.join(largest, "cluster", "left").withColumn("linked", F.coalesce(F.col("star") == F.col("largest"), F.lit(False))).drop("star", "largest"), held_up
-    again = held_up.select("cluster", "rep", F.explode("keys").alias("key")).withColumn("hub", F.min("rep").over(Window.partitionBy("cluster", "key")))
+    rare = written(rare_columns(dealt, num, den), "jaccard-rare")
+    release(spark)
+    again = rare.join(rare.groupBy("cluster", "column").agg(F.min("rep").alias("hub")), ["cluster", "column"])
     parts = components(again.where("rep > hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct(), "jaccard-parts")
-    held_up = held_up.drop("cluster", "keys").join(parts.select(F.col("node").alias("rep"), F.col("root").alias("cluster")), "rep", "left")
+    discard(rare)
+    release(spark)
+    held_up = held_up.drop("cluster").join(parts.select(F.col("node").alias("rep"), F.col("root").alias("cluster")), "rep", "left")
     # the rows that aren't linked yet, in row blocks of their own, meet every row block of their part
     sizes = held_up.where("cluster IS NOT NULL").groupBy("cluster").agg(row_blocks.alias("n_blocks"), row_blocks_of(~F.col("linked")).alias("n_rest")).where("n_rest > 0")
     met_by = held_up.join(sizes, "cluster").withColumn("a", F.pmod(F.xxhash64("rep"), F.col("n_rest")).cast("int")).withColumn("b", F.pmod(F.xxhash64("rep", "n"), F.col("n_blocks")).cast("int"))

@@ -94,6 +94,19 @@ def test_jaccard_of_one_large_group(spark, rows):
     assert classes(spark.createDataFrame(own, "doc_id bigint, text string").repartition(3), rows=rows) == plain_classes(own)
 
 
+def test_rows_chained_by_passages_part(spark, monkeypatch):
+    """Of a large cluster that many passages chain together, no rows but near copies stay together; these are found."""
+    rng, seen, find = random.Random(12), {}, jj.components
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [words(20) for _ in range(30)]
+    rows = [[*passages[i % 30], *words(8), *passages[rng.randrange(30)], *words(8)] for i in range(300)]
+    rows += [[*r[:-1], "else"] for r in rows[:5]]
+    own = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    monkeypatch.setattr(jj, "components", lambda edges, name: (seen.setdefault(name, edges.count()), find(edges, name))[1])
+    assert classes(spark.createDataFrame(own, "doc_id bigint, text string").repartition(3), rows=20) == plain_classes(own)
+    assert seen["jaccard-clusters"] > 100 and seen["jaccard-parts"] <= 5
+
+
 def test_product_of_two_parts_finds_the_same_links():
     rng = np.random.default_rng(6)
     pool = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
