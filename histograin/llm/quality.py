@@ -1,8 +1,8 @@
 """Quality rules (op 6): an isolation forest on rule statistics.
 
-Base rules come first; the rest is judged by the forest: trees of random splits over a bounded sample of the rule
-statistics give each document a path length, short paths mean anomalous documents, and the threshold is calibrated
-from labelled rows, so that at most a set share of the rows labelled good fall to it.
+Base rules come first; the rest is judged by the forest: trees of random splits, each of its own draw from the rule
+statistics of all rows, give each document a path length, short paths mean anomalous documents, and the threshold is
+calibrated from all labelled rows, so that at most a set share of the rows labelled good fall to it.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, bytes_of, chunks, discard, mix, small_batches, starts_of, sums_by_row, table, written
@@ -19,8 +19,6 @@ from .common import WordHashes, bytes_of, chunks, discard, mix, small_batches, s
 WINDOW = 8
 MIN_WORDS, REPEAT_PERCENT = 20, 30
 TREES, TREE_ROWS = 200, 256
-#: Expected rows of the forest's sample and of the labelled rows for the threshold: the documented bounds of what is fitted.
-SAMPLE_ROWS, LABELLED_ROWS = 20_000, 20_000
 #: Share of rows labelled good that may fall to the threshold at most.
 LOST_GOOD = 0.01
 SEED = 7
@@ -113,13 +111,23 @@ def _harmonic(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
+def draws(n: int, trees: int = TREES, rows: int = TREE_ROWS, seed: int = SEED) -> np.ndarray:
+    """For each tree the numbers of its rows among all ``n``, each row as likely as any other."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    return np.stack([rng.choice(n, min(rows, n), replace=False) for _ in range(trees)]) if n else np.zeros((trees, 0), dtype=np.int64)
+
+
 class IsolationForest:
-    """Trees as arrays: feature (-1 in leaves), split value, children, and the path length at leaves."""
+    """Trees as arrays: feature (-1 in leaves), split value, children, and the path length at leaves.
+
+    ``x``: all rows, or by ``drawn`` the rows of each tree.
+    """
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = SEED) -> None:
-        rng = np.random.Generator(np.random.PCG64(seed))
-        self.rows = min(rows, len(x))
-        self.trees = [self._grow(x[rng.choice(len(x), self.rows, replace=False)], rng) for _ in range(trees)] if len(x) else []
+    def __init__(self, x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = SEED, drawn: np.ndarray | None = None) -> None:
+        drawn = draws(len(x), trees, rows, seed) if drawn is None else drawn
+        rng = np.random.Generator(np.random.PCG64([seed, 1]))
+        self.rows = drawn.shape[1]
+        self.trees = [self._grow(x[own], rng) for own in drawn] if self.rows else []
 
     def _grow(self, x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         limit = int(np.ceil(np.log2(max(len(x), 2))))
@@ -177,13 +185,47 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-def _sampled(stats: DataFrame, rows: int, salt: int, keys: list[str]) -> DataFrame:
-    n = stats.count()
-    draw = F.pmod(F.xxhash64(F.lit(salt), *keys), F.lit(1 << 30))
-    return stats.where(draw < int(min(1.0, rows / max(n, 1)) * (1 << 30)))
-
-
-def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, labelled_rows: int = LABELLED_ROWS, lost_good: float = LOST_GOOD) -> DataFrame:
+def grown(stats: DataFrame) -> IsolationForest:
+    """The forest of all rows of ``stats``: they are sorted and numbered by Spark, and the driver fetches those that a tree draws, at most ``TREES * TREE_ROWS``."""
+    order = [F.col(r) for r in reversed(RATES)]
+    rows = written(stats.select(*RATES).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "quality-order")
+    parts = sorted((r.part, r.k) for r in rows.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("k")).collect())
+    begins = starts_of(np.array([k for _, k in parts], dtype=np.int64))
+    drawn = draws(int(begins[-1]))
+    ranks, own = np.unique(drawn, return_inverse=True)
+    part = np.searchsorted(begins, ranks, side="right") - 1
+    at = (np.array([p for p, _ in parts], dtype=np.int64)[part] << 33) + ranks - begins[part] if len(ranks) else ranks
+    wanted = stats.sparkSession.createDataFrame(pa.table({"at": pa.array(at, pa.int64())}))
+    fetched = sorted(tuple(r) for r in rows.join(F.broadcast(wanted), "at").select("at", *RATES).toLocalIterator())
+    x = np.array([r[1:] for r in fetched], dtype=float).reshape(-1, len(RATES))
+    forest = IsolationForest(x, drawn=own.reshape(drawn.shape))
+    discard(rows)
+    return forest
+
+
+def threshold_of(scores: DataFrame, lost_good: float = LOST_GOOD) -> float:
+    """``calibrate`` of all rows of ``scores`` (quality, anomaly), with the running counts made in ranges of scores."""
+    good, bad = F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") != 1)
+    counts = scores.groupBy("anomaly").agg(good.alias("good"), bad.alias("bad"))
+    counts = written(counts.repartitionByRange("anomaly").withColumn("part", F.spark_partition_id()), "quality-labelled")
+    parts = sorted(tuple(r) for r in counts.groupBy("part").agg(F.sum("good"), F.sum("bad")).collect())
+    n_good, n_bad = sum(g for _, g, _ in parts), sum(b for _, _, b in parts)
+    best = np.inf
+    if n_good:
+        ends = starts_of(np.array([g for _, g, _ in parts])), starts_of(np.array([b for _, _, b in parts]))
+        before = scores.sparkSession.createDataFrame([(p, int(g), int(b)) for (p, _, _), g, b in zip(parts, *(e[:-1] for e in ends), strict=True)], "part int, good_before bigint, bad_before bigint")
+        upto = Window.partitionBy("part").orderBy("anomaly")
+        lost = F.lit(1.0) - (F.col("good_before") + F.sum("good").over(upto)) / F.lit(float(n_good))
+        kept_bad = (F.col("bad_before") + F.sum("bad").over(upto)) / F.lit(float(max(1, n_bad)))
+        able = counts.join(F.broadcast(before), "part").select("anomaly", lost.alias("lost"), (lost + kept_bad).alias("cost")).where(F.col("lost") <= lost_good)
+        best = -able.agg(F.min(F.struct("cost", (-F.col("anomaly")).alias("at"))).alias("best")).first().best.at
+        following = counts.where(F.col("anomaly") > best).agg(F.min("anomaly")).first()[0]
+        best = best if following is None else (best + following) / 2
+    discard(counts)
+    return float(best)
+
+
+def judge(docs: DataFrame, labels: DataFrame, lost_good: float = LOST_GOOD) -> DataFrame:
     """Per row of ``docs``: doc_id, the rule statistics, base_failed, anomaly, kept.
 
     Null and empty texts have no words and fail the base rules. Labels with null ids or qualities teach nothing, the
@@ -192,14 +234,7 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, la
     """
     spark = docs.sparkSession
     stats = written(statistics(docs, ["doc_id"]), "quality-statistics")
-    passed = stats.where(~base_failed())
-    sample = np.array([list(r) for r in _sampled(passed, sample_rows, 1, ["doc_id", *RATES]).select(*RATES).toLocalIterator()], dtype=float).reshape(-1, len(RATES))
-    forest = IsolationForest(sample[np.lexsort(sample.T)])
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = passed.join(_sampled(known, labelled_rows, 2, ["doc_id"]), "doc_id").select("quality", *RATES)
-    rows = np.array([list(r) for r in known.toLocalIterator()], dtype=float).reshape(-1, len(RATES) + 1)
-    threshold = calibrate(forest.score(rows[:, 1:]), rows[:, 0] == 1, lost_good)
-    shared = spark.sparkContext.broadcast(forest)
+    shared = spark.sparkContext.broadcast(grown(stats.where(~base_failed())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,9 +242,11 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, la
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(x), pa.float64())], names=[*batch.schema.names, "anomaly"])
 
     scored = stats.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema) + ", anomaly double")
-    judged = written(scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= threshold)), "quality-verdicts")
+    scored = written(scored.withColumn("base_failed", base_failed()), "quality-verdicts")
     discard(stats)
-    return judged
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    threshold = threshold_of(scored.where("not base_failed").join(known, "doc_id").select("quality", "anomaly"), lost_good)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= threshold))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

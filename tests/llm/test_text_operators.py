@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from histograin.llm import decontaminate as dec
@@ -345,6 +346,20 @@ def test_quality_verdicts_like_plain(spark, tmp_path):
     assert sum(not v for d, v in expected if d.isdigit() and int(d) % 11 == 0) > 25 and sum(v for _, v in expected) > 290
 
 
+def test_forest_and_threshold_of_all_rows(spark):
+    """More rows than a sample of 20,000 held: trees draw from all of them, all labelled rows make the threshold."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(30_000, len(q.RATES))), 2)
+    stats = spark.createDataFrame(pd.DataFrame(x, columns=q.RATES)).repartition(7)
+    forest, plain = q.grown(stats), q.IsolationForest(x[np.lexsort(x.T)])
+    assert all(np.array_equal(a, b) for own, other in zip(forest.trees, plain.trees, strict=True) for a, b in zip(own, other, strict=True))
+    for size, share in ((30_000, 0.3), (30_000, 0.0), (30_000, 1.0), (0, 0.0)):
+        score, bad = np.round(rng.normal(size=size), 3), rng.random(size) < share
+        score[bad] += 2
+        frame = spark.createDataFrame(pd.DataFrame({"quality": np.where(bad, 0, 1), "anomaly": score}), "quality int, anomaly double").repartition(5)
+        assert q.threshold_of(frame) == q.calibrate(score, ~bad)
+
+
 def test_forest_isolates_outliers():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(2000, 3)), rng.normal(size=(20, 3)) + 8])
