@@ -107,6 +107,17 @@ def test_rows_chained_by_passages_part(spark, monkeypatch):
     assert seen["jaccard-clusters"] > 100 and seen["jaccard-parts"] <= 5
 
 
+def test_rare_columns(spark):
+    """Rows that share a passage of half their columns have none; a near copy has some of its own in common with the other."""
+    rng = np.random.default_rng(14)
+    passage = rng.integers(1, 2**62, 30, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([passage, rng.integers(1, 2**62, 30, dtype=np.uint64)])) for _ in range(40)]
+    sets.append(np.unique(np.append(sets[0][1:], np.uint64(7))))
+    frame = spark.createDataFrame([(i, -i, 1, i, len(x), x.tobytes()) for i, x in enumerate(sets)], "d1 bigint, d2 bigint, cluster bigint, rep bigint, n bigint, columns binary")
+    found = jj.rare_columns(frame, 85, 100).collect()
+    assert {r.rep for r in found} == {0, 40} and set.intersection(*({r.column for r in found if r.rep == i} for i in (0, 40)))
+
+
 def test_product_of_two_parts_finds_the_same_links():
     rng = np.random.default_rng(6)
     pool = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
