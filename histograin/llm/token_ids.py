@@ -15,6 +15,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ SHARD_BYTES = 64 << 20
 CHUNK = 4 << 20
 #: Bytes of text that go to the library in one call.
 LIBRARY_BYTES = 1 << 20
+#: Pre-tokens that go to the library in one call.
+CALL_PRE_TOKENS = 500
 #: Pre-tokens after which a worker's cache turns over.
 CACHE_PRE_TOKENS = 150_000
 #: Keys in a bucket of the minimal perfect hash, on average.
@@ -52,9 +55,15 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: The pre-tokens of lower-case text, by the same pattern.
-PRE_TOKENS = r"('s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+)"
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+"
 #: Text that only the library reads: an added token's opening, characters whose kind, lower case or composed form isn't plain, white space other than ASCII's.
 UNSETTLED = r"<\||[^\x{00}-\x{52F}]|[\x{1C}-\x{1F}\x{85}\x{A0}\x{130}\x{300}-\x{37F}\x{387}]"
+# ByteLevel's letter for each byte; the space stays, it parts pre-tokens.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+LETTERS = np.zeros(256, dtype="<u4")
+LETTERS[_PLAIN] = _PLAIN
+LETTERS[LETTERS == 0] = np.arange(256, 512 - len(_PLAIN))
+LETTERS[ord(" ")] = ord(" ")
 
 
 def placed(sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,19 +74,39 @@ def placed(sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, n
 
 
+class Known:
+    """Pre-tokens by number, and their ids one after the other."""
+
+    def __init__(self) -> None:
+        self.numbers, self.sizes, self.ids = {b"": 0}, np.zeros(1, dtype=np.int64), np.zeros(0, dtype="<u4")
+
+    def find(self, parts: list[bytes]) -> np.ndarray:
+        """Their numbers, -1 where it isn't known."""
+        return np.fromiter(map(self.numbers.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
+
+    def add(self, parts: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The numbers of new ones."""
+        numbers = range(len(self.sizes), len(self.sizes) + len(parts))
+        self.numbers.update(zip(parts, numbers, strict=True))
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        return np.array(numbers, dtype=np.int64)
+
+
 class Encoder:
     """Ids of texts, by any tokenizer of the library.
 
     A tokenizer whose file says that it lower-cases, splits by ``PRE_TOKENS`` and marks words' ends with ``</w>`` is
     taken apart: its pre-tokens never cross white space, so a text's ids are its pieces' ids one after the other, and a
     piece's those of its pre-tokens. A run of texts is cut into pieces, its distinct pieces into pre-tokens, and the
-    library encodes the distinct pre-tokens, many in one call: each ends with the only one of its tokens that ends a
-    word. Pieces that match ``UNSETTLED`` go to the library whole. Pre-tokens used last are kept, within
-    ``CACHE_PRE_TOKENS``. With any other tokenizer, whole texts go to the library, about ``LIBRARY_BYTES`` at once.
+    library's model encodes the distinct pre-tokens, many in one call, without normalizing and splitting them again:
+    each ends with the only one of its tokens that ends a word. Pieces that match ``UNSETTLED`` go to the library whole.
+    Pre-tokens used last are kept, within ``CACHE_PRE_TOKENS``. With any other tokenizer, whole texts go to the library,
+    about ``LIBRARY_BYTES`` at once.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -91,8 +120,9 @@ class Encoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = CharDelimiterSplit(" ")
+        self.young, self.old = Known(), Known()
 
     def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As ``encode``, by the library alone."""
@@ -105,31 +135,36 @@ class Encoder:
                 counts.append(len(out[-1]))
         return np.concatenate(out), np.array(counts, dtype=np.int64)
 
-    def _encode(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        out: dict[bytes, bytes] = {}
-        for at in range(0, len(parts), 2_000):
-            some = parts[at : at + 2_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(ends) != len(some):
+    def _encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, of pre-tokens."""
+        out, counts = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(parts), CALL_PRE_TOKENS):
+            some = parts[at : at + CALL_PRE_TOKENS]
+            letters = LETTERS[np.frombuffer(b" ".join(some), dtype=np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.words.encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
                 raise ValueError("pre-tokens and their ids don't match")
-            raw, begin = ids.tobytes(), 0
-            for p, end in zip(some, ends, strict=True):
-                out[p] = raw[begin:end]
-                begin = end
-        return out
-
-    def _ids_of(self, parts: list[bytes]) -> list[bytes]:
-        own = list(map(self.young.get, parts))
-        if None in own:
-            missing = [p for p, x in zip(parts, own, strict=True) if x is None]
-            found = {p: x for p in missing if (x := self.old.get(p)) is not None}
-            found |= self._encode([p for p in missing if p not in found])
-            own = [found[p] if x is None else x for p, x in zip(parts, own, strict=True)]
-            self.young |= found
-            if len(self.young) > CACHE_PRE_TOKENS:
-                self.young, self.old = {}, self.young
-        return own
+            out.append(ids)
+            counts.append(np.diff(ends, prepend=0))
+        return np.concatenate(out), np.concatenate(counts)
+
+    def _known(self, parts: list[bytes]) -> tuple[Known, np.ndarray]:
+        """What has these pre-tokens' ids, and their numbers there."""
+        known = self.young
+        numbers = known.find(parts)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            own = [parts[k] for k in missing.tolist()]
+            before = self.old.find(own)
+            kept = before >= 0
+            at, n = placed(self.old.sizes, before[kept])
+            numbers[missing[kept]] = known.add(list(compress(own, kept.tolist())), self.old.ids[at], n)
+            new = list(compress(own, (~kept).tolist()))
+            numbers[missing[~kept]] = known.add(new, *self._encode(new))
+            if len(known.sizes) > CACHE_PRE_TOKENS:
+                self.young, self.old = Known(), known
+        return known, numbers
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
@@ -141,15 +176,12 @@ class Encoder:
         whole = pc.match_substring_regex(pieces, UNSETTLED).to_numpy(zero_copy_only=False).astype(bool) if len(pieces) else np.zeros(0, dtype=bool)
         plain = pc.utf8_lower(pieces.filter(pa.array(~whole)))
         several = pc.invert(pc.utf8_is_alpha(plain))  # letters alone are one pre-token
-        spaced = pc.replace_substring_regex(plain.filter(several), PRE_TOKENS, r"\1 ")
+        spaced = pc.replace_substring_regex(plain.filter(several), PRE_TOKENS, r"\0 ")
         parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.replace_with_mask(plain, several, spaced)))
         part = parts.flatten().dictionary_encode()
-        distinct = part.dictionary.cast(pa.large_binary()).to_pylist()
-        found = dict.fromkeys([b""], b"") | dict(zip(own := [p for p in distinct if p], self._ids_of(own), strict=True))
-        ids = [found[p] for p in distinct]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        at, n = placed(sizes, _codes(part))
-        tokens = np.frombuffer(b"".join(ids), dtype="<u4")[at]
+        known, numbers = self._known(_bytes(part.dictionary))
+        at, n = placed(known.sizes, numbers[_codes(part)])
+        tokens = known.ids[at]
         of_plain = sums_by_row(n, _bounds(parts))
         # pieces in their own order: the plain ones, then those that the library reads whole
         special = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in pieces.filter(pa.array(whole)).to_pylist()]
@@ -165,6 +197,14 @@ def _codes(coded: pa.DictionaryArray) -> np.ndarray:
     return coded.indices.to_numpy(zero_copy_only=False)
 
 
+def _bytes(words: pa.Array) -> list[bytes]:
+    """As ``bytes_of`` but faster, of strings without spaces and nulls."""
+    if not len(words):
+        return []
+    one = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(" ", words.type))[0]
+    return one.as_buffer().to_pybytes().split(b" ")
+
+
 def _bounds(lists: pa.ListArray) -> np.ndarray:
     offsets = lists.offsets.to_numpy().astype(np.int64)
     return offsets - offsets[0]
